@@ -9,6 +9,7 @@ rule sees what is left. The list is emitted as one chain of ``when`` expressions
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,57 +23,77 @@ WINDOW = 5
 FEATURES = ("n_words", "mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "digit_ratio", "mark_ratio", "distinct_ratio")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it and wherever the optimiser moves it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _window_hashes(words: Column) -> Column:
+    """64-bit hashes of all windows of WINDOW words."""
+    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(WINDOW)]))
+    return F.when(F.size(words) > WINDOW, windows).otherwise(F.array().cast("array<bigint>"))  # a single window can't repeat
+
+
+def _repeat_words(hashes: Column) -> Column:
+    """Words inside windows whose hash repeats: equal hashes become neighbours, then their positions are covered in order."""
+    zero = F.lit(0).cast("long")
+    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
+    starts = lambda p: F.sort_array(F.transform(F.filter(p, lambda x, j: same(x, F.get(p, j - 1)) | same(x, F.get(p, j + 1))), lambda x: x["i"]))
+    covered = lambda s: F.aggregate(
+        s,
+        F.struct(zero.alias("n"), zero.alias("to")),
+        lambda a, i: F.struct((a["n"] + (i + WINDOW) - F.greatest(i.cast("long"), a["to"])).alias("n"), (i + WINDOW).cast("long").alias("to")),
+    )["n"]
+    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(pairs, lambda p: covered(starts(p)))).otherwise(zero)
+
+
+def _counts(text: Column) -> Column:
+    """All counts of a text as one struct."""
+    removed = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
+    words = F.array_remove(F.split(text, BLANKS), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\u000b\f\r", "")) > 0)
+    return let(
+        words,
+        lambda w: let(
+            lines,
+            lambda line: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                removed(SYMBOLS).alias("n_symbols"),
+                (F.size(line) - F.size(F.array_distinct(line))).cast("long").alias("n_dup_lines"),
+                let(_window_hashes(w), _repeat_words).alias("n_repeat_words"),
+                F.size(line).cast("long").alias("lines"),
+                F.size(F.array_distinct(w)).cast("long").alias("distinct"),
+                removed("[A-Z]+").alias("upper"),
+                removed("[0-9]+").alias("digits"),
+                removed("[!?]+").alias("marks"),
+            ),
+        ),
+    )
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the ratios in ``FEATURES``.
 
     A null text has no words. Input columns of these names are replaced. Repeated windows
-    are found by sorting their 64-bit hashes within the row; positions are sorted only where
-    a hash repeats.
+    are found by sorting their 64-bit hashes within the row.
     """
-    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *FEATURES)
-    docs = docs.drop(*[c for c in docs.columns if c in made or c.startswith("_q")])
-    zero = F.lit(0).cast("long")
-    x = docs.withColumn("_qt", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    x = x.withColumn("_qw", F.array_remove(F.split("_qt", BLANKS), ""))
-    x = x.withColumn("_qn", F.size("_qw"))
-    # Up to WINDOW words there is one window at most, which can't repeat.
-    x = x.withColumn("_qh", F.when(F.col("_qn") > WINDOW, F.transform(F.sequence(F.lit(1), F.col("_qn") - (WINDOW - 1)), lambda i: F.xxhash64(*[F.get("_qw", i + (k - 1)) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
-    x = x.withColumn("_qs", F.array_distinct("_qh"))
-    pairs = F.sort_array(F.transform("_qh", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    x = x.withColumn("_qp", F.when(F.size("_qs") < F.size("_qh"), pairs))
-    same = lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))
-    flagged = F.transform(F.filter("_qp", lambda p, j: same(p, F.get("_qp", j - 1)) | same(p, F.get("_qp", j + 1))), lambda p: p["i"])
-    x = x.withColumn("_qf", F.when(F.col("_qp").isNotNull(), F.sort_array(flagged)))
-    covered = F.aggregate("_qf", F.struct(zero.alias("n"), zero.alias("to")), lambda a, i: F.struct((a["n"] + (i + WINDOW) - F.greatest(i.cast("long"), a["to"])).alias("n"), (i + WINDOW).cast("long").alias("to")))
-    lines = F.filter(F.split("_qt", "\n"), lambda s: F.length(F.translate(s, " \t\u000b\f\r", "")) > 0)
-    x = x.withColumn("_ql", lines)
-    x = x.withColumns(
-        {
-            "n_words": F.col("_qn").cast("long"),
-            "word_chars": F.length(F.array_join("_qw", "")).cast("long"),
-            "n_symbols": (F.length("_qt") - F.length(F.regexp_replace("_qt", SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_ql") - F.size(F.array_distinct("_ql"))).cast("long"),
-            "n_repeat_words": F.coalesce(covered["n"], zero),
-            "_qu": (F.length("_qt") - F.length(F.regexp_replace("_qt", "[A-Z]+", ""))).cast("double"),
-            "_qd": (F.length("_qt") - F.length(F.regexp_replace("_qt", "[0-9]+", ""))).cast("double"),
-            "_qm": (F.length("_qt") - F.length(F.regexp_replace("_qt", "[!?]+", ""))).cast("double"),
-            "_qv": F.size(F.array_distinct("_qw")).cast("double"),
-            "_qk": F.size("_ql"),
-        }
-    )
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return x.withColumns(
-        {
-            "mean_word": F.col("word_chars") / words,
-            "symbol_ratio": F.col("n_symbols") / words,
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_qk"), F.lit(1)),
-            "repeat_ratio": F.col("n_repeat_words") / words,
-            "upper_ratio": F.col("_qu") / chars,
-            "digit_ratio": F.col("_qd") / chars,
-            "mark_ratio": F.col("_qm") / words,
-            "distinct_ratio": F.col("_qv") / words,
-        }
-    ).drop(*[c for c in x.columns if c.startswith("_q")])
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    x = docs.drop("_q", *counts, *FEATURES)
+    x = x.withColumn("_q", let(F.coalesce(F.col("text").cast("string"), F.lit("")), _counts))
+    words, chars = F.greatest(F.col("_q.n_words"), F.lit(1)), F.greatest(F.col("_q.word_chars"), F.lit(1))
+    ratios = {
+        "mean_word": F.col("_q.word_chars") / words,
+        "symbol_ratio": F.col("_q.n_symbols") / words,
+        "dup_line_ratio": F.col("_q.n_dup_lines") / F.greatest(F.col("_q.lines"), F.lit(1)),
+        "repeat_ratio": F.col("_q.n_repeat_words") / words,
+        "upper_ratio": F.col("_q.upper") / chars,
+        "digit_ratio": F.col("_q.digits") / chars,
+        "mark_ratio": F.col("_q.marks") / words,
+        "distinct_ratio": F.col("_q.distinct") / words,
+    }
+    return x.withColumns({c: F.col(f"_q.{c}") for c in counts} | ratios).drop("_q")
 
 
 def base_failed() -> Column:
@@ -174,9 +195,9 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int = 6
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     own = docs.select(F.col("doc_id").cast("long"), "text")
     # at most sample_rows pairs of numbers
-    stats = statistics(own.join(F.broadcast(picked), "doc_id")).where(~base_failed())
-    rows = stats.select("doc_id", "label", *FEATURES).collect()
-    return [r.asDict() for r in sorted(rows, key=lambda r: (r.doc_id * 2654435761 % 2**32, r.doc_id, tuple(r[f] for f in FEATURES)))]
+    stats = statistics(own.join(F.broadcast(picked), "doc_id")).withColumn("failed", base_failed())
+    rows = [r.asDict() for r in stats.select("doc_id", "label", "failed", *FEATURES).collect()]
+    return sorted((r for r in rows if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], tuple(r[f] for f in FEATURES)))
 
 
 def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
