@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\W_]{1,64}")
 GRAMS = (4, 5)
 BUCKETS = 1 << 16
 DIMENSION = 4
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 6000
 THRESHOLD = 0.3
 
 
@@ -68,7 +68,7 @@ class _Sparse:
         return out
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, gain: float = 30.0, seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: list[int], epochs: int = 60, rate: float = 0.1, decay: float = 0.1, gain: float = 30.0, seed: int = 7) -> Model:
     """Fit embeddings and softmax jointly. Without both labels in the sample every text gets the base rate."""
     words: dict[str, int] = {}
     doc, word, count = [], [], []
