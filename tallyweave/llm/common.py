@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,16 +52,17 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive rows whose sizes sum to about ``most``; a larger row stands alone."""
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive rows whose texts have about ``most`` bytes; a longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0)
     start, total = 0, 0
-    for i, n in enumerate(sizes.tolist()):
+    for i, n in enumerate(sizes.to_pylist()):
         if i > start and total + n > most:
             yield start, i
             start, total = i, 0
         total += n
-    if start < len(sizes):
-        yield start, len(sizes)
+    if start < len(column):
+        yield start, len(column)
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -103,12 +106,21 @@ def run_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def _give_back() -> None:
+    """Return freed memory to the system: an idle worker shouldn't hold a task's peak."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``mapInArrow`` with a function from batches to ``pa.RecordBatch`` or ``pa.Table``."""
 
     def run(batches):
         for out in f(batches):
             yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

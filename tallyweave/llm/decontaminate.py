@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, run_bounds, slices, sorted_runs, text_bytes, written
+from .common import arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, written
 
 # Bytes that end a word; A-Z are lower-cased.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 WINDOW = 10
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 BLOCK_WORDS = 200_000
 
 
@@ -70,13 +70,13 @@ def build_index(docs: DataFrame) -> PositionalIndex:
     def index(batches):
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), text_bytes(batch.column("text"))
-            sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-            for a, b in slices(sizes, SLICE_BYTES):
+            doc_ids = batch.column("doc_id")
+            for a, b in text_slices(batch.column("text"), SLICE_BYTES):
+                texts = text_bytes(batch.column("text").slice(a, b - a))
                 terms, parts, counts = _Terms(), [], np.zeros(b - a, np.int64)
-                for i in range(a, b):
-                    words = words_of(texts[i])
-                    counts[i - a] = len(words)
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    counts[i] = len(words)
                     parts.append(np.fromiter(map(terms.__getitem__, words), np.int32, len(words)))
                 bases = np.cumsum(counts + 1) - counts - 1
                 which = np.concatenate(parts)

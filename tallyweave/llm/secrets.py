@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, run_bounds, slices, sorted_runs, text_bytes, written
+from .common import arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, written
 
 SLICE_BYTES = 768 << 10  # of a scan; so that keys mostly fit 32 bits
 INDEX_BYTES = 4 << 20  # of a segment of a written index
@@ -215,10 +215,9 @@ def build_trigram_index(docs: DataFrame) -> DataFrame:
     def index(batches):
         segment = TaskContext.get().partitionId() << 32
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), text_bytes(batch.column("text"))
-            sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-            for a, b in slices(sizes, INDEX_BYTES):
-                trigram, doc = slice_trigrams(texts[a:b])
+            doc_ids = batch.column("doc_id")
+            for a, b in text_slices(batch.column("text"), INDEX_BYTES):
+                trigram, doc = slice_trigrams(text_bytes(batch.column("text").slice(a, b - a)))
                 first = np.flatnonzero(np.diff(trigram, prepend=-1))
                 delta = np.diff(doc, prepend=0)
                 delta[first] = doc[first]
@@ -298,19 +297,19 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
 
     def verify(batches):
         for batch in batches:
-            texts, found = text_bytes(batch.column("text")), []
-            sizes = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
-            for a, b in slices(sizes, SLICE_BYTES):
-                trigram, doc = slice_trigrams(texts[a:b])
+            found = []
+            for a, b in text_slices(batch.column("text"), SLICE_BYTES):
+                texts = text_bytes(batch.column("text").slice(a, b - a))
+                trigram, doc = slice_trigrams(texts)
                 low, high = np.searchsorted(trigram, wanted), np.searchsorted(trigram, wanted, side="right")
                 postings = {t: doc[i:j] for t, i, j in zip(wanted.tolist(), low.tolist(), high.tolist()) if j > i}
                 mask = np.full(b - a, always, np.int64)
                 for i, q in queries.items():
                     mask[evaluate(q, postings)] |= 1 << i
-                found += [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in _found(t, m, rules)] for t, m in zip(texts[a:b], mask.tolist())]
+                found += [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in _found(t, m, rules)] for t, m in zip(texts, mask.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "secrets"])
 
-    return docs.mapInArrow(verify, docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("secrets")).schema)
+    return arrow_map(docs, verify, docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("secrets")).schema)
 
 
 def span_text(spans: Column, kinds=None) -> Column:
@@ -343,4 +342,4 @@ def redact(docs: DataFrame, rules=RULES) -> DataFrame:
                 columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return scanned.mapInArrow(hide, schema)
+    return arrow_map(scanned, hide, schema)

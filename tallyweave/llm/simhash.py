@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, partitions, run_bounds, sorted_runs, text_bytes, written
+from .common import arrow_map, connected_components, partitions, run_bounds, sorted_runs, written
 
 MAX_BITS = 3
 BLOCK_ROWS = 4096
@@ -63,7 +63,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle, seed) for t in text_bytes(batch.column("text"))], np.uint64)
+            texts = batch.column("text").cast(pa.binary())
+            fps = np.array([fingerprint(t.as_py(), shingle, seed) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")

@@ -9,6 +9,7 @@ vectors.
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, slices, written
+from .common import arrow_map, partitions, text_slices, written
 
 # Ids per word and bits per id of each selector; ESCAPE is the selector of a raw word.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -29,7 +30,8 @@ ESCAPE = 15
 BLOCK = 128
 MAGIC = 0x38535754  # "TWS8"
 VERSION = 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+LEARN_WORDS = 4096
 
 
 class _Words(dict):
@@ -89,7 +91,9 @@ class CachedEncoder:
     def _learn(self) -> None:
         if not self.words.fresh:
             return
-        new = [e.ids for e in self.tokenizer.encode_batch(self.words.fresh, add_special_tokens=False)]
+        fresh = self.words.fresh
+        # a few at a time, since the library's results are large
+        new = [e.ids for i in range(0, len(fresh), LEARN_WORDS) for e in self.tokenizer.encode_batch(fresh[i : i + LEARN_WORDS], add_special_tokens=False)]
         self.weight += sum(1 + len(w) // self.long for w in self.words.fresh)
         lens = np.fromiter(map(len, new), np.int64, len(new))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
@@ -98,6 +102,12 @@ class CachedEncoder:
         self.words.fresh.clear()
 
 
+@functools.lru_cache(maxsize=1)
+def worker_encoder(path: str, end_id: int) -> CachedEncoder:
+    """One encoder for all tasks of a worker."""
+    return CachedEncoder(path, end_id)
+
+
 def _bit_width(values: np.ndarray) -> np.ndarray:
     """Bits of each unsigned value, at least 1."""
     if len(values) and values.max() < 1 << 53:
@@ -230,14 +240,12 @@ def unpack_segment(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
 
 def token_slices(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
     """(doc_ids, ids per document, ids) for slices of a partition's documents; a null text is empty."""
-    encoder = CachedEncoder(path, end_id)
+    encoder = worker_encoder(path, end_id)
     for batch in batches:
-        doc_ids = batch.column("doc_id").to_pylist()
-        texts = batch.column("text")
-        sizes = np.fromiter((len(t) if t else 0 for t in texts.cast(pa.binary()).to_pylist()), np.int64, len(texts))
-        for a, b in slices(sizes, SLICE_BYTES):
+        doc_ids, texts = batch.column("doc_id"), batch.column("text")
+        for a, b in text_slices(texts, SLICE_BYTES):
             ids, lens = encoder.encode([t or "" for t in texts.slice(a, b - a).to_pylist()])
-            yield doc_ids[a:b], lens, ids
+            yield doc_ids.slice(a, b - a).to_pylist(), lens, ids
 
 
 def write_token_table(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:

@@ -112,7 +112,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 60, rate: fl
 class Scorer:
     """Scores texts, remembering at most ``most`` words."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most, self.known = model, most, {}
 
     def score(self, text: str | None) -> float:
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            s = np.array([scorer.score(t) for t in batch.column("text").to_pylist()], np.float64)
+            s = np.array([scorer.score(t.as_py()) for t in batch.column("text")], np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, predicted int")
