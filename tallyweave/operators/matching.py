@@ -214,11 +214,13 @@ def _value_buckets(value: Column, absolute: int | None, bps: int | None) -> Colu
     """A bucket such that values within the tolerance are at most one apart; null where no bound helps."""
     if absolute is not None:
         return floor_div(value, absolute + 1)
+    if bps == 0:
+        return value
     if bps is not None and bps < 10000:
         # equal signs, and magnitudes within a factor of 1 - bps: logarithms within a width, widened against rounding
-        width = -float(np.log1p(-bps / 10000)) * 1.0001 if bps else 1e-9
+        width = -float(np.log1p(-bps / 10000)) * 1.0001
         log = F.floor(F.log(F.abs(value.cast("double"))) / F.lit(width)).cast("long")
-        return F.when(value == 0, F.lit(-10)).otherwise(F.when(value > 0, log).otherwise(-log - (1 << 40)))
+        return F.when(value == 0, F.lit(-10).cast("long")).otherwise(F.when(value > 0, log).otherwise(-log - (1 << 40)))
     return None
 
 
