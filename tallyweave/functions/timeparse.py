@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ NAIVE_FORM = rf"^{_DATE}[T ]{_TIME}$"
 DAY_FORM = rf"^{_DATE}$"
 
 
-def parse_ns(text: Column, zone: Column) -> Column:
+def parse_ns(text: Column, zone: str = "UTC") -> Column:
     """Nanoseconds of a timestamp text, or null.
 
     An explicit offset is allowed after the T form only; otherwise the text is local time in
@@ -22,7 +24,7 @@ def parse_ns(text: Column, zone: Column) -> Column:
     clock is moved forward, in an overlap the earlier instant is taken. The session's zone must be UTC.
     """
     t = strip(text)
-    known = F.when(zone.rlike(r"^[A-Za-z]+(/[A-Za-z0-9_+\-]+)*$"), zone).otherwise("UTC")
+    known = F.lit(zone if zone in available_timezones() else "UTC")
     form = F.when(t.rlike(OFFSET_FORM), OFFSET_FORM).when(t.rlike(NAIVE_FORM), NAIVE_FORM)
 
     def part(pattern: str, group: int) -> Column:

@@ -1,4 +1,409 @@
-"""Registered queries of the reconciliation engine and their SQL."""
+"""Registered queries of the reconciliation engine and, where SQL can say it, their SQL."""
 
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import ids, money
+from ..operators import dedup, matching, report
+from ..operators.rangejoin import islands
+from ..sources import feeds, payments
+from . import engine
+from .rules import DEFAULT_RULE, OneToMany, Rule, Tolerance
+
+WINDOW = DEFAULT_RULE.window_ns
+LINES_RULE = Rule("lines", ("bank", "processor"), Tolerance(1), Tolerance(), 600_000_000_000, {}, OneToMany("bank", "processor", 3))
 QUERIES = {}
-ORACLE_SQL = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _joined(column: str):
+    return F.array_join(F.transform(column, lambda x: x.cast("string")), ",").alias(column)
+
+
+# Records
+
+
+@query
+def normalize_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of line prices in many spellings, parsed as USD."""
+    li = payments.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("m"), (F.col("l_partkey") % 8).alias("kind"))
+    plain = F.concat(F.expr("m div 100").cast("string"), F.lit("."), F.lpad((F.col("m") % 100).cast("string"), 2, "0"))
+    text = F.when(F.col("kind") == 1, F.concat(F.lit("+"), plain)).when(F.col("kind") == 2, F.concat(F.lit("-"), plain)).when(F.col("kind") == 3, F.concat(F.lit("  "), plain, F.lit(" "))).when(F.col("kind") == 4, F.concat(plain, F.lit("5"))).when(F.col("kind") == 5, F.concat(plain, F.lit("0"))).when(F.col("kind") == 6, F.concat(plain, F.lit("e3"))).when(F.col("kind") == 7, F.concat(F.expr("m div 100").cast("string"), F.lit("."))).otherwise(plain)
+    got = li.withColumn("p", money.parse(text, F.lit(2)))
+    return got.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("p.minor").alias("minor"), F.col("p.code").alias("code"), money.render(F.col("p.minor"), F.lit(2)).alias("rendered"))
+
+
+@query
+def rounding_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three digits after the point, brought to two by each mode."""
+    o = payments.table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("m"))
+    text = F.concat(F.expr("m div 1000").cast("string"), F.lit("."), F.lpad((F.col("m") % 1000).cast("string"), 3, "0"))
+    return o.select("o_orderkey", *[money.parse(text, F.lit(2), mode)["minor"].alias(mode) for mode in ("trunc", "half_up", "half_even")])
+
+
+@query
+def record_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payments.payments(spark, sf_dir).select("role", "external_id", "source_line", "content_hash", "record_id", "stable_key")
+
+
+@query
+def currency_partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payments.payments(spark, sf_dir).groupBy("role", "currency").agg(F.count("*").alias("n_records"), F.sum("amount_minor").alias("amount_minor"), F.sum("fee_minor").alias("fee_minor"), F.countDistinct("business_id").alias("n_business_ids"))
+
+
+@query
+def batch_content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, sum and digest of each batch; batches are one day's feed of a role."""
+    p = payments.payments(spark, sf_dir).withColumn("batch_id", F.concat_ws("-", F.lit("b"), "role", F.expr("ts_ns div 86400000000000").cast("string")))
+    return feeds.batch_summary(p).select("batch_id", "record_count", "valid_count", "amount_sum_minor", "content_digest")
+
+
+@query
+def events_ndjson_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as NDJSON lines through field mapping and normalisation."""
+    rows = payments.event_lines(spark, sf_dir)
+    source = feeds.Source("events", "internal", format="ndjson")
+    records = feeds.normalise(feeds.logical_fields(rows, source), source, "b-events")
+    return records.select("source_line", "external_id", "business_id", "amount_minor", "ts_ns", "memo", "isolated")
+
+
+@query
+def json_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested number of the events' properties as text, its digits kept."""
+    e = payments.table(spark, sf_dir, "events")
+    return e.select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+
+
+# Duplicates
+
+
+def _layer(kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return dedup.layer(payments.resent(spark, sf_dir), kind).select("relation_id", "canonical_id", "duplicate_id", "duplicate_batch", "source_id")
+
+    run.__name__ = f"dedup_{kind}"
+    return query(run)
+
+
+for _kind in dedup.KEYS:
+    _layer(_kind)
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = payments.payments(spark, sf_dir)
+    return dedup.without_excluded(p, dedup.detect(p, DEFAULT_RULE))
+
+
+@query
+def excluded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = payments.resent(spark, sf_dir)
+    kept = dedup.without_excluded(p, dedup.detect(p, DEFAULT_RULE))
+    return kept.groupBy("role", "batch_id").agg(F.count("*").alias("n_kept"), F.sum("amount_minor").alias("amount_minor"))
+
+
+# Matching
+
+
+@query
+def match_exact_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = matching.exact_id_groups(_active(spark, sf_dir))
+    return g.select("match_group_id", "currency", "amount_minor", _joined("record_ids"))
+
+
+@query
+def exact_match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = matching.exact_id_groups(payments.payments(spark, sf_dir))
+    return g.groupBy("currency").agg(F.count("*").alias("n_groups"), F.sum("amount_minor").alias("amount_minor"), F.sum(F.size("record_ids")).alias("n_records"))
+
+
+def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = _active(spark, sf_dir)
+    used = matching.exact_id_groups(active).select(F.explode("record_ids").alias("record_id"))
+    return active.join(used, "record_id", "left_anti")
+
+
+@query
+def tolerance_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = matching.tolerance_candidates(_free(spark, sf_dir), DEFAULT_RULE)
+    return e.select("a_record_id", "b_record_id", "currency", *[F.col("score_tuple")[i].alias(c) for i, c in ((1, "amount_diff"), (2, "time_diff_ns"), (3, "fee_diff"))])
+
+
+@query
+def tolerance_candidates_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same join with a bound in basis points alone."""
+    rule = replace(DEFAULT_RULE, amount=Tolerance(None, 1), fee=Tolerance())
+    e = matching.tolerance_candidates(_free(spark, sf_dir), rule)
+    return e.select("a_record_id", "b_record_id", "currency", F.col("score_tuple")[1].alias("amount_diff"))
+
+
+@query
+def ambiguous_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = matching.ambiguous(matching.tolerance_candidates(_free(spark, sf_dir), DEFAULT_RULE))
+    return a.select("record_id", "currency", _joined("score_tuple"), _joined("candidate_ids"))
+
+
+@query
+def tolerance_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _ = matching.tolerance_phase(_free(spark, sf_dir), DEFAULT_RULE)
+    return g.select("match_group_id", "currency", "amount_minor", _joined("record_ids"), _joined("score_tuple"))
+
+
+@query
+def one_to_many_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, _ = matching.one_to_many(payments.settlements(spark, sf_dir), LINES_RULE)
+    return g.select("match_group_id", "anchor_role", "amount_minor", _joined("record_ids"), F.col("score_tuple")[1].alias("amount_diff"))
+
+
+@query
+def search_limit_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search cut at five combinations an anchor."""
+    _, d = matching.one_to_many(payments.settlements(spark, sf_dir), replace(LINES_RULE, search_limit=5))
+    return d.select("discrepancy_id", "type", _joined("record_ids"), "note")
+
+
+@query
+def time_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time line of each currency cut at gaps of over two minutes."""
+    x = islands(payments.payments(spark, sf_dir).select("currency", "ts_ns", "amount_minor"), ["currency"], WINDOW)
+    return x.groupBy("currency", "island").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.count("*").alias("n_records")).drop("island")
+
+
+# Whole runs
+
+
+def _run(spark: SparkSession, sf_dir: str) -> engine.Result:
+    return engine.reconcile(payments.payments(spark, sf_dir), [DEFAULT_RULE])
+
+
+@query
+def classify_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _run(spark, sf_dir).discrepancies
+    return d.where("type <> 'ambiguous'").select("discrepancy_id", "type", "currency", _joined("record_ids"))
+
+
+@query
+def missing_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _run(spark, sf_dir).discrepancies.where("type like 'missing%'")
+    return d.groupBy("type", "currency").agg(F.count("*").alias("n"))
+
+
+@query
+def report_summary_by_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _run(spark, sf_dir)
+    d = report.summary_by(r, "currency")
+    return report.matched_by_currency(r).join(d, "currency", "full")
+
+
+@query
+def report_summary_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summary_by(_run(spark, sf_dir), "type")
+
+
+@query
+def report_discrepancy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.discrepancy_rows(_run(spark, sf_dir)).select("discrepancy_id", "type", "currency", "evidence_record_ids", "sort_key")
+
+
+@query
+def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.content_digest(_run(spark, sf_dir), 1).select(ids.short_hash(F.col("digest")).alias("digest"))
+
+
+# SQL. Each constant is a chain of common table expressions that the next one goes on from.
+
+_SQL_PAY = """
+with base as (
+  select o_orderkey as k, cast(round(o_totalprice * 100) as bigint) as m,
+    (['USD','EUR','GBP','CNY','JPY'])[o_custkey % 5 + 1] as currency,
+    epoch_us(o_orderdate) * 1000 + (o_orderkey * 37 % 86400) * 1000000000 as ns,
+    case when o_orderkey % 4 <> 0 then 'BIZ' || o_orderkey else '' end as bid
+  from orders),
+raw as (
+  select 'internal' as role, 0 as role_rank, 'INT' || k as external_id, bid as business_id, m as amount_minor, 0 as fee_minor, currency, ns as ts_ns, 1 + 4 * k as source_line from base where k % 29 <> 0
+  union all select 'internal', 0, 'INT' || k, bid, m, 0, currency, ns, 2 + 4 * k from base where k % 101 = 0 and k % 29 <> 0
+  union all select 'processor', 1, 'PRC' || k, bid, m + case when k % 4 = 0 then k % 13 - 6 else 0 end, case when k % 31 = 0 then 7 else 0 end, currency, ns + (k % 150) * 1000000000, 1 + 4 * k from base where k % 23 <> 0
+  union all select 'processor', 1, 'PRC' || k || 'b', '', m + k % 13 - 6, case when k % 31 = 0 then 7 else 0 end, currency, ns + (k % 150) * 1000000000, 2 + 4 * k from base where k % 44 = 0 and k % 23 <> 0
+  union all select 'bank', 2, 'BNK' || k, bid, m, 0, currency, ns + (k % 60) * 1000000000, 1 + 4 * k from base where k % 3 <> 0),
+hashed as (
+  select *, role as source_id, substr(sha256(role || '|' || currency || '|' || amount_minor || '|credit|' || ts_ns || '||' || business_id), 1, 16) as content_hash from raw),
+pay as materialized (
+  select *, 'b-' || role as batch_id, 0 as batch_ord, 'rec_' || substr(sha256(source_id || '|' || source_line || '|' || content_hash), 1, 16) as record_id,
+    role || '|' || external_id || '|' || content_hash as stable_key
+  from hashed)"""
+
+_SQL_RESENT = (
+    _SQL_PAY
+    + """,
+resent as (
+  select * from pay union all
+  select * replace ('b-resend' as batch_id, 1 as batch_ord) from pay where role = 'processor' and source_line // 4 % 50 = 0)"""
+)
+
+
+def _sql_layer(kind: str, source: str) -> str:
+    keys = ", ".join(dedup.KEYS[kind])
+    other = {"exact_key": "true", "content_fingerprint": "external_id <> c_ext", "retransmit": "batch_id <> c_batch"}[kind]
+    w = f"(partition by {keys} order by stable_key, source_line, batch_ord, record_id, external_id, batch_id)"
+    return f"""
+select 'dup_' || substr(sha256('{kind}|' || least(c_id, record_id) || '|' || greatest(c_id, record_id)), 1, 16) as relation_id,
+  c_id as canonical_id, record_id as duplicate_id, batch_id as duplicate_batch, source_id
+from (select *, row_number() over {w} as rn, first_value(record_id) over {w} as c_id, first_value(external_id) over {w} as c_ext, first_value(batch_id) over {w} as c_batch from {source})
+where rn > 1 and {other}"""
+
+
+def _sql_active(source: str) -> str:
+    return f""",
+gone as (select duplicate_id, duplicate_batch from ({_sql_layer("exact_key", source)})),
+active as materialized (select * from {source} p where not exists (select 1 from gone g where g.duplicate_id = p.record_id and g.duplicate_batch = p.batch_id))"""
+
+
+_SQL_ACTIVE = _SQL_PAY + _sql_active("pay")
+
+_SQL_EXACT = """,
+firsts as (
+  select *, row_number() over (partition by currency, business_id, role order by stable_key, source_line, batch_ord, record_id) as rn
+  from {source} where business_id <> ''),
+exact as materialized (
+  select currency, business_id, string_agg(record_id, ',' order by record_id) as record_ids, min_by(amount_minor, role_rank) as amount_minor,
+    'mg_' || substr(sha256(string_agg(record_id, chr(10) order by record_id) || chr(10)), 1, 16) as match_group_id, count(*) as n
+  from firsts where rn = 1 group by 1, 2 having count(*) >= 2)"""
+
+_SQL_FREE = (
+    _SQL_ACTIVE
+    + _SQL_EXACT.format(source="active")
+    + """,
+used as (select unnest(string_split(record_ids, ',')) as record_id from exact),
+free as materialized (select * from active where record_id not in (select record_id from used))"""
+)
+
+_PAIR = "b.ts_ns between a.ts_ns - 120000000000 and a.ts_ns + 120000000000"
+_SQL_EDGES = (
+    _SQL_FREE
+    + f""",
+edges as materialized (
+  select a.record_id as a_record_id, b.record_id as b_record_id, a.stable_key as a_key, b.stable_key as b_key, a.source_line as a_line, b.source_line as b_line, a.amount_minor as a_amount, a.currency,
+    abs(a.amount_minor - b.amount_minor) as amount_diff, abs(a.ts_ns - b.ts_ns) as time_diff_ns, abs(a.fee_minor - b.fee_minor) as fee_diff
+  from free a join free b on a.currency = b.currency and a.role_rank < b.role_rank and {_PAIR}
+  where abs(a.amount_minor - b.amount_minor) <= 5 and abs(a.fee_minor - b.fee_minor) <= 0)"""
+)
+
+_SQL_TIED = (
+    _SQL_EDGES
+    + """,
+ends as (
+  select a_record_id as record_id, currency, b_record_id as other, b_key as other_key, b_line as other_line, amount_diff, time_diff_ns, fee_diff from edges
+  union all select b_record_id, currency, a_record_id, a_key, a_line, amount_diff, time_diff_ns, fee_diff from edges),
+placed as (select *, rank() over (partition by record_id order by amount_diff, time_diff_ns, fee_diff) as r from ends),
+tied as materialized (
+  select record_id, currency, '1,' || any_value(amount_diff) || ',' || any_value(time_diff_ns) || ',' || any_value(fee_diff) as score_tuple, string_agg(other, ',' order by other_key, other_line, other) as candidate_ids
+  from placed where r = 1 group by 1, 2 having count(*) >= 2)"""
+)
+
+ROUNDS = 6
+
+
+def _sql_won() -> str:
+    order = "amount_diff, time_diff_ns, fee_diff, a_key, b_key, a_line, b_line, a_record_id, b_record_id"
+    out = f""",
+left0 as materialized (select *, row_number() over (order by {order}) as o from edges where a_record_id not in (select record_id from tied) and b_record_id not in (select record_id from tied))"""
+    for i in range(ROUNDS):
+        out += f""",
+best{i} as (select n, min(o) as m from (select a_record_id as n, o from left{i} union all select b_record_id, o from left{i}) group by 1),
+won{i} as materialized (select e.* from left{i} e join best{i} x on x.n = e.a_record_id join best{i} y on y.n = e.b_record_id where x.m = o and y.m = o),
+left{i + 1} as materialized (select * from left{i} where a_record_id not in (select a_record_id from won{i} union all select b_record_id from won{i}) and b_record_id not in (select a_record_id from won{i} union all select b_record_id from won{i}))"""
+    return out + ",\nwon as materialized (" + " union all ".join(f"select * from won{i}" for i in range(ROUNDS)) + ")"
+
+
+_SQL_WON = _SQL_TIED + _sql_won()
+
+_SQL_DISC = (
+    _SQL_WON
+    + f""",
+rest as materialized (
+  select * from free where record_id not in (select a_record_id from won union all select b_record_id from won union all select record_id from tied)),
+near as (
+  select a.record_id as l, b.record_id as r, abs(a.amount_minor - b.amount_minor) as ad, abs(a.fee_minor - b.fee_minor) as fd,
+    row_number() over (partition by a.record_id order by abs(a.amount_minor - b.amount_minor), b.source_id, b.source_line, b.batch_ord, b.record_id) as rn
+  from rest a join active b on a.currency = b.currency and a.role <> b.role and {_PAIR}),
+t as materialized (select * from near where rn = 1),
+far as (
+  select a.record_id as l, b.record_id as r,
+    row_number() over (partition by a.record_id order by abs(a.ts_ns - b.ts_ns), b.source_id, b.source_line, b.batch_ord, b.record_id) as rn
+  from rest a join active b on a.currency = b.currency and a.role <> b.role and b.amount_minor between a.amount_minor - 5 and a.amount_minor + 5 and a.fee_minor = b.fee_minor
+  where a.record_id not in (select l from t)),
+judged as (
+  select p.record_id, p.currency, p.role,
+    case when t.r is not null and t.ad > 5 then 'amount_mismatch' when t.r is not null and t.fd > 0 then 'fee_mismatch' when t.r is null and f.r is not null then 'time_mismatch'
+      when p.role = 'processor' then 'missing_internal' else 'missing_processor' end as type, t.r as tr, f.r as fr
+  from rest p left join t on t.l = p.record_id left join (select * from far where rn = 1) f on f.l = p.record_id),
+named as (select type, currency, record_id, case when type in ('amount_mismatch', 'fee_mismatch') then tr when type = 'time_mismatch' then fr end as other, null as cands from judged),
+disc as materialized (
+  select 'disc_' || substr(sha256(type || chr(10) || record_id || chr(10) || case when other is null then '' else other || chr(10) end), 1, 16) as discrepancy_id,
+    type, currency, record_id || case when other is null then '' else ',' || other end as record_ids from named
+  union all
+  select 'disc_' || substr(sha256('ambiguous' || chr(10) || record_id || chr(10) || replace(candidate_ids, ',', chr(10)) || chr(10)), 1, 16), 'ambiguous', currency, record_id from tied),
+pieces as (select *, unnest(string_split(record_ids, ',')) as record_id, generate_subscripts(string_split(record_ids, ','), 1) as place from disc),
+evidence as materialized (select d.*, p.amount_minor, p.stable_key from pieces d join active p using (record_id)),
+matched as (select currency, amount_minor, match_group_id from exact union all select currency, a_amount, 'mg_' || substr(sha256(least(a_record_id, b_record_id) || chr(10) || greatest(a_record_id, b_record_id) || chr(10)), 1, 16) from won)"""
+)
+
+_SQL_LINES = """
+with lines as (
+  select l_orderkey as k, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) as rn,
+    cast(round(l_extendedprice * 100) as bigint) as v from lineitem),
+raw as (
+  select 'processor' as role, k, rn, 'LIN' || k || '-' || lpad(rn::varchar, 2, '0') as external_id, v as amount_minor, k * 3600000000000 + rn * 1000000000 as ts_ns, k * 100 + rn as source_line from lines
+  union all select 'bank', k, 0, 'SET' || k, sum(v) filter (rn <= 3), k * 3600000000000, k * 100 from lines group by k),
+recs as materialized (
+  select *, 'rec_' || substr(sha256(role || '|' || source_line || '|' || substr(sha256(role || '|USD|' || amount_minor || '|credit|' || ts_ns || '||'), 1, 16)), 1, 16) as record_id from raw),
+m as (select * from recs where role = 'processor'),
+a as (select * from recs where role = 'bank'),
+sizes as (select k, count(*) as n from m group by k),
+subsets as materialized (
+  select x.k, 2 as size, x.rn as r1, y.rn as r2, 0 as r3, x.amount_minor + y.amount_minor as total, [x.record_id, y.record_id] as members from m x join m y on x.k = y.k and x.rn < y.rn
+  union all
+  select x.k, 3, x.rn, y.rn, z.rn, x.amount_minor + y.amount_minor + z.amount_minor, [x.record_id, y.record_id, z.record_id] from m x join m y on x.k = y.k and x.rn < y.rn join m z on y.k = z.k and y.rn < z.rn),
+numbered as (select *, row_number() over (partition by k order by size, r1, r2, r3) as place from subsets),
+valid as (select s.*, a.record_id as anchor, a.amount_minor as want, row_number() over (partition by s.k order by place) as rn from numbered s join a on a.k = s.k where abs(a.amount_minor - s.total) <= 1)"""
+
+ORACLE_SQL = {
+    "normalize_amounts": """
+with x as (select l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(round(l_extendedprice * 100) as bigint) as m, l_partkey % 8 as kind from lineitem),
+y as (select *, case kind when 2 then -m when 4 then null when 6 then null when 7 then m // 100 * 100 else m end as minor, case kind when 4 then 'too_many_digits' when 6 then 'bad_format' end as code from x)
+select l_orderkey, l_partkey, l_suppkey, l_linenumber, minor, code, case when minor < 0 then '-' else '' end || (abs(minor) // 100) || '.' || lpad((abs(minor) % 100)::varchar, 2, '0') as rendered from y""",
+    "rounding_modes": """
+with x as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as m from orders)
+select o_orderkey, m // 10 as trunc, m // 10 + case when m % 10 >= 5 then 1 else 0 end as half_up,
+  m // 10 + case when m % 10 > 5 or (m % 10 = 5 and (m // 10) % 2 = 1) then 1 else 0 end as half_even from x""",
+    "record_identity": _SQL_PAY + " select role, external_id, source_line, content_hash, record_id, stable_key from pay",
+    "currency_partition_summary": _SQL_PAY + " select role, currency, count(*) as n_records, sum(amount_minor)::bigint as amount_minor, sum(fee_minor)::bigint as fee_minor, count(distinct business_id) as n_business_ids from pay group by 1, 2",
+    "batch_content_digest": _SQL_PAY + " select 'b-' || role || '-' || (ts_ns // 86400000000000) as batch_id, count(*) as record_count, count(*) as valid_count, sum(amount_minor)::bigint as amount_sum_minor, substr(sha256(string_agg(record_id, chr(10) order by record_id) || chr(10)), 1, 16) as content_digest from pay group by 1",
+    "events_ndjson_normalize": """
+select event_id as source_line, 'EVT' || event_id as external_id, 'U' || user_id as business_id, cast(cast(value as decimal(18,2)) * 100 as bigint) as amount_minor, epoch_us(ts) * 1000 as ts_ns, event_type as memo, false as isolated from events""",
+    "json_projection": "select event_id, json_extract_string(props, '$.k') as k from events",
+    **{f"dedup_{k}": _SQL_RESENT + _sql_layer(k, "resent") for k in dedup.KEYS},
+    "excluded_records": _SQL_RESENT + _sql_active("resent") + " select role, batch_id, count(*) as n_kept, sum(amount_minor)::bigint as amount_minor from active group by 1, 2",
+    "match_exact_id": _SQL_ACTIVE + _SQL_EXACT.format(source="active") + " select match_group_id, currency, amount_minor, record_ids from exact",
+    "exact_match_summary": _SQL_PAY + _SQL_EXACT.format(source="pay") + " select currency, count(*) as n_groups, sum(amount_minor)::bigint as amount_minor, sum(n)::bigint as n_records from exact group by 1",
+    "tolerance_candidates": _SQL_EDGES + " select a_record_id, b_record_id, currency, amount_diff, time_diff_ns, fee_diff from edges",
+    "tolerance_candidates_percent": _SQL_FREE + f" select a.record_id as a_record_id, b.record_id as b_record_id, a.currency, abs(a.amount_minor - b.amount_minor) as amount_diff from free a join free b on a.currency = b.currency and a.role_rank < b.role_rank and {_PAIR} where abs(a.amount_minor - b.amount_minor)::hugeint * 10000 <= abs(greatest(a.amount_minor, b.amount_minor))",
+    "ambiguous_records": _SQL_TIED + " select record_id, currency, score_tuple, candidate_ids from tied",
+    "tolerance_matches": _SQL_WON + " select 'mg_' || substr(sha256(least(a_record_id, b_record_id) || chr(10) || greatest(a_record_id, b_record_id) || chr(10)), 1, 16) as match_group_id, currency, a_amount as amount_minor, least(a_record_id, b_record_id) || ',' || greatest(a_record_id, b_record_id) as record_ids, '1,' || amount_diff || ',' || time_diff_ns || ',' || fee_diff as score_tuple from won",
+    "one_to_many_matches": _SQL_LINES + ", won as (select *, list_sort(list_append(members, anchor)) as ids from valid where rn = 1) select 'mg_' || substr(sha256(array_to_string(ids, chr(10)) || chr(10)), 1, 16) as match_group_id, 'bank' as anchor_role, want::bigint as amount_minor, array_to_string(ids, ',') as record_ids, abs(want - total)::bigint as amount_diff from won",
+    "search_limit_discrepancies": _SQL_LINES + ", found as (select k, min(place) as place from valid group by k), total as (select k, count(*) as n from subsets group by k), stopped as (select t.k from total t left join found f using (k) where t.n > 5 and coalesce(f.place, 6) > 5), ids as (select s.k, any_value(a.record_id) as anchor, string_agg(m.record_id, ',' order by m.record_id) as others from stopped s join a on a.k = s.k join m on m.k = s.k group by s.k) select 'disc_' || substr(sha256('search_limit' || chr(10) || anchor || chr(10) || replace(others, ',', chr(10)) || chr(10)), 1, 16) as discrepancy_id, 'search_limit' as type, anchor || ',' || others as record_ids, 'combination search limit exceeded' as note from ids",
+    "time_islands": _SQL_PAY + ", cuts as (select currency, ts_ns, case when ts_ns - lag(ts_ns) over (partition by currency order by ts_ns) > 120000000000 then 1 else 0 end as c from pay), numbered as (select *, sum(c) over (partition by currency order by ts_ns rows unbounded preceding) as island from cuts) select currency, min(ts_ns) as first_ns, max(ts_ns) as last_ns, count(*) as n_records from numbered group by currency, island",
+    "classify_leftovers": _SQL_DISC + " select discrepancy_id, type, currency, record_ids from disc where type <> 'ambiguous'",
+    "missing_by_role": _SQL_DISC + " select type, currency, count(*) as n from disc where type like 'missing%' group by 1, 2",
+    "report_summary_by_currency": _SQL_DISC + " select * from (select currency, count(*) as matched_count, sum(amount_minor)::bigint as matched_amount_minor from matched group by 1) full join (select currency, count(distinct discrepancy_id) as discrepancy_count, sum(amount_minor)::bigint as discrepancy_amount_minor from evidence group by 1) using (currency)",
+    "report_summary_by_type": _SQL_DISC + " select type, count(distinct discrepancy_id) as discrepancy_count, sum(amount_minor)::bigint as discrepancy_amount_minor from evidence group by 1",
+    "report_discrepancy_rows": _SQL_DISC + " select discrepancy_id, type, currency, string_agg(record_id, ';' order by place) as evidence_record_ids, currency || '|' || type || '|' || string_agg(stable_key, '|' order by place) as sort_key from evidence group by 1, 2, 3",
+    "report_digest": _SQL_DISC + " select substr(sha256('groups:' || (select string_agg(match_group_id, ',' order by match_group_id) from matched) || '|discs:' || (select string_agg(discrepancy_id, ',' order by discrepancy_id) from disc) || '|matched=' || (select count(*) from matched) || '|amt=' || (select sum(amount_minor) from matched) || '|rule=1'), 1, 16) as digest",
+}

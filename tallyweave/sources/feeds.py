@@ -130,7 +130,7 @@ def normalise(rows: DataFrame, source: Source, batch_id: str, batch_ord: int = 0
         {
             "_cur": F.upper(F.when(F.coalesce("currency", F.lit("")) != "", F.col("currency")).otherwise(F.lit(source.currency))),
             "_dir": F.lower(F.regexp_replace(F.coalesce("direction", F.lit("")), BLANK, "")),
-            "_ns": timeparse.parse_ns(F.col("timestamp"), F.lit(source.timezone)),
+            "_ns": timeparse.parse_ns(F.col("timestamp"), source.timezone),
         }
     )
     x = x.withColumn("_scale", currency_scale(F.col("_cur"), currencies))
