@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ BLOCK = 128
 MAGIC = 0x38535754  # "TWS8"
 VERSION = 1
 SLICE_BYTES = 2 << 20
-LEARN_WORDS = 4096
+LEARN_WORDS = 512
 
 
 class _Words(dict):
@@ -47,19 +48,44 @@ class _Words(dict):
         return n
 
 
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(rf"[{_LETTERS}]+")
+_RUNS = re.compile(rf"[{_LETTERS}]+|[^{_LETTERS} \t\n\r\x0b\x0c\x85\xa0]+")
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text in chunks that the vocabulary encodes apart.
+
+    Its pre-tokeniser separates letters from other characters, but for an apostrophe with the
+    letters after it; special tokens mix both. Texts of Latin-1 characters without either are
+    cut there, in lower case as the vocabulary's own; all others at blanks and line feeds.
+    """
+    if "'" not in text and "<|" not in text:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            return _RUNS.findall(text.lower())
+    return text.replace("\n", " ").split(" ")
+
+
 class CachedEncoder:
     """Encodes whole texts with the ``tokenizers`` library; equal chunks between blanks are encoded once.
 
-    The vocabulary in use drops white space and never merges over it, so a text's ids are
-    its chunks' ids in order. At most ``max_words`` chunks are remembered; chunks of over
+    The vocabulary in use drops white space and never merges over the bounds of
+    ``chunks_of``, so a text's ids are its chunks' ids in order. At most ``max_words`` chunks are remembered; chunks of over
     ``long`` characters count for many.
     """
 
-    def __init__(self, path: str, end_id: int = 1, max_words: int = 250_000, long: int = 64):
+    def __init__(self, path: str, end_id: int = 1, max_words: int = 500_000, long: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.max_words, self.long = Tokenizer.from_file(path), end_id, max_words, long
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -74,7 +100,7 @@ class CachedEncoder:
             self._reset()
         index, firsts, parts, n = self.words, [], [], 0
         for text in texts:
-            words = text.replace("\n", " ").split(" ")
+            words = chunks_of(text)
             words.append("\n")
             firsts.append(n)
             n += len(words)
@@ -89,17 +115,28 @@ class CachedEncoder:
         return self.flat[at], np.add.reduceat(lens, firsts)
 
     def _learn(self) -> None:
-        if not self.words.fresh:
-            return
         fresh = self.words.fresh
-        # a few at a time, since the library's results are large
-        new = [e.ids for i in range(0, len(fresh), LEARN_WORDS) for e in self.tokenizer.encode_batch(fresh[i : i + LEARN_WORDS], add_special_tokens=False)]
-        self.weight += sum(1 + len(w) // self.long for w in self.words.fresh)
-        lens = np.fromiter(map(len, new), np.int64, len(new))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in new for i in ids), np.uint32, int(lens.sum()))])
-        self.words.fresh.clear()
+        if not fresh:
+            return
+        self.weight += sum(1 + len(w) // self.long for w in fresh)
+        lens, ids = np.zeros(len(fresh), np.int64), []
+        plain = [i for i, w in enumerate(fresh) if _WORD.fullmatch(w)]
+        other = [i for i, w in enumerate(fresh) if not _WORD.fullmatch(w)]
+        # Words of letters alone go in lines: each ends with the one token that is marked as a word's end.
+        for a in range(0, len(plain), LEARN_WORDS):
+            got = np.array(self.tokenizer.encode(" ".join([fresh[i] for i in plain[a : a + LEARN_WORDS]]), add_special_tokens=False).ids, np.uint32)
+            lens[plain[a : a + LEARN_WORDS]] = np.diff(np.flatnonzero(self.ends_word[got]), prepend=-1)
+            ids.append(got)
+        for a in range(0, len(other), LEARN_WORDS):
+            for i, e in zip(other[a : a + LEARN_WORDS], self.tokenizer.encode_batch([fresh[i] for i in other[a : a + LEARN_WORDS]], add_special_tokens=False)):
+                lens[i] = len(e.ids)
+                ids.append(np.array(e.ids, np.uint32))
+        order = np.array(plain + other)
+        starts = np.zeros(len(fresh), np.int64)
+        starts[order] = len(self.flat) + np.cumsum(lens[order]) - lens[order]
+        self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
+        self.flat = np.concatenate([self.flat, *ids])
+        fresh.clear()
 
 
 @functools.lru_cache(maxsize=1)
