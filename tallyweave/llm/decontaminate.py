@@ -230,33 +230,38 @@ def phrase_matches(index: PositionalIndex, items: DataFrame, window: int = WINDO
         found = part if found is None else found.union(part)
     if found is None:
         found = index.postings.sparkSession.createDataFrame([], "segment long, item string, length int, start long")
-    # A segment's documents are intervals of its positions; their start brackets the match.
-    spans = index.documents.where("n_words > 0").groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("base", "ordinal", "doc_id"))).alias("spans"))
+    return _locate(index, found)
 
+
+def _locate(index: PositionalIndex, found: DataFrame) -> DataFrame:
+    """Matches (segment, item, start, length) in words of their documents; those that run over a document's end are left out."""
+    # A segment's documents are intervals of its positions; the last one that starts before a match holds it.
+    spans = index.documents.where("n_words > 0").groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("base", "ordinal", "doc_id", "n_words"))).alias("spans"))
     hits = found.join(spans, "segment")
 
     def locate(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            bounds = run_bounds(table, ["segment"])
+            bounds = run_bounds(pa.Table.from_batches([batch]), ["segment"])
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 entry = batch.column("spans")[s].values
-                base = entry.field("base").to_numpy()
+                base, words = entry.field("base").to_numpy(), entry.field("n_words").to_numpy()
                 part = batch.slice(s, e - s)
                 start = part.column("start").to_numpy()
                 i = np.searchsorted(base, start, side="right") - 1
-                yield pa.RecordBatch.from_arrays([part.column("segment"), entry.field("ordinal").take(pa.array(i)), entry.field("doc_id").take(pa.array(i)), part.column("item"), pa.array(start - base[i]), part.column("length")], ["segment", "ordinal", "doc_id", "item", "start", "length"])
+                inside = pa.array(start - base[i] + part.column("length").to_numpy() <= words[i])
+                out = pa.RecordBatch.from_arrays([part.column("segment"), entry.field("ordinal").take(pa.array(i)), entry.field("doc_id").take(pa.array(i)), part.column("item"), pa.array(start - base[i]), part.column("length")], ["segment", "ordinal", "doc_id", "item", "start", "length"])
+                yield out.filter(inside)
 
-    return arrow_map(hits, locate, "segment long, ordinal int, doc_id long, item string, start long, length int")
+    return arrow_map(hits.select("segment", "item", "start", "length", "spans"), locate, "segment long, ordinal int, doc_id long, item string, start long, length int")
 
 
 def proximity_matches(index: PositionalIndex, items: DataFrame, reach: int = 30) -> DataFrame:
-    """(segment, item, start, end): stretches of at most ``reach`` words that hold all terms of an item of at most ``WINDOW`` words, in any order.
+    """Stretches of at most ``reach`` words that hold all terms of an item of at most ``WINDOW`` words, in any order; columns as of ``phrase_matches``.
 
-    Each stretch starts at an occurrence of one of the terms and is the shortest from there;
-    positions are those of the segment. Longer items have phrase matches only.
+    Each stretch starts at an occurrence of one of the terms and is the shortest from there.
+    Longer items have phrase matches only.
     """
     found = None
     spark = index.postings.sparkSession
@@ -285,11 +290,11 @@ def proximity_matches(index: PositionalIndex, items: DataFrame, reach: int = 30)
                             ends = np.maximum(ends, np.where(i < len(lists[t]), lists[t][np.minimum(i, len(lists[t]) - 1)], np.iinfo(np.int64).max - 1))
                         ok = ends - starts < reach
                         n = int(ok.sum())
-                        yield pa.RecordBatch.from_pydict({"segment": pa.array(np.full(n, segment[s])), "item": pa.array([name] * n, pa.string()), "start": pa.array(starts[ok]), "end": pa.array(ends[ok] + 1)})
+                        yield pa.RecordBatch.from_pydict({"segment": pa.array(np.full(n, segment[s])), "item": pa.array([name] * n, pa.string()), "length": pa.array((ends[ok] + 1 - starts[ok]).astype(np.int32)), "start": pa.array(starts[ok])})
 
-        part = arrow_map(lists.repartition(partitions(spark), "segment").sortWithinPartitions("segment"), near, "segment long, item string, start long, end long")
+        part = arrow_map(lists.repartition(partitions(spark), "segment").sortWithinPartitions("segment"), near, "segment long, item string, length int, start long")
         found = part if found is None else found.union(part)
-    return found if found is not None else spark.createDataFrame([], "segment long, item string, start long, end long")
+    return _locate(index, found if found is not None else spark.createDataFrame([], "segment long, item string, length int, start long"))
 
 
 def _digest(items: list[str]) -> str:
