@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -81,16 +82,19 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 60, rate: fl
         for w in words_of(text):
             k = words.setdefault(w, len(words))
             bag[k] = bag.get(k, 0) + 1
-        doc.append(np.full(len(bag), i))
-        word.append(np.fromiter(bag.keys(), np.int64, len(bag)))
+        doc.append(np.full(len(bag), i, np.int32))
+        word.append(np.fromiter(bag.keys(), np.int32, len(bag)))
         count.append(np.fromiter(bag.values(), np.float32, len(bag)))
     y = np.array(labels, np.int64)
     base = float(y.mean()) if len(y) else 0.0
     if not words or len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((base + 1e-6) / (1 - base + 1e-6))), base)
-    grams = [subwords(w) for w in words]
-    size = np.fromiter(map(len, grams), np.float32, len(grams))
-    of_word = _Sparse(np.repeat(np.arange(len(grams)), size.astype(np.int64)), np.fromiter((b for g in grams for b in g), np.int64, int(size.sum())), None, len(grams), BUCKETS)
+    flat, size = array("i"), np.zeros(len(words), np.float32)
+    for k, w in enumerate(words):
+        found = subwords(w)
+        flat.extend(found)
+        size[k] = len(found)
+    of_word = _Sparse(np.repeat(np.arange(len(words), dtype=np.int32), size.astype(np.int64)), np.frombuffer(flat, np.int32), None, len(words), BUCKETS)
     doc, word, count = np.concatenate(doc), np.concatenate(word), np.concatenate(count)
     total = np.bincount(doc, weights=count * size[word], minlength=len(texts)).astype(np.float32)
     of_doc = _Sparse(doc, word, count * gain / total[doc], len(texts), len(words))
