@@ -245,6 +245,18 @@ def test_passages(spark, texts):
     for r in got:
         assert r.n_words >= 50 and r.similarity >= 0.8 and r.doc_id > r.other_id
     assert passages.repeated_passages(frame(spark, [])).count() == 0
+    twice = passages.repeated_passages(frame(spark, [*rows, (rows[0][0], None)])).collect()
+    assert {r.doc_id for r in got} <= {r.doc_id for r in twice}
+
+
+def test_passages_of_a_document_that_many_repeat(spark, monkeypatch):
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(n))
+    passage = make(80)
+    rows = [(i, f"{make(20)} {passage} {make(i % 7)}") for i in range(40)]
+    whole = sorted(map(tuple, passages.repeated_passages(frame(spark, rows)).collect()))
+    monkeypatch.setattr(passages, "RANGES", 4)
+    assert sorted(map(tuple, passages.repeated_passages(frame(spark, rows)).collect())) == whole and {r[0] for r in whole} == set(range(1, 40))
 
 
 def test_chains_are_collinear_and_best():
