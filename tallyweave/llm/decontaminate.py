@@ -10,8 +10,8 @@ by their offsets, are intersected one after the other.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +48,18 @@ def _deltas(positions: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class PositionalIndex:
-    """The written index. postings: (segment, term, n, positions); documents: (segment, ordinal, doc_id, base, n_words).
+    """The written index. postings: (segment, term, n, positions); segments: (segment, doc_ids, bases, counts), arrays by ordinal.
 
     positions is a binary column of ascending token positions, differences in 32 bits,
     counted over the segment with one empty position after each document, so that no phrase
-    runs from one document into the next.
+    runs from one document into the next. documents are the segments' arrays as rows:
+    (segment, ordinal, doc_id, base, n_words).
     """
 
-    def __init__(self, postings: DataFrame, documents: DataFrame):
-        self.postings, self.documents = postings, documents
+    def __init__(self, table: DataFrame):
+        self.postings = table.where("term is not null").select("segment", "term", "n", "positions")
+        self.segments = table.where("doc_ids is not null").select("segment", "doc_ids", "bases", "counts")
+        self.documents = self.segments.select("segment", F.posexplode(F.arrays_zip("doc_ids", "bases", "counts"))).select("segment", F.col("pos").alias("ordinal"), F.col("col.doc_ids").alias("doc_id"), F.col("col.bases").alias("base"), F.col("col.counts").alias("n_words"))
 
 
 def build_index(docs: DataFrame) -> PositionalIndex:
@@ -101,10 +104,7 @@ def build_index(docs: DataFrame) -> PositionalIndex:
                 segment += 1
 
     rows = arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), index, "segment long, term string, n int, positions binary, doc_ids array<long>, bases array<long>, counts array<long>")
-    table = written(rows)
-    postings = table.where("term is not null").select("segment", "term", "n", "positions")
-    documents = table.where("doc_ids is not null").select("segment", F.posexplode(F.arrays_zip("doc_ids", "bases", "counts"))).select("segment", F.col("pos").alias("ordinal"), F.col("col.doc_ids").alias("doc_id"), F.col("col.bases").alias("base"), F.col("col.counts").alias("n_words"))
-    return PositionalIndex(postings, documents)
+    return PositionalIndex(written(rows))
 
 
 class Phrases:
@@ -197,25 +197,52 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[t
     return [*blocks, block] if block else blocks
 
 
-def _search_block(index: PositionalIndex, block: list, window: int) -> DataFrame:
-    """(segment, item, length, start): occurrences of one block's windows."""
+MATCH = "segment long, ordinal int, doc_id long, item string, start long, length int"
+
+
+def _dealt_lists(index: PositionalIndex, phrases: Phrases) -> DataFrame:
+    """The posting lists of the phrases' terms and the table of documents (k is null) of every segment, each segment in one piece."""
     spark = index.postings.sparkSession
-    phrases = Phrases(block, window)
     wanted = spark.createDataFrame([(w.decode(), k) for w, k in phrases.terms.items()], "term string, k int")
+    none = [F.lit(None).cast("array<long>").alias(c) for c in ("doc_ids", "bases", "counts")]
     # at most BLOCK_WORDS short strings, so the size of what is broadcast is bounded
-    lists = index.postings.join(F.broadcast(wanted), "term").select("segment", "k", "positions")
+    lists = index.postings.join(F.broadcast(wanted), "term").select("segment", "k", "positions", *none)
+    tables = index.segments.select("segment", F.lit(None).cast("int").alias("k"), F.lit(None).cast("binary").alias("positions"), "doc_ids", "bases", "counts")
+    return lists.union(tables).repartition(partitions(spark), "segment").sortWithinPartitions("segment")
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, np.ndarray], list[pa.Array]]]:
+    """(segment, positions by term number, [doc_ids, bases, counts]) of the dealt segments."""
+    for table in sorted_runs(batches, ["segment"]):
+        bounds = run_bounds(table, ["segment"])
+        segment, ks, blobs = table.column("segment").to_numpy(), table.column("k").to_pylist(), table.column("positions")
+        for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            lists = {ks[i]: np.cumsum(np.frombuffer(blobs[i].as_buffer(), "<u4"), dtype=np.int64) for i in range(s, e) if ks[i] is not None}
+            own = next(i for i in range(s, e) if ks[i] is None)
+            yield int(segment[s]), lists, [table.column(c)[own].values for c in ("doc_ids", "bases", "counts")]
+
+
+def _located(segment: int, documents: list[pa.Array], items: list[str], starts: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+    """Matches in words of their documents: the last one that starts before a match holds it, unless the match runs over its end."""
+    doc_ids, bases, counts = documents
+    base = bases.to_numpy()
+    i = np.searchsorted(base, starts, side="right") - 1
+    inside = starts - base[i] + lengths <= counts.to_numpy()[i]
+    columns = [pa.array(np.full(len(i), segment)), pa.array(i.astype(np.int32)), doc_ids.take(pa.array(i)), pa.array(items, pa.string()), pa.array(starts - base[i]), pa.array(lengths.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["segment", "ordinal", "doc_id", "item", "start", "length"]).filter(pa.array(inside))
+
+
+def _search_block(index: PositionalIndex, block: list, window: int) -> DataFrame:
+    """Occurrences of one block's windows."""
+    phrases = Phrases(block, window)
 
     def search(batches):
-        for table in sorted_runs(batches, ["segment"]):
-            bounds = run_bounds(table, ["segment"])
-            segment, ks, blobs = table.column("segment").to_numpy(), table.column("k").to_numpy(), table.column("positions")
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                lists = {int(ks[i]): np.cumsum(np.frombuffer(blobs[i].as_buffer(), "<u4"), dtype=np.int64) for i in range(s, e)}
-                w, start = _intersect(phrases, lists)
-                yield pa.RecordBatch.from_pydict({"segment": pa.array(np.full(len(w), segment[s])), "item": pa.array([phrases.names[k] for k in phrases.item[w].tolist()], pa.string()), "length": pa.array(phrases.length[w].astype(np.int32)), "start": pa.array(start)})
+        for segment, lists, documents in _segments(batches):
+            w, start = _intersect(phrases, lists)
+            if len(w):
+                yield _located(segment, documents, [phrases.names[k] for k in phrases.item[w].tolist()], start, phrases.length[w])
 
-    dealt = lists.repartition(partitions(spark), "segment").sortWithinPartitions("segment")
-    return arrow_map(dealt, search, "segment long, item string, length int, start long")
+    return arrow_map(_dealt_lists(index, phrases), search, MATCH)
 
 
 def phrase_matches(index: PositionalIndex, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -228,33 +255,7 @@ def phrase_matches(index: PositionalIndex, items: DataFrame, window: int = WINDO
     for block in item_blocks(items):
         part = _search_block(index, block, window)
         found = part if found is None else found.union(part)
-    if found is None:
-        found = index.postings.sparkSession.createDataFrame([], "segment long, item string, length int, start long")
-    return _locate(index, found)
-
-
-def _locate(index: PositionalIndex, found: DataFrame) -> DataFrame:
-    """Matches (segment, item, start, length) in words of their documents; those that run over a document's end are left out."""
-    # A segment's documents are intervals of its positions; the last one that starts before a match holds it.
-    spans = index.documents.where("n_words > 0").groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("base", "ordinal", "doc_id", "n_words"))).alias("spans"))
-    hits = found.join(spans, "segment")
-
-    def locate(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bounds = run_bounds(pa.Table.from_batches([batch]), ["segment"])
-            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                entry = batch.column("spans")[s].values
-                base, words = entry.field("base").to_numpy(), entry.field("n_words").to_numpy()
-                part = batch.slice(s, e - s)
-                start = part.column("start").to_numpy()
-                i = np.searchsorted(base, start, side="right") - 1
-                inside = pa.array(start - base[i] + part.column("length").to_numpy() <= words[i])
-                out = pa.RecordBatch.from_arrays([part.column("segment"), entry.field("ordinal").take(pa.array(i)), entry.field("doc_id").take(pa.array(i)), part.column("item"), pa.array(start - base[i]), part.column("length")], ["segment", "ordinal", "doc_id", "item", "start", "length"])
-                yield out.filter(inside)
-
-    return arrow_map(hits.select("segment", "item", "start", "length", "spans"), locate, "segment long, ordinal int, doc_id long, item string, start long, length int")
+    return found if found is not None else index.postings.sparkSession.createDataFrame([], MATCH)
 
 
 def proximity_matches(index: PositionalIndex, items: DataFrame, reach: int = 30) -> DataFrame:
@@ -264,41 +265,30 @@ def proximity_matches(index: PositionalIndex, items: DataFrame, reach: int = 30)
     Longer items have phrase matches only.
     """
     found = None
-    spark = index.postings.sparkSession
     for block in item_blocks(items):
         short = [(name, words) for name, words in block if len(words) <= WINDOW]
         if not short:
             continue
         phrases = Phrases(short)
         sets = [sorted({phrases.terms[w] for w in words}) for _, words in short]
-        wanted = spark.createDataFrame([(w.decode(), k) for w, k in phrases.terms.items()], "term string, k int")
-        lists = index.postings.join(F.broadcast(wanted), "term").select("segment", "k", "positions")
 
         def near(batches, short=short, sets=sets):
-            for table in sorted_runs(batches, ["segment"]):
-                bounds = run_bounds(table, ["segment"])
-                segment, ks, blobs = table.column("segment").to_numpy(), table.column("k").to_numpy(), table.column("positions")
-                for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    lists = {int(ks[i]): np.cumsum(np.frombuffer(blobs[i].as_buffer(), "<u4"), dtype=np.int64) for i in range(s, e)}
-                    for (name, _), terms in zip(short, sets):
-                        if any(t not in lists for t in terms):
-                            continue
-                        starts = np.unique(np.concatenate([lists[t] for t in terms]))
-                        ends = starts.copy()
-                        for t in terms:
-                            i = np.searchsorted(lists[t], starts)
-                            ends = np.maximum(ends, np.where(i < len(lists[t]), lists[t][np.minimum(i, len(lists[t]) - 1)], np.iinfo(np.int64).max - 1))
-                        ok = ends - starts < reach
-                        n = int(ok.sum())
-                        yield pa.RecordBatch.from_pydict({"segment": pa.array(np.full(n, segment[s])), "item": pa.array([name] * n, pa.string()), "length": pa.array((ends[ok] + 1 - starts[ok]).astype(np.int32)), "start": pa.array(starts[ok])})
-
-        part = arrow_map(lists.repartition(partitions(spark), "segment").sortWithinPartitions("segment"), near, "segment long, item string, length int, start long")
+            for segment, lists, documents in _segments(batches):
+                for (name, _), terms in zip(short, sets):
+                    if any(t not in lists for t in terms):
+                        continue
+                    starts = np.unique(np.concatenate([lists[t] for t in terms]))
+                    ends = starts.copy()
+                    for t in terms:
+                        i = np.searchsorted(lists[t], starts)
+                        ends = np.maximum(ends, np.where(i < len(lists[t]), lists[t][np.minimum(i, len(lists[t]) - 1)], np.iinfo(np.int64).max - 1))
+                    ok = ends - starts < reach
+                    if ok.any():
+                        yield _located(segment, documents, [name] * int(ok.sum()), starts[ok], ends[ok] + 1 - starts[ok])
+
+        part = arrow_map(_dealt_lists(index, phrases), near, MATCH)
         found = part if found is None else found.union(part)
-    return _locate(index, found if found is not None else spark.createDataFrame([], "segment long, item string, length int, start long"))
-
-
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+    return found if found is not None else index.postings.sparkSession.createDataFrame([], MATCH)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -310,12 +300,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     hits = phrase_matches(index, items, window)
     keys = ["segment", "ordinal"]
     # Occurrences of a window of one document as intervals; neighbours are merged by a running maximum of their ends.
-    spans = hits.select(*keys, "start", (F.col("start") + F.col("length")).alias("end")).groupBy(*keys, "start").agg(F.max("end").alias("end"))
-    merged = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
+    # Both sets are bounded by one document's words and the items that it holds.
+    span = F.struct("start", (F.col("start") + F.col("length")).alias("end"))
+    sets = hits.groupBy(*keys).agg(F.sort_array(F.collect_set(span)).alias("s"), F.sort_array(F.collect_set("item")).alias("items"))
     covered = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], a["to"]))).alias("n"), F.greatest(a["to"], x["end"]).alias("to")))
-    n_hit = merged.select(*keys, covered["n"].alias("n_hit"))
-    names = hits.select(*keys, "item").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("item")).alias("items"))
-    found = n_hit.join(names, keys)
+    found = sets.select(*keys, covered["n"].alias("n_hit"), "items")
     out = index.documents.join(found, keys, "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
