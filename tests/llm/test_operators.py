@@ -259,6 +259,26 @@ def test_passages_of_a_document_that_many_repeat(spark, monkeypatch):
     assert sorted(map(tuple, passages.repeated_passages(frame(spark, rows)).collect())) == whole and {r[0] for r in whole} == set(range(1, 40))
 
 
+def found_pairs(spark, texts):
+    return {(r.doc_id, r.other_id) for r in passages.repeated_passages(frame(spark, texts)).collect()}
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    for size, share, wanted in ((60, 0.1, 0.95), (100, 0.15, 0.9), (100, 1 / 8, 1.0)):
+        rows = []
+        for i in range(0, 80, 2):
+            passage = [word() for _ in range(size)]
+            changed = set(range(7, size, 8)) if share == 1 / 8 else set(rng.sample(range(size), int(size * share)))
+            edited = [word() if k in changed else w for k, w in enumerate(passage)]
+            rows += [(i, " ".join([word() for _ in range(20)] + passage)), (i + 1, " ".join(edited + [word() for _ in range(20)]))]
+        got = {(i + 1, i) for i in range(0, 80, 2)} & found_pairs(spark, rows)
+        # of those that keep the similarity over 50 words by brute-force alignment on the known diagonal
+        possible = {(a, b) for a, b in ((i + 1, i) for i in range(0, 80, 2)) if passages.stretches(np.array([x == y for x, y in zip(rows[b][1].split()[20:], rows[a][1].split())]))}
+        assert got <= possible and len(got) >= wanted * len(possible) and len(possible) >= 30
+
+
 def test_chains_are_collinear_and_best():
     rng = np.random.default_rng(3)
     for _ in range(40):
