@@ -279,6 +279,33 @@ def test_edited_passages_are_found(spark):
         assert got <= possible and len(got) >= wanted * len(possible) and len(possible) >= 30
 
 
+def test_passages_of_parts_seen_earlier(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    make = lambda n: [word() for _ in range(n)]
+    rows, wanted = [], set()
+    for i in range(0, 200, 5):
+        passage = make(rng.randint(60, 90))
+        cut = rng.randint(20, 40)
+        parts = [passage[:cut], passage[cut:][:45], passage[cut + 45 :]]
+        texts = [make(9) + parts[0] + make(9), make(9) + parts[1] + make(9), make(3) + parts[2] + make(3) + parts[0], passage, make(7) + passage + make(5)]
+        rows += [(i + k, " ".join(t)) for k, t in enumerate(texts)]
+        wanted.add((i + 4, i + 3))
+    assert wanted <= found_pairs(spark, rows)
+
+
+def test_first_links_over_batches(spark):
+    rng = random.Random(13)
+    rows = [(rng.choice([0, 0, 0, 0, rng.randint(1, 60)]), rng.randint(0, 40), i) for i in range(3000)] + [(99, 5, i) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, passages.first_links(spark.createDataFrame(rows, "key long, doc_id long, pos int")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = {k: min((d, p) for x, d, p in rows if x == k) for k, _, _ in rows}
+    assert got == sorted((k, d, p, *first[k]) for k, d, p in rows if len({y for x, y, _ in rows if x == k}) > 1)
+
+
 def test_chains_are_collinear_and_best():
     rng = np.random.default_rng(3)
     for _ in range(40):
