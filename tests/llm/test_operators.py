@@ -294,12 +294,24 @@ def test_passages_of_parts_seen_earlier(spark):
     assert wanted <= found_pairs(spark, rows)
 
 
+def test_passages_of_repeated_lines(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    make = lambda n: " ".join(word() for _ in range(n))
+    rows, wanted = [], set()
+    for i, n in zip(range(0, 120, 2), [1, 2, 3, 5, 8, 10, 12, 13, 17, 20, 25, 40] * 5):
+        line, times = make(n) + "\n", 80 // n + 1
+        rows += [(i, make(9) + "\n" + line * times + make(i % 4)), (i + 1, make(i % 5) + "\n" + line * (times + i % 3) + make(9))]
+        wanted.add((i + 1, i))
+    assert wanted == found_pairs(spark, rows)
+
+
 def test_first_links_over_batches(spark):
     rng = random.Random(13)
     rows = [(rng.choice([0, 0, 0, 0, rng.randint(1, 60)]), rng.randint(0, 40), i) for i in range(3000)] + [(99, 5, i) for i in range(300)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = sorted(map(tuple, passages.first_links(spark.createDataFrame(rows, "key long, doc_id long, pos int")).collect()))
+        got = sorted(map(tuple, passages.first_links(spark.createDataFrame(rows, "key long, doc_id long, pos long")).collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     first = {k: min((d, p) for x, d, p in rows if x == k) for k, _, _ in rows}
