@@ -42,6 +42,14 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "tallyweave_row"
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row (ROW), written, so that it stays the same."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, written
+from .common import ROW, arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, with_row, written
 
 # Bytes that end a word; A-Z are lower-cased.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -310,6 +310,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; all rows of a contaminated id go."""
-    bad = contamination(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """``docs`` without the rows whose own text holds a benchmark window."""
+    rows = with_row(docs)
+    bad = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), items, window).where("n_hit > 0").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)

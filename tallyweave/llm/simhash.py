@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, partitions, run_bounds, sorted_runs, written
+from .common import ROW, arrow_map, connected_components, partitions, run_bounds, sorted_runs, with_row, written
 
 MAX_BITS = 3
 BLOCK_ROWS = 4096
@@ -151,11 +151,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each component: the one whose id names it.
+    """``docs`` with one row of each component: the one with the smallest id, of equal ids the one with the smallest hash of its text.
 
-    Of rows that repeat that id, one stays, chosen by a hash of its text.
+    Every row is judged by its own text; a null id comes after all others and counts for
+    itself. Where one id names several components, one row of it stays, chosen by the hash, so that ids stay apart.
     """
-    parts = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = parts.select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(keep, docs[key].eqNullSafe(keep["keep_id"]), "left_semi")
-    return kept.dropDuplicates([key])
+    rows = with_row(docs)
+    parts = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    named = rows.select(ROW, F.col(key).alias("id"), F.xxhash64("text").alias("hash")).join(parts, ROW)
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", ROW)).alias("b")).select("b.*")
+    once = best.where("not none").groupBy("id").agg(F.min(F.struct("hash", ROW)).alias("b")).select(f"b.{ROW}")
+    return rows.join(once.union(best.where("none").select(ROW)), ROW, "left_semi").select(docs.columns)

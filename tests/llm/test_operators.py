@@ -138,6 +138,17 @@ def test_simhash(spark, texts):
     assert len(kept) == len(set(kept)) and 195 not in kept
 
 
+def test_rows_without_or_with_repeated_ids_are_judged_apart(spark):
+    rng = random.Random(15)
+    make = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    a, b, c, d, e = (make() for _ in range(5))
+    rows = frame(spark, [(2, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, d), (None, e)])
+    got = [(r.doc_id, r.text) for r in simhash.deduplicate(rows).collect()]
+    assert sorted(got, key=str) == sorted([(2, a), (5, b), (None, c), (None, d), (None, e)], key=str)
+    left = decontaminate.clean_documents(rows, spark.createDataFrame([(1, " ".join(a.split()[5:20])), (2, d)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, b), (None, c), (None, c), (None, e)], key=str)
+
+
 def test_simhash_links_of_dense_groups_in_blocks(spark):
     rng = random.Random(2)
     centre = rng.getrandbits(64)
