@@ -475,3 +475,26 @@ def test_pagerank_against_power_iteration(spark):
     for _ in range(urls.ROUNDS):
         v = 0.15 * restart + 0.85 * step @ v
     assert all(abs(got.get(i, 0) - v[i]) < 1e-12 for i in range(8))
+
+
+def test_hashed_words_agree_with_words(texts):
+    import pyarrow as pa
+
+    rows = [t for _, t in texts] + ["áb c", "x" * 70000 + " y", "end", "start"]
+    h, bounds = passages.hashed_words(pa.array(rows, pa.string()), 1 << 10)
+    known = {}
+    for t, a, b in zip(rows, bounds[:-1], bounds[1:]):
+        words = decontaminate.words_of((t or "").encode())
+        assert len(words) == b - a
+        for w, x in zip(words, h[a:b].tolist()):
+            assert known.setdefault(w, x) == x
+    assert len(set(known.values())) == len(known)
+
+
+def test_links_of_keys_that_many_documents_of_a_chunk_hold(spark):
+    rng = random.Random(16)
+    rows = [(rng.choice([-5, 0, 7, rng.randint(10, 400)]), rng.randint(0, 90), i) for i in range(4000)]
+    got = sorted(map(tuple, passages.first_links(spark.createDataFrame(rows, "key long, doc_id long, pos long").repartition(3)).collect()))
+    first = {k: min((d, p) for x, d, p in rows if x == k) for k in {r[0] for r in rows}}
+    held = collections.Counter(k for k, _ in {r[:2] for r in rows})
+    assert got == sorted((k, d, p, *first[k]) for k, d, p in rows if held[k] > 1)
