@@ -9,15 +9,13 @@ rows. An unseen misspelling shares n-grams with the words that were seen.
 from __future__ import annotations
 
 import re
-import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, text_slices
 
 WORD = re.compile(r"[^\W_]{1,64}")
 GRAMS = (4, 5)
@@ -25,6 +23,7 @@ BUCKETS = 1 << 16
 DIMENSION = 4
 SAMPLE_ROWS = 6000
 THRESHOLD = 0.3
+SLICE_BYTES = 2 << 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -32,11 +31,40 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def subwords(word: str) -> list[int]:
-    """The buckets of a word and of the character n-grams of the word in brackets."""
-    marked = f"<{word}>"
-    grams = [marked, *(marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1) if n < len(marked))]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+# An odd factor for each character of an n-gram, the last one for words' own hashes.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``words``, bucket): of each word in brackets, and of the character n-grams of that which are shorter.
+
+    An n-gram's hash is the sum of its characters times ``FACTORS``; the whole word's is the
+    value of a polynomial in its characters.
+    """
+    text = "".join([f"<{w}>" for w in words])
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    end = np.cumsum(size)
+    word = np.repeat(np.arange(len(words)), size)
+    places, buckets = [], []
+    for n in GRAMS:
+        at = np.flatnonzero((np.arange(len(chars)) + n <= end[word]) & (size[word] > n))
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h += chars[at + j] * np.uint64(FACTORS[j])
+        places.append(word[at])
+        buckets.append(_bucket(h))
+    h = np.zeros(len(words), np.uint64)
+    start = end - size
+    for j in range(int(size.max(initial=0))):
+        alive = np.flatnonzero(size > j)
+        h[alive] = h[alive] * np.uint64(FACTORS[-1]) + chars[start[alive] + j]
+    return np.concatenate([np.arange(len(words)), *places]), np.concatenate([_bucket(h), *buckets])
 
 
 class Model:
@@ -89,12 +117,9 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 60, rate: fl
     base = float(y.mean()) if len(y) else 0.0
     if not words or len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((base + 1e-6) / (1 - base + 1e-6))), base)
-    flat, size = array("i"), np.zeros(len(words), np.float32)
-    for k, w in enumerate(words):
-        found = subwords(w)
-        flat.extend(found)
-        size[k] = len(found)
-    of_word = _Sparse(np.repeat(np.arange(len(words), dtype=np.int32), size.astype(np.int64)), np.frombuffer(flat, np.int32), None, len(words), BUCKETS)
+    places, buckets = subwords(list(words))
+    size = np.bincount(places, minlength=len(words)).astype(np.float32)
+    of_word = _Sparse(places.astype(np.int32), buckets.astype(np.int32), None, len(words), BUCKETS)
     doc, word, count = np.concatenate(doc), np.concatenate(word), np.concatenate(count)
     total = np.bincount(doc, weights=count * size[word], minlength=len(texts)).astype(np.float32)
     of_doc = _Sparse(doc, word, count * gain / total[doc], len(texts), len(words))
@@ -117,26 +142,53 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 60, rate: fl
     return Model((gain * params[0] @ direction).astype(np.float32), float(params[2][1] - params[2][0]), base)
 
 
+class _Numbers(dict):
+    """Numbers for words, given on first sight."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Scorer:
-    """Scores texts, remembering at most ``most`` words."""
+    """Scores texts, remembering the sums of at most about ``most`` words."""
 
-    def __init__(self, model: Model, most: int = 200_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: Model, most: int = 400_000):
+        self.model, self.most = model, most
+        self._reset()
 
-    def score(self, text: str | None) -> float:
+    def _reset(self) -> None:
+        self.known, self.sums, self.sizes = _Numbers(), np.zeros(0), np.zeros(0)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """The texts' scores: each the softmax of the mean over all subwords of its words."""
         if len(self.known) > self.most:
-            self.known.clear()
-        known, total, n = self.known, 0.0, 0
-        for w in words_of(text):
-            found = known.get(w)
-            if found is None:
-                buckets = subwords(w)
-                found = known[w] = (float(self.model.weights[buckets].sum(dtype=np.float64)), len(buckets))
-            total += found[0]
-            n += found[1]
-        if not n:
-            return self.model.base_rate
-        return float(1 / (1 + np.exp(-np.clip(total / n + self.model.intercept, -500, 500))))
+            self._reset()
+        index, which, n = self.known, [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            n[i] = len(words)
+            which.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        if fresh := index.fresh:
+            places, buckets = subwords(fresh)
+            self.sums = np.append(self.sums, np.bincount(places, weights=self.model.weights[buckets], minlength=len(fresh)))
+            self.sizes = np.append(self.sizes, np.bincount(places, minlength=len(fresh)))
+            fresh.clear()
+        out = np.full(len(texts), self.model.base_rate)
+        some = np.flatnonzero(n)
+        if len(some):
+            flat, starts = np.concatenate(which), (np.cumsum(n) - n)[some]
+            mean = np.add.reduceat(self.sums[flat], starts) / np.add.reduceat(self.sizes[flat], starts)
+            out[some] = 1 / (1 + np.exp(-np.clip(mean + self.model.intercept, -500, 500)))
+        return out
+
+    def score(self, text: str | None) -> float:
+        return float(self.scores([text])[0])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -145,11 +197,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str | None], list[int]]:
-    """Texts and labels of at most ``sample_rows`` labelled documents that aren't held out: those with the smallest hashes of their ids."""
+    """Texts and labels of at most ``sample_rows`` labelled documents that aren't held out: those with the smallest hashes of their ids.
+
+    Of rows that repeat a doc_id the text with the smallest hash is learnt from, of labels that repeat one the largest.
+    """
     picked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows pairs of numbers
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t")).select("doc_id", "label", F.col("t.text").alias("text"))
     rows = sorted(rows.select("doc_id", "text", "label").toLocalIterator(), key=lambda r: r.doc_id)
     return [r.text for r in rows], [r.label for r in rows]
 
@@ -161,13 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; other columns are never read): doc_id, score, predicted.
 
-    A text without words, null or empty, gets the base rate of the training labels.
+    A text without words, null or empty, gets the base rate of the training labels. Rows of
+    equal doc_id are scored each by its own text. Texts are read whole, slices of about
+    ``SLICE_BYTES`` at a time; a longer one alone.
     """
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            s = np.array([scorer.score(t.as_py()) for t in batch.column("text")], np.float64)
+            texts = batch.column("text")
+            s = np.concatenate([np.zeros(0), *(scorer.scores(texts.slice(a, b - a).to_pylist()) for a, b in text_slices(texts, SLICE_BYTES))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double, predicted int")

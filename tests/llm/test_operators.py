@@ -498,3 +498,131 @@ def test_links_of_keys_that_many_documents_of_a_chunk_hold(spark):
     first = {k: min((d, p) for x, d, p in rows if x == k) for k in {r[0] for r in rows}}
     held = collections.Counter(k for k, _ in {r[:2] for r in rows})
     assert got == sorted((k, d, p, *first[k]) for k, d, p in rows if held[k] > 1)
+
+
+def plain_subwords(word):
+    """The buckets of a word, by Python's integers."""
+    mask = 2**64 - 1
+
+    def bucket(h):
+        h = (h ^ h >> 31) * 0xBF58476D1CE4E5B9 & mask
+        return ((h ^ h >> 29) >> 20) % toxicity.BUCKETS
+
+    marked = [ord(c) + 1 for c in f"<{word}>"]
+    whole = 0
+    for c in marked:
+        whole = (whole * toxicity.FACTORS[-1] + c) & mask
+    grams = [marked[i : i + n] for n in toxicity.GRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
+    return [bucket(whole), *(bucket((len(g) + sum(c * f for c, f in zip(g, toxicity.FACTORS))) & mask) for g in grams)]
+
+
+def test_subwords_and_scores_against_plain_python():
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdeéß漢😀") for _ in range(rng.randint(1, 12))) for _ in range(80)]
+    places, buckets = toxicity.subwords(words)
+    for i, w in enumerate(words):
+        assert sorted(buckets[places == i].tolist()) == sorted(plain_subwords(w))
+    weights = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(weights, -0.3, 0.125)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(30)] + ["", None, "?!", "A_b " * 3]
+    want = []
+    for t in texts:
+        found = [b for w in re.findall(r"[^\W_]{1,64}", (t or "").lower()) for b in plain_subwords(w)]
+        want.append(1 / (1 + np.exp(-(np.mean(weights[found].astype(float)) - 0.3))) if found else 0.125)
+    for most in (400_000, 0):
+        scorer = toxicity.Scorer(model, most)
+        assert np.allclose(np.concatenate([scorer.scores(texts[:9]), scorer.scores(texts[9:])]), want, atol=1e-9)
+
+
+def test_toxicity_training_against_a_plain_loop():
+    rng = random.Random(22)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 20))) for _ in range(25)] + ["", None]
+    labels = [rng.randint(0, 1) for _ in texts]
+    rows = [[b for w in toxicity.words_of(t) for b in plain_subwords(w)] for t in texts]
+    used = sorted({b for r in rows for b in r})
+    place = {b: i for i, b in enumerate(used)}
+    x = np.zeros((len(texts), len(used)))
+    for i, r in enumerate(rows):
+        for b in r:
+            x[i, place[b]] += 30.0 / len(r)
+    draw = np.random.default_rng(7)
+    params = [draw.normal(0, 0.1, (toxicity.BUCKETS, toxicity.DIMENSION)).astype(np.float32)[used].astype(float), draw.normal(0, 0.5, (toxicity.DIMENSION, 2)).astype(np.float32).astype(float), np.zeros(2)]
+
+    def loss(e, w, b):
+        z = x @ e @ w + b
+        return np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), labels]) + 0.1 / 2 * (e**2).sum() / len(texts)
+
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for step in range(1, 6):
+        e, w, b = params
+        p = np.exp(x @ e @ w + b)
+        error = (p / p.sum(axis=1, keepdims=True) - np.eye(2)[labels]) / len(texts)
+        grads = [x.T @ error @ w.T + 0.1 * e / len(texts), (x @ e).T @ error, error.sum(axis=0)]
+        if step == 1:  # the formulas against differences of the loss
+            for k, at in ((0, (3, 1)), (1, (2, 0)), (2, (1,))):
+                moved = [[q.copy() for q in params] for _ in range(2)]
+                moved[0][k][at] += 1e-5
+                moved[1][k][at] -= 1e-5
+                assert grads[k][at] == pytest.approx((loss(*moved[0]) - loss(*moved[1])) / 2e-5, rel=1e-4)
+        for k, g in enumerate(grads):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            params[k] = params[k] - 0.1 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    model = toxicity.train(texts, labels, epochs=5)
+    direction = params[1][:, 1] - params[1][:, 0]
+    assert np.allclose(model.weights[used], 30 * params[0] @ direction, atol=1e-2) and model.intercept == pytest.approx(params[2][1] - params[2][0], abs=1e-3)
+
+
+def test_toxicity_of_repeated_ids_does_not_change(spark):
+    rows = [(i % 9, f"word{i} other{i % 5} " * (1 + i % 4)) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(9)], "doc_id long, quality int, toxic int")
+    seen = set()
+    for df in (frame(spark, rows), frame(spark, rows[::-1]), frame(spark, rows).repartition(5)):
+        sample, given = toxicity.labelled_sample(df, labels)
+        seen.add((tuple(sample), tuple(given)))
+    assert len(seen) == 1
+    scored = toxicity.score(frame(spark, rows), toxicity.train(*map(list, next(iter(seen)))))
+    assert scored.count() == len(rows) and scored.select("doc_id", "score").distinct().count() > 9
+
+
+def test_open_bins_keep_their_pieces_alone():
+    packer = packing.Packer()
+    rng = np.random.default_rng(2)
+    for i in range(300):
+        slice_ = np.zeros(200_000, np.uint32)
+        n = int(rng.integers(1, 9000))
+        list(packer.add(i, slice_[:n]))
+    held = [p[2] for b in packer.open.values() for p in b] + [p[2] for p in packer.small]
+    assert held and all(x.base is None for x in held) and sum(x.nbytes for x in held) < 4 * 2048 * 121
+
+
+def brute_near(docs, items, reach):
+    """Items with a window whose distinct words all stand within ``reach`` words of a document: {(doc, item)}."""
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    out = set()
+    for i, t in items:
+        w = word(t)
+        n = min(10, len(w))
+        windows = {frozenset(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+        for d, text in docs:
+            x = word(text)
+            if any(s <= set(x[k : k + reach]) for s in windows for k in range(len(x)) if x[k] in s):
+                out.add((d, str(i)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+def test_proximity_and_blocks_against_brute_force(spark, block_bytes):
+    rng = random.Random(41)
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, make(rng.randint(1, 16))) for k in range(14)] + [(20, " ".join(words)), (21, " ".join(f"rare{k}" for k in range(14)))]
+    shuffled = items[-1][1].split()
+    rng.shuffle(shuffled)
+    docs = [(d, make(rng.randint(0, 70))) for d in range(25)] + [(90, " x ".join(items[-1][1].split())), (91, " ".join(shuffled)), (92, items[-1][1]), (93, None)]
+    df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(df, bench, reach=20, block_bytes=block_bytes).collect()
+    assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == brute_hits(docs, items)
+    assert {(r.doc_id, i) for r in found for i in r.near} == brute_near(docs, items, 20)
+    assert {90, 91, 92} <= {d for d, i in brute_near(docs, items, 20) if i == "21"}
