@@ -49,41 +49,46 @@ def tail_sizes(n: int) -> list[int]:
 
 
 class Packer:
-    """Bins of one worker. ``add`` and ``finish`` yield full bins: lists of (document, start, length)."""
+    """Bins of one worker. ``add`` and ``finish`` yield full bins: lists of (doc_id, start, ids, ids of the document).
+
+    What waits in an open bin is a copy of its own, so that nothing but the pieces is kept.
+    """
 
     def __init__(self, capacity: int = 2048):
         self.capacity, self.open, self.small, self.filled = capacity, {}, [], 0
 
-    def add(self, doc, n: int) -> Iterator[list[tuple]]:
+    def add(self, doc_id, ids: np.ndarray) -> Iterator[list[tuple]]:
         at = 0
-        for size, k in harmonic_cuts(n, self.capacity):
-            piece = (doc, at, size)
-            at += size
-            if k == 0:
+        for size, k in harmonic_cuts(len(ids), self.capacity):
+            piece = ids[at : at + size]
+            if k == 1:
+                yield [(doc_id, at, piece, len(ids))]
+            elif k == 0:
                 if self.filled + size > self.capacity:
                     yield self.small
                     self.small, self.filled = [], 0
-                self.small.append(piece)
+                self.small.append((doc_id, at, piece.copy(), len(ids)))
                 self.filled += size
-                continue
-            bin_ = self.open.setdefault(k, [])
-            bin_.append(piece)
-            if len(bin_) == k:
-                yield self.open.pop(k)
+            else:
+                bin_ = self.open.setdefault(k, [])
+                bin_.append((doc_id, at, piece.copy(), len(ids)))
+                if len(bin_) == k:
+                    yield self.open.pop(k)
+            at += size
 
     def finish(self) -> Iterator[list[tuple]]:
         rest = [p for k in sorted(self.open) for p in self.open[k]] + self.small
-        total = sum(p[2] for p in rest)
+        total = sum(len(p[2]) for p in rest)
         sizes = [self.capacity] * (total // self.capacity) + tail_sizes(total % self.capacity)
         i = used = 0
         for size in sizes:
             bin_, room = [], size
             while room:
-                doc, start, length = rest[i]
-                take = min(room, length - used)
-                bin_.append((doc, start + used, take))
+                doc_id, start, ids, n = rest[i]
+                take = min(room, len(ids) - used)
+                bin_.append((doc_id, start + used, ids[used : used + take], n))
                 room, used = room - take, used + take
-                if used == length:
+                if used == len(ids):
                     i, used = i + 1, 0
             yield bin_
         self.open, self.small, self.filled = {}, [], 0
@@ -94,8 +99,8 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048
 
     One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     if asked for, ids. A null or empty text is its end id alone. Sequence ids are unique over
-    workers, not dense. Equal rows are packed apart. Memory: the ids of documents with a
-    piece in an open bin, at most one bin for each of about a hundred and twenty classes.
+    workers, not dense. Equal rows are packed apart. Memory: a slice of texts, and copies of
+    the pieces in open bins, at most one bin of ``capacity`` ids for each of about a hundred and twenty classes.
     """
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] * with_ids
@@ -108,10 +113,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048
         def place(bin_):
             nonlocal sequence
             offset = 0
-            for (doc_id, tokens, total), start, length in bin_:
-                piece = tokens[start : start + length]
-                rows.append((doc_id, start, length, zlib.crc32(piece), total, sequence, offset, *([piece.tolist()] * with_ids)))
-                offset += length
+            for doc_id, start, piece, total in bin_:
+                rows.append((doc_id, start, len(piece), zlib.crc32(piece), total, sequence, offset, *([piece.tolist()] * with_ids)))
+                offset += len(piece)
             sequence += 1
 
         def out():
@@ -122,8 +126,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = 2048
         for doc_ids, lens, ids in token_slices(batches, vocabulary, end_id):
             ids, at = ids.astype("<u4"), 0
             for doc_id, n in zip(doc_ids, lens.tolist()):
-                # a copy of its own, so that an open bin doesn't keep the whole slice
-                for bin_ in packer.add((doc_id, ids[at : at + n].copy() if n < capacity else ids[at : at + n], n), n):
+                for bin_ in packer.add(doc_id, ids[at : at + n]):
                     place(bin_)
                 at += n
             if rows:
