@@ -626,3 +626,22 @@ def test_proximity_and_blocks_against_brute_force(spark, block_bytes):
     assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found) == brute_hits(docs, items)
     assert {(r.doc_id, i) for r in found for i in r.near} == brute_near(docs, items, 20)
     assert {90, 91, 92} <= {d for d, i in brute_near(docs, items, 20) if i == "21"}
+
+
+def test_words_are_grouped_even_where_hashes_agree(texts, monkeypatch):
+    import pyarrow as pa
+
+    from tallyweave.llm import words
+
+    rows = pa.array([t for _, t in texts[:70]], pa.string())
+    folded, start, end, bounds = words.word_spans(rows)
+    listed = [w for t in rows.to_pylist() for w in decontaminate.words_of((t or "").encode())]
+    assert [folded[a:b].tobytes() for a, b in zip(start, end)] == listed and bounds[-1] == len(listed)
+    for hashes in (words.span_hashes, lambda f, s, e: (e - s).astype(np.uint64)):
+        monkeypatch.setattr(words, "span_hashes", hashes)
+        order, groups = words.grouped_words(folded, start, end)
+        found = {listed[order[a]]: order[a:b].tolist() for a, b in zip(groups, [*groups[1:], len(order)])}
+        want = collections.defaultdict(list)
+        for i, w in enumerate(listed):
+            want[w].append(i)
+        assert found == want
