@@ -5,13 +5,14 @@ eight bytes, so at least five positional bytes are equal. The fourteen blocks of
 system S(3,4,8) are sets of four positions such that any five positions contain one of them:
 postings are keyed by the bytes at these four positions at once, and every pair that the
 guarantee covers shares a posting list, while unrelated fingerprints share one with
-probability 14 / 2^32. Within a list the shared positional bytes of a pair are tallied,
-pairs below five are left, the rest are verified bit by bit.
+probability 14 / 2^32. Within a list, postings of the other four positions tally what a
+fingerprint shares with the others; pairs that reach five are verified bit by bit.
 
 Only distinct fingerprints enter the index, with the smallest doc_id of each, so exact
-copies never form pairs. A posting list of over ``BLOCK_ROWS`` fingerprints is split into
-blocks, and each pair of blocks is a group of its own. A group returns a spanning forest
-of its links, never all pairs.
+copies never form pairs. A list of over ``BLOCK_ROWS`` fingerprints is dealt out again by
+each fifth position; where even five equal bytes leave more, a fingerprint's links are
+looked up one by one among the values that its other three bytes can take, so work stays
+linear. A group returns a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -70,66 +71,107 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
-def spanning_links(fps: np.ndarray, left: np.ndarray | None = None, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A forest that spans the links among distinct fingerprints.
-
-    With ``left`` (a mask), only links between a marked and an unmarked one count: those
-    within a block are found in the block's own group.
-    """
-    free = np.ones(len(fps), bool)
-    a, b = [], []
-    for first in range(len(fps)):
+def _forest(n: int, neighbours) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span what ``neighbours`` (of a place, among the free ones) connects."""
+    free = np.ones(n, bool)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(n):
         if not free[first]:
             continue
         stack, free[first] = [first], False
         while stack:
             x = stack.pop()
-            other = np.flatnonzero(free if left is None else free & (left != left[x]))
-            if not len(other):
-                continue
-            diff = fps[other] ^ fps[x]
-            shared = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-            near = np.flatnonzero(shared >= 8 - max_bits)
-            near = other[near[np.bitwise_count(diff[near]) <= max_bits]]
+            near = neighbours(x, free)
             if len(near):
                 a.append(np.full(len(near), x))
                 b.append(near)
                 stack.extend(near.tolist())
                 free[near] = False
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def list_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A forest that spans the links among the distinct fingerprints of a posting list.
+
+    The postings of the positions that differ within the list give each fingerprint's tally
+    of shared positional bytes; those that reach the guaranteed number are verified.
+    """
+    columns = fps.view(np.uint8).reshape(-1, 8)
+    varied = np.flatnonzero((columns != columns[0]).any(axis=0))
+    need = 8 - max_bits - (8 - len(varied))  # equal bytes among the varied positions
+    order = np.argsort(columns[:, varied], axis=0, kind="stable").T
+    ends = [np.concatenate([[0], np.cumsum(np.bincount(columns[:, c], minlength=256))]) for c in varied]
+
+    def neighbours(x: int, free: np.ndarray) -> np.ndarray:
+        if need <= 0:
+            near = np.flatnonzero(free)
+        else:
+            tally = np.zeros(len(fps), np.int8)
+            for o, end, value in zip(order, ends, columns[x, varied].tolist()):
+                tally[o[end[value] : end[value + 1]]] += 1
+            near = np.flatnonzero((tally >= need) & free)
+        return near[np.bitwise_count(fps[near] ^ fps[x]) <= max_bits]
+
+    return _forest(len(fps), neighbours)
+
+
+def probed_links(fps: np.ndarray, free_mask: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """All links (smaller place first) among the distinct ``fps`` that differ in bits of ``free_mask`` alone, by looking up every value in reach."""
+    fps = np.sort(fps)
+    bits = [np.uint64(1 << i) for i in range(64) if free_mask >> i & 1]
+    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for n in range(1, max_bits + 1):
+        for some in combinations(bits, n):
+            other = fps ^ np.bitwise_or.reduce(some)
+            other = other[other > fps] if len(other) else other
+            at = np.searchsorted(fps, other)
+            found = other[fps[np.minimum(at, len(fps) - 1)] == other]
+            a.append(found ^ np.bitwise_or.reduce(some))
+            b.append(found)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (a, b) that connect whatever is linked among the distinct fingerprints ``fps`` (fp)."""
+    """Links (a, b) that connect whatever is linked among the distinct fingerprints ``fps`` (fp).
+
+    A task holds lists of at most ``block_rows`` fingerprints, or of five equal bytes, which are at most 2^24.
+    """
     if max_bits > MAX_BITS:
         raise ValueError("the blocks guarantee links of at most three bits")
-    masks = [m - (1 << 64) if m >> 63 else m for m in position_blocks()]
-    postings = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bytes")) for i, m in enumerate(masks)])).alias("p")).select("fp", "p.k", "p.bytes")
-    shared = postings.groupBy("k", "bytes").agg(F.count("*").alias("n")).where("n > 1")
-    lists = postings.join(shared, ["k", "bytes"]).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
-    lists = lists.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    grouped = lists.select("k", "bytes", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    grouped = grouped.select("k", "bytes", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "fp")
-    keys = ["k", "bytes", "b1", "b2"]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = position_blocks()
+    cut = lambda m: F.col("fp").bitwiseAND(F.lit(signed(m)))
+    postings = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(signed(m)).alias("mask"), cut(m).alias("bytes")) for m in masks])).alias("p")).select("fp", "p.mask", "p.bytes")
+    counted = postings.groupBy("mask", "bytes").agg(F.count("*").alias("n")).where("n > 1")
+    lists = postings.join(counted, ["mask", "bytes"])
+    small = lists.where(F.col("n") <= block_rows).select("mask", "bytes", "fp")
+    fifth = F.filter(F.array(*[F.lit(signed(0xFF << 8 * p)) for p in range(8)]), lambda m: F.col("mask").bitwiseAND(m) == 0)
+    large = lists.where(F.col("n") > block_rows).select("fp", F.explode(F.transform(fifth, lambda m: F.col("mask").bitwiseOR(m))).alias("mask"))
+    large = large.select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("bytes"), "fp").distinct()
+    keys = ["mask", "bytes"]
 
     def link(batches):
         for table in sorted_runs(batches, keys):
             bounds = run_bounds(table, keys)
-            all_fps = table.column("fp").to_numpy().view(np.uint64)
-            own, low, high = (table.column(c).to_numpy() for c in ("own", "b1", "b2"))
+            all_fps, mask = table.column("fp").to_numpy().view(np.uint64), table.column("mask").to_numpy().view(np.uint64)
             a, b = [], []
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 if e - s < 2:
                     continue
-                f = all_fps[s:e]
-                i, j = spanning_links(f, None if low[s] == high[s] else own[s:e] == low[s], max_bits)
-                a.append(f[i])
-                b.append(f[j])
+                own = int(mask[s])
+                f = np.ascontiguousarray(all_fps[s:e])
+                if e - s > block_rows:
+                    i, j = probed_links(f, ~own & (2**64 - 1), max_bits)
+                    a.append(i)
+                    b.append(j)
+                else:
+                    i, j = list_links(f, max_bits)
+                    a.append(f[i])
+                    b.append(f[j])
             if sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
 
-    dealt = grouped.repartition(partitions(fps.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = small.union(large).repartition(partitions(fps.sparkSession), *keys).sortWithinPartitions(*keys)
     return arrow_map(dealt, link, "a long, b long").distinct()
 
 
@@ -150,15 +192,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", distinct_ids: bool = True) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, of equal ids the one with the smallest hash of its text.
 
     Every row is judged by its own text; a null id comes after all others and counts for
-    itself. Where one id names several components, one row of it stays, chosen by the hash, so that ids stay apart.
+    itself. Where one id names several components, ``distinct_ids`` keeps one row of it,
+    chosen by the hash, so that ids stay apart; without it every component keeps its row,
+    and no group of texts is lost. Other columns, whatever their names, are returned as they are.
     """
     rows = with_row(docs)
     parts = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     named = rows.select(ROW, F.col(key).alias("id"), F.xxhash64("text").alias("hash")).join(parts, ROW)
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", ROW)).alias("b")).select("b.*")
+    if not distinct_ids:
+        return rows.join(best.select(ROW), ROW, "left_semi").select(docs.columns)
     once = best.where("not none").groupBy("id").agg(F.min(F.struct("hash", ROW)).alias("b")).select(f"b.{ROW}")
     return rows.join(once.union(best.where("none").select(ROW)), ROW, "left_semi").select(docs.columns)
