@@ -16,12 +16,12 @@ from tallyweave.llm.queries import table, vocabulary
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the base test and the learnt decision list keep."""
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).where("kept").select(docs.columns)
+    return quality.keep_good(docs, rules)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """One document of each SimHash component: the one with the smallest doc_id. Rows of one doc_id are judged each by its own text."""
+    return simhash.deduplicate(docs, distinct_ids=False)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

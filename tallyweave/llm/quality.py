@@ -80,20 +80,20 @@ def statistics(docs: DataFrame) -> DataFrame:
     are found by sorting their 64-bit hashes within the row.
     """
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    x = docs.drop("_q", *counts, *FEATURES)
-    x = x.withColumn("_q", let(F.coalesce(F.col("text").cast("string"), F.lit("")), _counts))
-    words, chars = F.greatest(F.col("_q.n_words"), F.lit(1)), F.greatest(F.col("_q.word_chars"), F.lit(1))
+    x = docs.drop("tallyweave_q", *counts, *FEATURES)
+    x = x.withColumn("tallyweave_q", let(F.coalesce(F.col("text").cast("string"), F.lit("")), _counts))
+    words, chars = F.greatest(F.col("tallyweave_q.n_words"), F.lit(1)), F.greatest(F.col("tallyweave_q.word_chars"), F.lit(1))
     ratios = {
-        "mean_word": F.col("_q.word_chars") / words,
-        "symbol_ratio": F.col("_q.n_symbols") / words,
-        "dup_line_ratio": F.col("_q.n_dup_lines") / F.greatest(F.col("_q.lines"), F.lit(1)),
-        "repeat_ratio": F.col("_q.n_repeat_words") / words,
-        "upper_ratio": F.col("_q.upper") / chars,
-        "digit_ratio": F.col("_q.digits") / chars,
-        "mark_ratio": F.col("_q.marks") / words,
-        "distinct_ratio": F.col("_q.distinct") / words,
+        "mean_word": F.col("tallyweave_q.word_chars") / words,
+        "symbol_ratio": F.col("tallyweave_q.n_symbols") / words,
+        "dup_line_ratio": F.col("tallyweave_q.n_dup_lines") / F.greatest(F.col("tallyweave_q.lines"), F.lit(1)),
+        "repeat_ratio": F.col("tallyweave_q.n_repeat_words") / words,
+        "upper_ratio": F.col("tallyweave_q.upper") / chars,
+        "digit_ratio": F.col("tallyweave_q.digits") / chars,
+        "mark_ratio": F.col("tallyweave_q.marks") / words,
+        "distinct_ratio": F.col("tallyweave_q.distinct") / words,
     }
-    return x.withColumns({c: F.col(f"_q.{c}") for c in counts} | ratios).drop("_q")
+    return x.withColumns({c: F.col(f"tallyweave_q.{c}") for c in counts} | ratios).drop("tallyweave_q")
 
 
 def base_failed() -> Column:
@@ -207,6 +207,12 @@ def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     return judged.withColumn("kept", ~F.col("base_failed") & (as_expression(rules) == 1))
 
 
+def keep_good(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever the names: they travel in a struct of their own."""
+    own = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("tallyweave_row"))
+    return judge(own, rules).where("kept").select("tallyweave_row.*")
+
+
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> list[list[Test]]:
     """The decision list for low quality, learnt from labelled documents. Without labels it is empty and keeps all."""
     return learn(labelled_statistics(docs, labels, sample_rows))

@@ -233,7 +233,9 @@ def build_trigram_index(docs: DataFrame) -> DataFrame:
 
 
 def rule_queries(rules) -> dict[int, Query]:
-    """The trigram queries of the rules that have one, by their place in ``rules``."""
+    """The trigram queries of the rules that have one, by their place in ``rules``: at most 63, as masks are longs."""
+    if len(rules) > 63:
+        raise ValueError("at most 63 rules a scan")
     return {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)).op != "all"}
 
 
@@ -281,15 +283,15 @@ def _found(raw: bytes | None, mask: int, rules) -> list[tuple[int, int, int]]:
     return out
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` (doc_id, text and any other columns) with a column ``secrets``: array of (kind, start, end), by start, then as rules are listed.
+def scan(docs: DataFrame, rules=RULES, into: str = "secrets") -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with a column ``into``: array of (kind, start, end), by start, then as rules are listed.
 
     A worker indexes its texts slice by slice, answers the rules' trigram queries from the
     slice's postings and verifies the candidates at once, so no text moves. Positions are
     code points, ends exclusive. A null or empty text has none; rows of equal doc_id are
-    scanned each. An input column named secrets is replaced.
+    scanned each. An input column named as ``into`` is replaced.
     """
-    docs = docs.drop("secrets")
+    docs = docs.drop(into)
     queries = rule_queries(rules)
     always = sum(1 << i for i in range(len(rules)) if i not in queries)
     wanted = np.array(sorted(set().union(*map(query_trigrams, queries.values()))) if queries else [], np.int64)
@@ -307,9 +309,9 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
                 for i, q in queries.items():
                     mask[evaluate(q, postings)] |= 1 << i
                 found += [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in _found(t, m, rules)] for t, m in zip(texts, mask.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "secrets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, into])
 
-    return arrow_map(docs, verify, docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("secrets")).schema)
+    return arrow_map(docs, verify, docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias(into)).schema)
 
 
 def span_text(spans: Column, kinds=None) -> Column:
@@ -320,14 +322,17 @@ def span_text(spans: Column, kinds=None) -> Column:
 
 
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with every secret replaced by its kind in brackets; overlapping spans are replaced together, under the first one's kind."""
-    scanned = scan(docs, rules)
+    """``docs`` with every secret replaced by its kind in brackets; overlapping spans are replaced together, under the first one's kind.
+
+    n_chars, where there is such a column, is counted again; all other columns are returned as they are.
+    """
+    scanned = scan(docs, rules, "tallyweave_found")
     schema = docs.schema
 
     def hide(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("secrets").to_pylist()):
+            for i, spans in enumerate(batch.column("tallyweave_found").to_pylist()):
                 if not spans:
                     continue
                 out, at, text = [], 0, texts[i]
