@@ -39,15 +39,30 @@ class WarcError(ValueError):
     """An archive or record that breaks the format."""
 
 
+def _one_line(url: str) -> str:
+    """A url that a header can hold; ``urllib.parse.unquote`` undoes it where something was encoded."""
+    if "\r" not in url and "\n" not in url and url == url.strip():
+        return url
+    url = url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    bare = url.strip()
+    at = url.index(bare)
+    quote = lambda blanks: "".join(f"%{b:02X}" for b in blanks.encode())
+    return quote(url[:at]) + bare + quote(url[at + len(bare) :])
+
+
 def build_record(page_id, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """A response record, or a revisit with an empty block that names the response's record."""
+    """A response record, or a revisit with an empty block that names the response's record.
+
+    A url's percent signs, carriage returns and line feeds, and blanks at its ends, are
+    percent-encoded where it has such breaks or blanks; all other urls are written as they are.
+    """
     revisit = refers_to is not None
     block = b"" if revisit else payload
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
         ("WARC-Date", WARC_DATE),
-        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Target-URI", _one_line(url or "")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", str(len(payload))),
     ]
@@ -66,7 +81,10 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
         raise WarcError("no WARC version line or no end of headers")
     headers: dict[str, str] = {}
     for line in lines[1:]:
-        name, colon, value = line.decode().partition(":")
+        try:
+            name, colon, value = line.decode().partition(":")
+        except UnicodeDecodeError as e:
+            raise WarcError(f"header {line[:60]!r} is not UTF-8") from e
         if not colon or not name or name != name.strip():
             raise WarcError(f"malformed header {line[:60]!r}")
         headers[name.lower()] = value.strip()
@@ -120,7 +138,10 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         raise WarcError("no dictionary frame, or a cut one")
     raw = content[8 : 8 + size]
     if raw[:4] == FRAME_MAGIC:  # the dictionary itself may be compressed
-        raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=64 << 20)
+        try:
+            raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=64 << 20)
+        except zstandard.ZstdError as e:
+            raise WarcError(f"damaged dictionary: {e}") from e
     decompressor, at = zstandard.ZstdDecompressor(dict_data=_dictionary(raw)), 8 + size
     view = memoryview(content)
     while at < len(content):
