@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CELL_NS = 1_000_000_000  # of a time cell's width per sixty-fourth, at least
+
+
 def floor_div(value: Column, width: int) -> Column:
     """Integer quotient rounded down, exact for any long."""
     w = F.lit(width).cast("long")
@@ -33,18 +36,21 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], window_ns: in
 def islands(rows: DataFrame, keys: list[str], window_ns: int, ts: str = "ts_ns") -> DataFrame:
     """``rows`` with island: a number within ``keys`` that rises where the time line has a gap of over ``window_ns``.
 
-    No pair at most ``window_ns`` apart is split. The running sum is taken in two steps,
-    over coarse time cells and within each, so that a key with most of the rows is spread over tasks.
+    No pair at most ``window_ns`` apart is split, and rows of equal time share an island. The
+    running sum is taken in two steps, over coarse time cells and within each, so that a key
+    with most of the rows is spread over tasks; only one row a cell is sorted for a whole key.
     """
-    cell = floor_div(F.col(ts), max(window_ns, 1) * 64)
-    x = rows.withColumn("_cell", cell)
+    gap = F.lit(window_ns).cast("long")
+    cell = floor_div(F.col(ts), max(window_ns, CELL_NS) * 64)
+    # distinct times, so that ties can't come in another order in a later sort
+    times = rows.select(*keys, ts).distinct().withColumn("_cell", cell)
     within = Window.partitionBy(*keys, "_cell").orderBy(ts)
-    x = x.withColumn("_prev", F.lag(ts).over(within))
-    edges = x.groupBy(*keys, "_cell").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum(F.when(F.col(ts) - F.col("_prev") > F.lit(window_ns).cast("long"), 1).otherwise(0)).alias("_breaks"))
+    times = times.withColumn("_break", F.when(F.col(ts) - F.lag(ts).over(within) > gap, 1).otherwise(0))
+    times = times.withColumn("_inner", F.sum("_break").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = times.groupBy(*keys, "_cell").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), F.sum("_break").alias("_breaks"))
     over = Window.partitionBy(*keys).orderBy("_cell")
-    edges = edges.withColumn("_new", F.when(F.col("_lo") - F.lag("_hi").over(over) > F.lit(window_ns).cast("long"), 1).otherwise(0))
-    edges = edges.withColumn("_base", F.sum(F.col("_new") + F.coalesce(F.lag("_breaks").over(over), F.lit(0))).over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.join(edges.select(*keys, "_cell", "_base"), [*keys, "_cell"])
-    inner = F.sum(F.when(F.col(ts) - F.col("_prev") > F.lit(window_ns).cast("long"), 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    # rows of equal time are neighbours without a gap, so any order among them gives the same sum
-    return x.withColumn("island", (F.col("_base") + inner).cast("long")).drop("_cell", "_prev", "_base")
+    new = F.when(F.col("_lo") - F.lag("_hi").over(over) > gap, 1).otherwise(0)
+    edges = edges.withColumn("_base", F.sum(new + F.coalesce(F.lag("_breaks").over(over), F.lit(0))).over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    numbers = times.join(edges.select(*keys, "_cell", "_base"), [*keys, "_cell"])
+    numbers = numbers.select(*keys, ts, (F.col("_base") + F.col("_inner")).cast("long").alias("island"))
+    return rows.join(numbers, [*keys, ts])
