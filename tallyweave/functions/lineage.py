@@ -1,18 +1,32 @@
-"""Cut the lineage of iterative plans with reliable checkpoints."""
+"""Cut the lineage of iterative plans with reliable checkpoints, and name folders that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the session names in ``spark.checkpoint.dir``.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``; a temporary one only in local mode, where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="tallyweave-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{checkpoint_dir(spark)}/tallyweave-{uuid.uuid4().hex}"
 
-    Only where none is named, as in tests on one machine, a temporary folder serves.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyweave-"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()

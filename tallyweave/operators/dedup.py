@@ -61,6 +61,13 @@ def without_excluded(records: DataFrame, relations: DataFrame) -> DataFrame:
 
 def suspected(records: DataFrame, window_ns: int) -> DataFrame:
     """Extension: neighbours of one source with equal amount and currency at most ``window_ns`` apart, as (record_id, previous_id)."""
-    w = Window.partitionBy("source_id", "currency", "amount_minor").orderBy("ts_ns", "stable_key")
+    w = Window.partitionBy("source_id", "currency", "amount_minor").orderBy("ts_ns", "stable_key", "source_line", "batch_ord", "record_id")
     x = records.withColumns({"previous_id": F.lag("record_id").over(w), "_t": F.lag("ts_ns").over(w)})
     return x.where(F.col("ts_ns") - F.col("_t") <= window_ns).select("record_id", "previous_id")
+
+
+def retransmits(own: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(record_id, earlier_id, earlier_batch): valid rows of a batch that earlier batches of the same file content had already; the last of these by line and batch counts."""
+    keys = ["source_id", "external_id", "content_hash"]
+    last = earlier.where(~F.col("isolated")).groupBy(*keys).agg(F.max_by(F.struct("record_id", "batch_id"), F.struct("source_line", "batch_id")).alias("e"))
+    return own.where(~F.col("isolated")).join(last, keys).select(own["record_id"], F.col("e.record_id").alias("earlier_id"), F.col("e.batch_id").alias("earlier_batch"))

@@ -13,7 +13,7 @@ from ..functions import ids, money, timeparse
 from ..functions.lineage import cut
 from ..plans.rules import Rule
 from ..schema import ROLES
-from .rangejoin import floor_div, islands, range_join
+from .rangejoin import floor_div, islands, range_join, time_bucket
 
 GROUP_COLUMNS = ["match_group_id", "type", "anchor_role", "record_ids", "score_tuple", "amount_minor", "currency"]
 DISC_COLUMNS = ["discrepancy_id", "type", "currency", "record_ids", "candidate_ids", "score_tuple", "note"]
@@ -127,10 +127,27 @@ def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
 EDGE_SIDE = ("record_id", "role_rank", "role", "stable_key", "source_line", "batch_ord", "currency", "amount_minor", "fee_minor", "ts_ns")
 
 
+def _candidate_pairs(side: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (l_*, r_*; l of the lower role) within the window that may be within the amount's tolerance: an equi-join on currency, the right role, time and amount buckets."""
+    steps = F.array(*map(F.lit, (-1, 0, 1)))
+    value = _value_buckets(F.col("amount_minor"), rule.amount.absolute, rule.amount.bps)
+    value = value if value is not None else F.lit(0).cast("long")
+    exact = rule.amount.absolute == 0 or rule.amount.bps == 0 or not rule.amount.enabled
+    keyed = side.withColumns({"_time": time_bucket(F.col("ts_ns"), rule.window_ns), "_value": value})
+    a = keyed.withColumn("_role", F.explode(F.filter(F.array(*map(F.lit, range(len(ROLES)))), lambda r: r > F.col("role_rank"))))
+    if rule.window_ns > 0:
+        a = a.select("*", F.explode(steps).alias("_dt")).withColumn("_time", F.col("_time") + F.col("_dt")).drop("_dt")
+    if not exact:
+        a = a.select("*", F.explode(steps).alias("_dv")).withColumn("_value", F.col("_value") + F.col("_dv")).drop("_dv")
+    a = a.select(*[F.col(c).alias(f"l_{c}") for c in side.columns], "_time", "_value", "_role")
+    b = keyed.select(*[F.col(c).alias(f"r_{c}") for c in side.columns], "_time", "_value", F.col("role_rank").alias("_role"))
+    on = [a["l_currency"] == b["r_currency"], *(a[c] == b[c] for c in ("_time", "_value", "_role")), F.abs(a["l_ts_ns"] - b["r_ts_ns"]) <= F.lit(rule.window_ns).cast("long")]
+    return a.join(b, on).drop("_time", "_value", "_role")
+
+
 def tolerance_candidates(records: DataFrame, rule: Rule) -> DataFrame:
     """Edges between records of different roles within the window and the tolerances: a_*, b_* and score_tuple; a has the lower role."""
-    side = records.select(*EDGE_SIDE)
-    pairs = range_join(side, side, ["currency"], rule.window_ns).where("l_role_rank < r_role_rank")
+    pairs = _candidate_pairs(records.select(*EDGE_SIDE), rule)
     amount, fee = F.abs(F.col("l_amount_minor") - F.col("r_amount_minor")), F.abs(F.col("l_fee_minor") - F.col("r_fee_minor"))
     ok = money.within(amount, money.tolerance_base(F.col("l_amount_minor"), F.col("r_amount_minor")), rule.amount.absolute, rule.amount.bps)
     if rule.fee.enabled:
@@ -201,10 +218,13 @@ def tolerance_phase(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFram
 # Leftovers
 
 
+# Which counterpart a lone record of a role lacks first.
+MISSING_FIRST = {"internal": ("processor", "bank"), "processor": ("internal", "bank"), "bank": ("processor", "internal")}
+
+
 def missing_type(role: str, allowed: tuple[str, ...]) -> str:
     """The type that names the counterpart a lone record of ``role`` lacks."""
-    first = {"internal": ("processor", "bank"), "processor": ("internal", "bank"), "bank": ("processor", "internal")}.get(role, ROLES)
-    for r in (*first, *ROLES):
+    for r in (*MISSING_FIRST.get(role, ROLES), *ROLES):
         if r != role and r in allowed:
             return f"missing_{r}"
     return f"missing_{role}" if role in ROLES else "missing_internal"
@@ -283,7 +303,37 @@ def _amount_aligned(alone: DataFrame, others: DataFrame, rule: Rule, ok: Column)
             a = alone.select(*[F.col(c).alias(f"l_{c}") for c in alone.columns], bucket.alias("_own")).withColumn("_v", F.explode(F.array(*[F.col("_own") + k for k in (-1, 0, 1)]))).drop("_own")
             b = others.select(*[F.col(c).alias(f"r_{c}") for c in others.columns], bucket.alias("_v"))
             return a.join(b, (a["l_currency"] == b["r_currency"]) & (a["_v"] == b["_v"])).drop("_v").where(ok)
-    return _nearest_in_time(alone, others)
+    if not rule.amount.enabled and not rule.fee.enabled:
+        return _nearest_in_time(alone, others)
+    if not rule.fee.enabled:
+        return _amount_aligned_by_sign(alone, others, rule, ok)
+    # only both tolerances at a hundred percent and more: no bucket bounds what is within
+    return _sides(alone, others, F.lit(0)).where(ok)
+
+
+def _sides(alone: DataFrame, others: DataFrame, left_key: Column, right_key: Column | None = None) -> DataFrame:
+    a = alone.select(*[F.col(c).alias(f"l_{c}") for c in alone.columns], left_key.alias("_v"))
+    b = others.select(*[F.col(c).alias(f"r_{c}") for c in others.columns], (left_key if right_key is None else right_key).alias("_v"))
+    return a.join(b, (a["l_currency"] == b["r_currency"]) & (a["_v"] == b["_v"])).drop("_v")
+
+
+def _amount_aligned_by_sign(alone: DataFrame, others: DataFrame, rule: Rule, ok: Column) -> DataFrame:
+    """Pairs within a percentage of a hundred or more, which is taken of the larger signed amount.
+
+    Two amounts of zero or more are always within it; two negative ones have magnitudes
+    within a factor; a negative and a positive one are looked at only beyond a hundred percent.
+    """
+    positive = F.col("amount_minor") >= 0
+    out = _nearest_in_time(alone.where(positive), others.where(positive))
+    width = float(np.log1p(rule.amount.bps / 10000)) * 1.0001
+    bucket = F.floor(F.log(F.abs(F.col("amount_minor").cast("double"))) / F.lit(width)).cast("long")
+    steps = F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: bucket + k))
+    spread = alone.where(~positive).select("*", steps.alias("_b"))
+    both = _sides(spread, others.where(~positive), F.col("_b"), bucket).drop("l__b").where(ok)
+    out = out.unionByName(both)
+    if rule.amount.bps > 10000:
+        out = out.unionByName(_sides(alone.where(positive), others.where(~positive), F.lit(0)).where(ok)).unionByName(_sides(alone.where(~positive), others.where(positive), F.lit(0)).where(ok))
+    return out
 
 
 def _nearest_in_time(alone: DataFrame, others: DataFrame) -> DataFrame:

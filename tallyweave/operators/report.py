@@ -13,6 +13,10 @@ from ..functions import money, timeparse
 from ..plans.engine import Result
 
 
+# The columns of the CSV report.
+CSV_HEADER = ("discrepancy_id", "type", "currency", "note", "evidence_record_ids", "sort_key")
+
+
 def evidence_ids() -> Column:
     """The records whose amounts a discrepancy counts: all it names but the tied candidates."""
     return F.col("record_ids")
@@ -72,6 +76,30 @@ def content_digest(result: Result, revision: int) -> DataFrame:
     return g.crossJoin(d).select(text.alias("digest"))  # two frames of one row each
 
 
+def mergeable_digest(result: Result) -> DataFrame:
+    """(kind, n, hash_sum): of groups and of discrepancies, their number and the sum of sixty bits of their ids' SHA-256.
+
+    Sums of parts add up, so it needs no order and no row that gathers all ids.
+    """
+    ids = result.groups.select(F.lit("groups").alias("kind"), F.col("match_group_id").alias("id")).union(result.discrepancies.select(F.lit("discrepancies"), "discrepancy_id"))
+    bits = F.conv(F.substring(F.sha2("id", 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return ids.groupBy("kind").agg(F.count("*").alias("n"), F.sum(bits).alias("hash_sum"))
+
+
+def csv_rows(result: Result) -> DataFrame:
+    """(currency, type, sort_key, line): the CSV report's lines without header and footer, a row a discrepancy."""
+    quoted = lambda c: F.when(F.col(c).rlike('[",\r\n]|^ '), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c), F.lit("")))
+    line = F.concat_ws(",", *map(quoted, CSV_HEADER))
+    return discrepancy_rows(result).select("currency", "type", "sort_key", line.alias("line"))
+
+
+def freeze(result: Result, path: str) -> None:
+    """Write a report once: its groups, summary and CSV lines in report order, range by range; a path that exists raises."""
+    group_rows(result).orderBy("match_group_id").write.mode("errorifexists").parquet(f"{path}/groups")
+    summary_rows(result).orderBy("currency").write.mode("errorifexists").parquet(f"{path}/summary")
+    csv_rows(result).orderBy("currency", "type", "sort_key").write.mode("errorifexists").parquet(f"{path}/discrepancies")
+
+
 def build(result: Result, run_id: str, generated_at: str, revision: int, batch_ids: list[str]) -> dict:
     """The report as nested Python values in output order; for runs whose report a person reads."""
     ev = evidence_rows(result).withColumns({"amount_string": money.render(F.col("amount_minor"), F.coalesce("scale", F.lit(2))), "timestamp": timeparse.render_ns(F.col("ts_ns"))})
@@ -131,7 +159,7 @@ def to_csv(report: dict) -> str:
     """A row a discrepancy under a fixed header, then the summary line."""
     out = io.StringIO()
     w = csv.writer(out, lineterminator="\n")
-    w.writerow(["discrepancy_id", "type", "currency", "note", "evidence_record_ids", "sort_key"])
+    w.writerow(CSV_HEADER)
     for d in report["discrepancies"]:
         w.writerow([d["discrepancy_id"], d["type"], d["currency"], d.get("note", ""), ";".join(e["record_id"] for e in d["evidence"]), d["sort_key"]])
     s = report["summary"]

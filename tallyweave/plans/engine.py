@@ -59,4 +59,5 @@ def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False)
     all_groups = union(groups)
     if all_groups is None:
         all_groups = matching.exact_id_groups(active.where("false"))
-    return Result(all_groups, union(discrepancies), duplicates, active)
+    seen = active.unionByName(records.where("isolated")) if emit_invalid else active
+    return Result(all_groups, union(discrepancies), duplicates, seen)

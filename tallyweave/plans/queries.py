@@ -7,10 +7,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, money
+from ..functions import ids, money, timeparse
+from ..functions.lineage import shared_path
 from ..operators import dedup, matching, report
 from ..operators.rangejoin import islands
 from ..sources import feeds, payments
+from ..streaming import arrivals
 from . import engine
 from .rules import DEFAULT_RULE, OneToMany, Rule, Tolerance
 
@@ -407,3 +409,272 @@ select event_id as source_line, 'EVT' || event_id as external_id, 'U' || user_id
     "report_discrepancy_rows": _SQL_DISC + " select discrepancy_id, type, currency, string_agg(record_id, ';' order by place) as evidence_record_ids, currency || '|' || type || '|' || string_agg(stable_key, '|' order by place) as sort_key from evidence group by 1, 2, 3",
     "report_digest": _SQL_DISC + " select substr(sha256('groups:' || (select string_agg(match_group_id, ',' order by match_group_id) from matched) || '|discs:' || (select string_agg(discrepancy_id, ',' order by discrepancy_id) from disc) || '|matched=' || (select count(*) from matched) || '|amt=' || (select sum(amount_minor) from matched) || '|rule=1'), 1, 16) as digest",
 }
+
+
+# Feeds as texts in the shared folder, read back as any feed would be
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The orders as a CSV feed with quotes, breaks and bad cells at fixed strides."""
+    k, m = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    plain = F.concat(F.expr("cast(round(o_totalprice * 100) as bigint) div 100").cast("string"), F.lit("."), F.lpad((m % 100).cast("string"), 2, "0"))
+    rows = payments.table(spark, sf_dir, "orders").select(
+        F.when(k % 37 == 0, "").otherwise(F.concat(F.lit("EXT"), k.cast("string"))).alias("external_id"),
+        F.when(k % 41 == 0, "abc").when(k % 43 == 0, F.concat(plain, F.lit("5"))).otherwise(plain).alias("amount"),
+        F.when(k % 47 == 0, "XXX").when(k % 3 == 0, "eur").otherwise("").alias("currency"),
+        F.when(k % 53 == 0, "sideways").when(k % 2 == 0, " Credit").otherwise("debit").alias("direction"),
+        F.when(k % 59 == 0, "").when(k % 61 == 0, "nope").otherwise(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'03:04:05'Z'")).alias("timestamp"),
+        F.when(k % 5 == 0, F.concat(F.lit('say "hi", '), k.cast("string"), F.lit("\nsecond line"))).otherwise(F.concat(F.lit(" plain "), k.cast("string"), F.lit(" "))).alias("memo"),
+        F.concat(F.lit("BIZ"), k.cast("string")).alias("business_id"),
+    )
+    path = shared_path(spark)
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    rows.write.options(**options).csv(path)
+    return path
+
+
+_CSV_SOURCE = feeds.Source("orders", "internal")
+_RECORD = ("external_id", "business_id", "amount_minor", "currency", "direction", "ts_ns", "memo")
+
+
+@query
+def csv_feed_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid records of a CSV feed."""
+    return feeds.read_feed(spark, _csv_folder(spark, sf_dir), _CSV_SOURCE, "b").where("error is null").select(*_RECORD)
+
+
+@query
+def csv_feed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed errors of a CSV feed, counted by field and code."""
+    bad = feeds.read_feed(spark, _csv_folder(spark, sf_dir), _CSV_SOURCE, "b").where("error is not null")
+    return bad.groupBy(F.col("error.field").alias("field"), F.col("error.code").alias("code")).agg(F.count("*").alias("n"), F.sum(F.length("error.value")).alias("value_chars"))
+
+
+@query
+def ndjson_feed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of an NDJSON feed with blank lines, lines that are no objects and bytes that aren't UTF-8."""
+    k = F.col("event_id")
+    memo = F.when(k % 31 == 0, F.concat(F.lit("caf"), F.unhex(F.lit("FF")).cast("string"))).otherwise(F.col("event_type"))
+    name = F.when(k % 29 == 0, "").otherwise(F.concat(F.lit('"external_id":"EVT'), k.cast("string"), F.lit('",')))
+    text = F.concat(F.lit("{"), name, F.lit('"amount":'), F.col("value").cast("decimal(18,2)").cast("string"), F.lit(',"timestamp":"2026-01-02","memo":"'), memo, F.lit('"}'))
+    lines = payments.table(spark, sf_dir, "events").select(F.when(k % 17 == 0, "not json").when(k % 19 == 0, "[1]").when(k % 23 == 0, " \r").otherwise(text).alias("value"))
+    path = shared_path(spark)
+    lines.write.text(path)
+    rows = feeds.read_feed(spark, path, feeds.Source("events", "bank", format="ndjson"), "b")
+    return rows.select("external_id", "amount_minor", "memo", F.col("error.field").alias("field"), F.col("error.code").alias("code"))
+
+
+@query
+def stream_ingest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV feed as files that arrive, read by a stream until none is left."""
+    target, checkpoint = shared_path(spark), shared_path(spark)
+    arrivals.ingest_stream(spark, _csv_folder(spark, sf_dir), _CSV_SOURCE, target, checkpoint, "*.csv", available_now=True).awaitTermination()
+    return spark.read.parquet(target).where("not isolated").select(*_RECORD)
+
+
+@query
+def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal and processor records as two streams, joined on business id within the window under watermarks."""
+    path, target, checkpoint = (shared_path(spark) for _ in range(3))
+    payments.payments(spark, sf_dir).where("role in ('internal', 'processor')").write.partitionBy("role").parquet(path)
+    side = lambda role: spark.readStream.schema(spark.read.parquet(f"{path}/role={role}").schema).parquet(f"{path}/role={role}")
+    pairs = arrivals.match_stream(side("internal"), side("processor"), WINDOW)
+    pairs.select("a_record_id", "b_record_id", F.abs(F.col("a_ts_ns") - F.col("b_ts_ns")).alias("time_diff_ns")).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target, format="parquet").awaitTermination()
+    return spark.read.parquet(target)
+
+
+# Expressions
+
+
+@query
+def timestamp_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' days in all layouts, in a zone eight hours ahead, and back to text."""
+    day, kind = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd"), F.col("o_orderkey") % 9
+    tails = ["T03:04:05Z", "T03:04:05.123456789Z", "T11:04:05+08:00", " 09:00:00", "T09:00:00.5", "", " 03:04:05+08:00", "Tnope", "T03:04:05-05:30 "]
+    text = F.concat(day, F.element_at(F.array(*map(F.lit, tails)), (kind + 1).cast("int")))
+    ns = timeparse.parse_ns(text, "Asia/Shanghai")
+    return payments.table(spark, sf_dir, "orders").select("o_orderkey", ns.alias("ns")).select("o_orderkey", F.col("ns").cast("string").alias("ts_ns"), timeparse.render_ns(F.col("ns")).alias("rendered"))
+
+
+@query
+def duration_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey").cast("long")
+    ns = F.when(k % 4 == 0, k % 1000).when(k % 4 == 1, k * 7 % 1_000_000).when(k % 4 == 2, k * 1_234_567 % 60_000_000_000).otherwise(k * 1_234_567_891 % 40_000_000_000_000)
+    return payments.table(spark, sf_dir, "orders").select("o_orderkey", ns.alias("ns")).withColumn("text", timeparse.render_duration(F.col("ns")))
+
+
+@query
+def tolerance_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences against the smaller of two bounds, against one, and against none."""
+    base, diff = F.expr("cast(round(o_totalprice * 100) as bigint) div 400"), (F.col("o_orderkey") % 9).cast("long")
+    kinds = {"both": (5, 1), "absolute": (5, None), "percent": (None, 1), "none": (None, None)}
+    return payments.table(spark, sf_dir, "orders").select("o_orderkey", *[money.compare_tolerance(diff, base, *v).alias(c) for c, v in kinds.items()])
+
+
+@query
+def money_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked sums and differences of the orders' amounts with others, some of another currency or near the limits."""
+    k, m = F.col("o_orderkey").cast("long"), F.round(F.col("o_totalprice") * 100).cast("long")
+    other = F.when(k % 10 == 0, F.lit(2**63 - 1).cast("long")).when(k % 10 == 1, F.lit(-(2**63)).cast("long")).otherwise(k * 100)
+    own, theirs = F.lit("USD"), F.when(k % 7 == 0, "EUR").otherwise("USD")
+    out = payments.table(spark, sf_dir, "orders").select("o_orderkey", *[f(m, other, own, theirs).alias(n) for n, f in (("s", money.add), ("d", money.subtract), ("a", money.abs_diff))], money.compare(m, other, own, theirs).alias("order"))
+    return out.select("o_orderkey", "order", *[F.col(f"{c}.minor").cast("string").alias(n) for c, n in (("s", "total"), ("d", "difference"), ("a", "distance"))], *[F.col(f"{c}.code").alias(f"{n}_code") for c, n in (("s", "total"), ("d", "difference"), ("a", "distance"))])
+
+
+# More of duplicates, rules and reports
+
+
+@query
+def commit_retransmits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the batch that was sent again, with their twins of the batch before."""
+    p = payments.resent(spark, sf_dir)
+    return dedup.retransmits(p.where("batch_id = 'b-resend'"), p.where("batch_id = 'b-processor'"))
+
+
+@query
+def suspected_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.suspected(payments.payments(spark, sf_dir), WINDOW)
+
+
+STRICT_RULE = replace(DEFAULT_RULE, rule_id="strict", allowed_roles=("internal", "bank"), amount=Tolerance(0), fee=Tolerance(), window_ns=0)
+
+
+@query
+def two_rule_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a run of two rules: equal amounts at equal times of two roles first, then the default rule on what is left."""
+    g = engine.reconcile(payments.payments(spark, sf_dir), [STRICT_RULE, DEFAULT_RULE]).groups
+    return g.select("match_group_id", "type", "currency", "amount_minor", _joined("record_ids"))
+
+
+@query
+def invalid_record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolated rows of an NDJSON feed as discrepancies with their evidence."""
+    source = feeds.Source("events", "internal", format="ndjson")
+    rows = feeds.logical_fields(payments.event_lines(spark, sf_dir), source)
+    rows = rows.withColumn("amount", F.when(F.col("line") % 50 != 0, F.col("amount")))
+    r = engine.reconcile(feeds.normalise(rows, source, "b-events").drop("error"), [DEFAULT_RULE], emit_invalid=True)
+    e = report.evidence_rows(r).where("type = 'invalid_record'")
+    return e.select("discrepancy_id", "currency", "note", "record_id", "role", "amount_minor", "stable_key")
+
+
+@query
+def report_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the CSV report, notes included."""
+    return report.csv_rows(_run(spark, sf_dir)).select("line")
+
+
+@query
+def report_digest_mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = report.mergeable_digest(_run(spark, sf_dir))
+    return d.select("kind", "n", F.col("hash_sum").cast("string").alias("hash_sum"))
+
+
+_SQL_FEED = """
+with base as (
+  select o_orderkey as k, cast(round(o_totalprice * 100) as bigint) as m, epoch_us(o_orderdate) * 1000 as day_ns from orders),
+cells as (
+  select *, case when k % 37 = 0 then 'external_id' when k % 47 = 0 then 'currency' when k % 41 = 0 or k % 43 = 0 then 'amount' when k % 53 = 0 then 'direction' when k % 59 = 0 or k % 61 = 0 then 'timestamp' end as field,
+    case when k % 37 = 0 then 'missing' when k % 47 = 0 then 'unknown_currency' when k % 41 = 0 then 'bad_format' when k % 43 = 0 then 'too_many_digits' when k % 53 = 0 then 'invalid' when k % 59 = 0 then 'missing' when k % 61 = 0 then 'invalid' end as code,
+    case when k % 37 = 0 then 0 when k % 47 = 0 or k % 41 = 0 then 3 when k % 43 = 0 then length((m // 100)::varchar) + 4 when k % 53 = 0 then 8 when k % 59 = 0 then 0 when k % 61 = 0 then 4 end as value_chars
+  from base)"""
+
+_SQL_FEED_RECORDS = (
+    _SQL_FEED
+    + """
+select 'EXT' || k as external_id, 'BIZ' || k as business_id, m as amount_minor, case when k % 3 = 0 then 'EUR' else 'USD' end as currency, case when k % 2 = 0 then 'credit' else 'debit' end as direction,
+  day_ns + 11045000000000 as ts_ns, case when k % 5 = 0 then 'say "hi", ' || k || chr(10) || 'second line' else 'plain ' || k end as memo
+from cells where field is null"""
+)
+
+
+def _sql_trimmed(value: str, unit: int) -> str:
+    """Decimal text of ``value`` units without trailing zeros."""
+    return f"rtrim(rtrim(({value} // {unit})::varchar || '.' || lpad(({value} % {unit})::varchar, {len(str(unit)) - 1}, '0'), '0'), '.')"
+
+
+def _sql_duration(ns: str) -> str:
+    second, minute, hour = 1_000_000_000, 60_000_000_000, 3_600_000_000_000
+    tail = f"({_sql_trimmed(f'({ns} % {minute})', second)} || 's')"
+    return f"case when {ns} = 0 then '0s' when {ns} < 1000 then {ns}::varchar || 'ns' when {ns} < 1000000 then {_sql_trimmed(ns, 1000)} || 'µs' when {ns} < {second} then {_sql_trimmed(ns, 1000000)} || 'ms' when {ns} < {minute} then {tail} when {ns} < {hour} then ({ns} // {minute})::varchar || 'm' || {tail} else ({ns} // {hour})::varchar || 'h' || ({ns} // {minute} % 60)::varchar || 'm' || {tail} end"
+
+
+def _sql_amount(minor: str, currency: str) -> str:
+    return f"case when {currency} = 'JPY' then {minor}::varchar else case when {minor} < 0 then '-' else '' end || (abs({minor}) // 100)::varchar || '.' || lpad((abs({minor}) % 100)::varchar, 2, '0') end"
+
+
+_SQL_CHECKED = """
+with x as (select o_orderkey, cast(round(o_totalprice * 100) as bigint)::hugeint as m, o_orderkey as k,
+    case when o_orderkey % 10 = 0 then 9223372036854775807 when o_orderkey % 10 = 1 then -9223372036854775808 else o_orderkey * 100 end::hugeint as b from orders),
+y as (select *, m + b as s, m - b as d, abs(m - b) as a from x)"""
+
+
+def _sql_checked(v: str, name: str) -> str:
+    good = f"{v} between -9223372036854775808::hugeint and 9223372036854775807::hugeint"
+    return f"case when k % 7 <> 0 and {good} then {v}::varchar end as {name}, case when k % 7 = 0 then 'currency_mismatch' when not ({good}) then 'overflow' end as {name}_code"
+
+
+_SQL_STRICT = (
+    _SQL_ACTIVE
+    + """,
+firsts_a as (
+  select *, row_number() over (partition by currency, business_id, role order by stable_key, source_line, batch_ord, record_id) as rn
+  from active where business_id <> '' and role in ('internal', 'bank')),
+exact_a as materialized (
+  select currency, string_agg(record_id, ',' order by record_id) as record_ids, min_by(amount_minor, role_rank) as amount_minor from firsts_a where rn = 1 group by currency, business_id having count(*) >= 2),
+free_a as materialized (select * from active where record_id not in (select unnest(string_split(record_ids, ',')) from exact_a)),
+edges_a as materialized (
+  select a.record_id as x, b.record_id as y, a.amount_minor, a.currency from free_a a join free_a b on a.role = 'internal' and b.role = 'bank' and a.currency = b.currency and a.ts_ns = b.ts_ns and a.amount_minor = b.amount_minor),
+tied_a as (select n from (select x as n from edges_a union all select y from edges_a) group by n having count(*) >= 2),
+won_a as materialized (select * from edges_a where x not in (select n from tied_a) and y not in (select n from tied_a)),
+rest_a as materialized (select * from free_a where record_id not in (select x from won_a union all select y from won_a union all select n from tied_a))"""
+    + _SQL_WON[len(_SQL_ACTIVE) :].replace("from active", "from rest_a")
+)
+
+
+def _sql_group(ids: str) -> str:
+    return f"'mg_' || substr(sha256(replace({ids}, ',', chr(10)) || chr(10)), 1, 16)"
+
+
+_SQL_PAIR_IDS = "least({0}, {1}) || ',' || greatest({0}, {1})"
+
+ORACLE_SQL |= {
+    "csv_feed_normalize": _SQL_FEED_RECORDS,
+    "stream_ingest_feed": _SQL_FEED_RECORDS,
+    "csv_feed_errors": _SQL_FEED + " select field, code, count(*) as n, sum(value_chars)::bigint as value_chars from cells where field is not null group by 1, 2",
+    "ndjson_feed_errors": """
+with x as (select *, event_id % 17 = 0 or event_id % 19 = 0 as broken, event_id % 29 = 0 as nameless from events where event_id % 17 = 0 or event_id % 19 = 0 or event_id % 23 <> 0)
+select case when broken or nameless then '' else 'EVT' || event_id end as external_id, case when broken or nameless then 0 else cast(cast(value as decimal(18,2)) * 100 as bigint) end as amount_minor,
+  case when broken or nameless then '' when event_id % 31 = 0 then 'caf' || chr(65533) else event_type end as memo, case when broken then '_record' when nameless then 'external_id' end as field, case when broken then 'decode' when nameless then 'missing' end as code from x""",
+    "stream_match": _SQL_PAY + " select a.record_id as a_record_id, b.record_id as b_record_id, abs(a.ts_ns - b.ts_ns) as time_diff_ns from pay a join pay b on a.role = 'internal' and b.role = 'processor' and a.business_id <> '' and a.business_id = b.business_id and a.currency = b.currency and abs(a.ts_ns - b.ts_ns) <= 120000000000",
+    "timestamp_layouts": """
+with x as (select o_orderkey, o_orderkey % 9 as kind, epoch_us(o_orderdate) as us from orders),
+y as (select *, case kind when 0 then 11045000000 when 1 then 11045000000 when 2 then 11045000000 when 3 then 3600000000 when 4 then 3600500000 when 5 then -28800000000 when 8 then 30845000000 end as plus from x)
+select o_orderkey, ((us + plus) * 1000 + case when kind = 1 then 123456789 else 0 end)::varchar as ts_ns,
+  strftime(make_timestamp(us + plus), '%Y-%m-%dT%H:%M:%S') || case kind when 1 then '.123456789' when 4 then '.5' else '' end || 'Z' as rendered from y""",
+    "duration_texts": f"with x as (select o_orderkey, case o_orderkey % 4 when 0 then o_orderkey % 1000 when 1 then o_orderkey * 7 % 1000000 when 2 then o_orderkey * 1234567 % 60000000000 else o_orderkey * 1234567891 % 40000000000000 end as ns from orders) select o_orderkey, ns, {_sql_duration('ns')} as text from x",
+    "tolerance_comparison": """
+with x as (select o_orderkey, o_orderkey % 9 as d, cast(round(o_totalprice * 100) as bigint) // 400 // 10000 as p from orders)
+select o_orderkey, sign(d - least(5, p))::int as both, sign(d - 5)::int as absolute, sign(d - p)::int as percent, sign(d)::int as none from x""",
+    "money_arithmetic": _SQL_CHECKED + f" select o_orderkey, case when k % 7 <> 0 then sign(d)::int end as order, {_sql_checked('s', 'total')}, {_sql_checked('d', 'difference')}, {_sql_checked('a', 'distance')} from y".replace(" as order,", ' as "order",'),
+    "commit_retransmits": _SQL_RESENT + " select a.record_id, b.record_id as earlier_id, b.batch_id as earlier_batch from resent a join resent b on a.batch_id = 'b-resend' and b.batch_id = 'b-processor' and a.source_id = b.source_id and a.external_id = b.external_id and a.content_hash = b.content_hash",
+    "suspected_duplicates": _SQL_PAY + ", x as (select *, lag(record_id) over w as previous_id, lag(ts_ns) over w as t from pay window w as (partition by source_id, currency, amount_minor order by ts_ns, stable_key, source_line, batch_ord, record_id)) select record_id, previous_id from x where ts_ns - t <= 120000000000",
+    "two_rule_groups": _SQL_STRICT
+    + f" select {_sql_group('record_ids')} as match_group_id, 'exact_id' as type, currency, amount_minor, record_ids from (select currency, amount_minor, record_ids from exact_a union all select currency, amount_minor, record_ids from exact)"
+    + f" union all select {_sql_group(_SQL_PAIR_IDS.format('x', 'y'))}, 'tolerance', currency, amount_minor, {_SQL_PAIR_IDS.format('x', 'y')} from won_a"
+    + f" union all select {_sql_group(_SQL_PAIR_IDS.format('a_record_id', 'b_record_id'))}, 'tolerance', currency, a_amount, {_SQL_PAIR_IDS.format('a_record_id', 'b_record_id')} from won",
+    "invalid_record_rows": "with x as (select 'rec_invalid_events_' || event_id as record_id, event_id from events where event_id % 50 = 0) select 'disc_' || substr(sha256('invalid_record' || chr(10) || record_id || chr(10)), 1, 16) as discrepancy_id, 'USD' as currency, 'amount: missing' as note, record_id, 'internal' as role, 0::bigint as amount_minor, 'internal|invalid|' || event_id as stable_key from x",
+    "report_csv_lines": _SQL_DISC
+    + f""",
+keys as (select discrepancy_id, string_agg(stable_key, '|' order by place) as k from evidence group by 1),
+noted as (
+  select d.*, case d.type
+    when 'amount_mismatch' then 'amounts differ by ' || abs(p.amount_minor - c.amount_minor) || ' minor units: ' || p.role || '=' || {_sql_amount('p.amount_minor', 'p.currency')} || ' ' || c.role || '=' || {_sql_amount('c.amount_minor', 'c.currency')}
+    when 'fee_mismatch' then 'fees differ by ' || abs(p.fee_minor - c.fee_minor) || ' minor units: ' || p.role || '=' || {_sql_amount('p.fee_minor', 'p.currency')} || ' ' || c.role || '=' || {_sql_amount('c.fee_minor', 'c.currency')}
+    when 'time_mismatch' then 'timestamps differ by ' || {_sql_duration('abs(p.ts_ns - c.ts_ns)')} || ': ' || p.role || '=' || p.ts_ns || ' ' || c.role || '=' || c.ts_ns
+    when 'ambiguous' then 'two or more candidates tied at the best score; cannot auto-resolve'
+    else 'no counterpart found for ' || p.role || ' record ' || p.external_id end as note
+  from disc d join active p on p.record_id = split_part(d.record_ids, ',', 1) left join active c on c.record_id = split_part(d.record_ids, ',', 2))
+select discrepancy_id || ',' || type || ',' || currency || ',' || note || ',' || replace(record_ids, ',', ';') || ',' || currency || '|' || type || '|' || k as line from noted join keys using (discrepancy_id)""",
+    "report_digest_mergeable": _SQL_DISC
+    + ", ids as (select 'groups' as kind, match_group_id as id from matched union all select 'discrepancies', discrepancy_id from disc) select kind, count(*) as n, sum(('0x' || substr(sha256(id), 1, 15))::bigint::hugeint)::varchar as hash_sum from ids group by 1",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, money, timeparse
@@ -98,11 +98,26 @@ def scan_ndjson(files: DataFrame) -> DataFrame:
 
     Blank lines are left out and not numbered. Numbers keep the digits they have.
     """
-    lines = F.filter(F.transform(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: F.regexp_replace(x, r"[\r ]+$", "")), lambda x: x != "")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"[\r ]+$", "")), lambda x: x != "")
     rows = files.select("path", F.posexplode(lines).alias("line", "text"))
     return rows.select("path", (F.col("line") + 1).cast("long").alias("line"), F.try_parse_json("text").alias("value"))
 
 
+def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value) as ``scan_ndjson``, of files that Spark splits and reads line by line.
+
+    Lines are counted within each split of a file; the counts of the splits before are added.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    text = F.regexp_replace(F.make_valid_utf8("value"), r"[\r ]+$", "")
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), text.alias("text")).where("text <> ''")
+    within, before = Window.partitionBy("path", "start").orderBy("at"), Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy("path", "start").agg(F.count("*").alias("n")).select("path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = rows.withColumn("line", F.row_number().over(within)).join(bases, ["path", "start"])
+    return numbered.select("path", (F.col("line") + F.col("base")).cast("long").alias("line"), F.try_parse_json("text").alias("value"))
+
+
 def _json_text(value: Column, name: str) -> Column:
     return F.try_variant_get(value, '$["%s"]' % name.replace('"', '\\"'), "string")
 
@@ -191,7 +206,9 @@ def normalise(rows: DataFrame, source: Source, batch_id: str, batch_ord: int = 0
 
 
 def read_feed(spark: SparkSession, path: str, source: Source, batch_id: str, batch_ord: int = 0, currencies: dict[str, int] | None = None) -> DataFrame:
-    """Scan and normalise the files at ``path``."""
+    """Scan and normalise the files at ``path``: CSV a file a task, NDJSON line by line."""
+    if source.format == "ndjson":
+        return normalise(logical_fields(read_ndjson(spark, path), source), source, batch_id, batch_ord, currencies)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return parse_files(files, source, batch_id, batch_ord, currencies)
 

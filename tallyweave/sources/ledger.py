@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..operators import dedup
 from ..operators import report as reports
 from ..plans.engine import Result, reconcile
 from ..plans.rules import RuleSet
@@ -130,8 +130,9 @@ class Ledger:
 
     def records(self, batch_ids: list[str]) -> DataFrame:
         """Records of the batches in the order that ties fall by: (source_id, source_line, place of the batch)."""
-        parts = [self.spark.read.parquet(f"{self.root}/records/batch_id={b}").withColumns({"batch_id": F.lit(b), "batch_ord": F.lit(i)}).select(*RECORD_COLUMNS) for i, b in enumerate(batch_ids)]
-        return reduce(DataFrame.unionByName, parts)
+        order = F.create_map(*[F.lit(x) for i, b in enumerate(batch_ids) for x in (b, i)])
+        rows = self.spark.read.option("basePath", f"{self.root}/records").parquet(*[f"{self.root}/records/batch_id={b}" for b in batch_ids])
+        return rows.withColumn("batch_id", F.col("batch_id").cast("string")).withColumn("batch_ord", order[F.col("batch_id")]).select(*RECORD_COLUMNS)
 
     def batches(self) -> DataFrame:
         return self._entries("batch").orderBy("id")
@@ -140,11 +141,8 @@ class Ledger:
         """(record_id, earlier_id, earlier_batch): rows that an earlier committed batch of the same file content had already."""
         mine = self._entry("batch", batch_id)
         twins = [r.id for r in self._entries("batch").where((F.col("file_digest") == mine.file_digest) & (F.col("status") == "committed") & (F.col("id") != batch_id)).collect()]
-        own = self.records([batch_id]).where("not isolated").select("source_id", "external_id", "content_hash", "record_id")
-        if not twins:
-            return own.select("record_id", F.lit(None).cast("string").alias("earlier_id"), F.lit(None).cast("string").alias("earlier_batch")).where("false")
-        other = self.records(twins).where("not isolated").groupBy("source_id", "external_id", "content_hash").agg(F.max_by(F.struct("record_id", "batch_id"), F.struct("source_line", "batch_id")).alias("e"))
-        return own.join(other, ["source_id", "external_id", "content_hash"]).select("record_id", F.col("e.record_id").alias("earlier_id"), F.col("e.batch_id").alias("earlier_batch"))
+        own = self.records([batch_id])
+        return dedup.retransmits(own, self.records(twins) if twins else own.where("false"))
 
     # Runs
 
