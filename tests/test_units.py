@@ -3,6 +3,8 @@
 import itertools
 import json
 import random
+import re
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,29 +26,58 @@ def parsed(spark, cases, mode="reject", scale=2):
     return [tuple(r.p) for r in df.select("i", money.parse(F.col("t"), F.lit(scale), mode).alias("p")).orderBy("i").collect()]
 
 
-def test_money_accepts(spark):
-    cases = {"12.34": 1234, "0.01": 1, "100": 10000, "100.": 10000, ".05": 5, "-12.34": -1234, "+12.34": 1234, "  12.34  ": 1234, "0": 0, "-0": 0, "12.340": 1234, "9999999999.99": 999999999999, "0" * 50 + "1": 100, "92233720368547758.07": 2**63 - 1, "-92233720368547758.08": -(2**63)}
-    assert parsed(spark, list(cases)) == [(v, None) for v in cases.values()]
-    assert parsed(spark, ["1234", "12"], scale=0) == [(1234, None), (12, None)]
-
-
-def test_money_rejects(spark):
-    cases = {"": "empty_amount", None: "empty_amount", " ": "empty_amount", "abc": "bad_format", "1.2.3": "bad_format", "--1": "bad_format", "+": "bad_format", "-": "bad_format", "1e3": "bad_format", "1,000": "bad_format", "12.3a": "bad_format", ".": "bad_format", "12.345": "too_many_digits", "92233720368547758.08": "overflow", "9" * 40: "overflow"}
-    assert parsed(spark, list(cases)) == [(None, c) for c in cases.values()]
-
-
-def test_rounding(spark):
-    cases = ["12.345", "12.344", "12.355", "0.005", "9.995", "9.999", "12.3451", "-0.005"]
-    want = {"half_up": [1235, 1234, 1236, 1, 1000, 1000, 1235, -1], "trunc": [1234, 1234, 1235, 0, 999, 999, 1234, 0], "half_even": [1234, 1234, 1236, 0, 1000, 1000, 1234, 0]}
-    for mode, values in want.items():
-        assert [v for v, _ in parsed(spark, cases, mode)] == values
-    assert [v for v, _ in parsed(spark, ["12.1", "12.0"], "half_up", 0)] == [13, 12]
-
-
-def test_format(spark):
-    cases = [(1234, 2, "12.34"), (5, 2, "0.05"), (100, 2, "1.00"), (0, 2, "0.00"), (-1234, 2, "-12.34"), (-5, 2, "-0.05"), (100000, 2, "1000.00"), (1234, 0, "1234"), (0, 0, "0"), (-12, 0, "-12"), (-(2**63), 2, "-92233720368547758.08")]
-    df = spark.createDataFrame(cases, "v long, s int, want string")
-    assert df.where(money.render(F.col("v"), F.col("s")) != F.col("want")).count() == 0
+def plain_parse(text, mode="reject", scale=2):
+    """(minor, code) by Python's Decimal; half-even looks at the first discarded digit alone, and at scale 0 both half modes go away from zero."""
+    t = (text or "").strip()
+    if not t:
+        return None, "empty_amount"
+    if not re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)", t, re.ASCII):
+        return None, "bad_format"
+    with localcontext() as c:
+        c.prec = 200
+        size = abs(Decimal(t)).scaleb(scale)
+        whole = int(size)
+        rest = size - whole
+        if rest and mode == "reject":
+            return None, "too_many_digits"
+        if mode != "trunc" and rest:
+            tenth = int(rest * 10)
+            whole += scale == 0 or tenth > 5 or (tenth == 5 and (mode == "half_up" or whole % 2 == 1))
+        value = -whole if t.startswith("-") else whole
+    return (value, None) if -(2**63) <= value < 2**63 else (None, "overflow")
+
+
+def amounts(seed, n):
+    """Texts of amounts in all spellings, good and bad, many around the limits."""
+    rng = random.Random(seed)
+    digits = lambda most: "".join(rng.choice("0123459") for _ in range(rng.randint(0, most)))
+    out = [None, "", "  ", ".", "+", "-", "+.", "0" * 60 + "7", "8" * 45]
+    for _ in range(n):
+        t = rng.choice(["", "", "+", "-"]) + rng.choice([digits(4), digits(20), str(2**63 // 100 + rng.randint(-1, 1))]) + rng.choice(["", ".", "." + digits(3), "." + digits(6)])
+        out.append(rng.choice(["", "", " ", "\t"]) + t + rng.choice(["", "", " ", rng.choice(["x", "e2", ",5", ".1", " 1", "-"])]))
+    return out
+
+
+def test_money_parsing_against_decimal(spark):
+    for seed, mode, scale in [(1, "reject", 2), (2, "reject", 0), (3, "trunc", 2), (4, "half_up", 2), (5, "half_even", 2), (6, "half_up", 0), (7, "half_even", 0), (8, "half_even", 3)]:
+        cases = amounts(seed, 400)
+        got = parsed(spark, cases, mode, scale)
+        assert got == [plain_parse(t, mode, scale) for t in cases]
+        assert {c for _, c in got} >= {None, "empty_amount", "bad_format", "overflow"} and (mode != "reject" or "too_many_digits" in {c for _, c in got})
+
+
+def test_odd_rounding_rules(spark):
+    # what the rules say where usual rounding says otherwise
+    assert parsed(spark, ["7.6251", "7.6351"], "half_even") == [(762, None), (764, None)]
+    assert parsed(spark, ["31.01", "-31.01", "31.00"], "half_even", 0) == [(32, None), (-32, None), (31, None)]
+
+
+def test_rendering_is_parsing_backwards(spark):
+    rng = random.Random(9)
+    values = [(v, s) for s in (0, 1, 2, 3) for v in [0, 1, -1, -(2**63), 2**63 - 1, *(rng.randint(-(10**n), 10**n) for n in range(1, 18))]]
+    df = spark.createDataFrame(values, "v long, s int").withColumn("t", money.render(F.col("v"), F.col("s")))
+    for r in df.withColumn("back", money.parse(F.col("t"), F.col("s"))).collect():
+        assert r.back.minor == r.v and len(r.t.partition(".")[2]) == r.s and Decimal(r.t) == Decimal(r.v).scaleb(-r.s)
 
 
 def test_tolerance(spark):
@@ -240,3 +271,63 @@ def test_rule_documents():
     a, b = ruleset_from_document(json.loads(json.dumps(doc))).rules
     assert (a.amount, a.window_ns, a.search_limit) == (Tolerance(5, None), 120 * S, 10_000)
     assert (b.amount, b.window_ns) == (Tolerance(1, 7), 5)
+
+
+def test_one_to_many_at_equal_times(spark):
+    rows = []
+    for i in range(60):
+        at = (i * 1000 + 7) * S
+        rows += [("bank", f"K{i}", "", 100 + i, at), ("processor", f"P{i}", "", 40, at), ("processor", f"Q{i}", "", 60 + i, at)]
+    groups, limits = matching.one_to_many(records(spark, rows).repartition(5), many())
+    assert groups.count() == 60 and limits.count() == 0
+
+
+def test_percentages_of_a_hundred_and_more(spark):
+    rng = random.Random(17)
+    for bps in (10_000, 25_000):
+        rows = [(rng.choice(["internal", "processor"]), f"E{i}", "", rng.choice([-300, -150, -100, -7, 0, 5, 90, 100, 200]), i * 10**13) for i in range(40)]
+        r = engine.reconcile(records(spark, rows), [Rule("w", ("internal", "processor"), Tolerance(None, bps), Tolerance(), S)])
+        named = {x.external_id: x.record_id for x in r.records.collect()}
+        want = {}
+        for role, ext, _, v, at in rows:
+            near = [(abs(at - t), o, e) for o, e, _, w, t in rows if o != role and abs(v - w) * 10_000 <= bps * abs(max(v, w))]
+            want[named[ext]] = min(near)[0] if near else None
+        times = {named[e]: t for _, e, _, _, t in rows}
+        for d in r.discrepancies.collect():
+            best = want[d.record_ids[0]]
+            assert (d.type == "time_mismatch") == (best is not None)
+            assert best is None or abs(times[d.record_ids[0]] - times[d.record_ids[1]]) == best
+
+
+def test_ndjson_lines_over_splits(spark, tmp_path):
+    lines = [f'{{"external_id":"E{i}","amount":"{i}","timestamp":"2026-01-02"}}' if i % 5 else "  " for i in range(400)]
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.ndjson").write_bytes("\n".join(lines).encode() + b'\n{"external_id":"bad\xff","amount":"1","timestamp":"2026-01-02"}\r\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = feeds.read_feed(spark, str(tmp_path), feeds.Source("s", "bank", format="ndjson"), "b").select("source_line", "external_id", "record_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [x for x in lines if x.strip()]
+    assert sorted(r.source_line for r in got) == sorted(2 * list(range(1, len(want) + 2)))
+    assert all(r.external_id == (json.loads(want[r.source_line - 1])["external_id"] if r.source_line <= len(want) else "bad\ufffd") for r in got)
+
+
+def test_report_is_frozen_once(spark, tmp_path):
+    from tallyweave.operators import report
+
+    r = engine.reconcile(records(spark, [("internal", "I", "", 5, 0), ("internal", "J", "B", 5, 0), ("bank", "K", "B", 5, 0)]), [DEFAULT_RULE])
+    report.freeze(r, str(tmp_path / "report"))
+    assert spark.read.parquet(str(tmp_path / "report/groups")).count() == 1 and spark.read.parquet(str(tmp_path / "report/discrepancies")).count() == 1
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        report.freeze(r, str(tmp_path / "report"))
+
+
+def test_candidates_of_one_minute_and_one_amount(spark):
+    rng = random.Random(19)
+    rows = [(rng.choice(["internal", "processor", "bank"]), f"E{i}", "", rng.choice([1000, 1000 + i]), rng.randint(0, 60) * S) for i in range(150)]
+    for rule in (Rule("a", amount=Tolerance(3), window_ns=9 * S), Rule("b", amount=Tolerance(None, 40), window_ns=0), Rule("c", amount=Tolerance(0), window_ns=9 * S), Rule("d", window_ns=S)):
+        got = sorted((e.a_record_id, e.b_record_id) for e in matching.tolerance_candidates(records(spark, rows), rule).collect())
+        full = [(r.record_id, r.role_rank, r.amount_minor, r.ts_ns) for r in records(spark, rows).collect()]
+        within = lambda a, b: (rule.amount.absolute is None or abs(a - b) <= rule.amount.absolute) and (rule.amount.bps is None or abs(a - b) * 10_000 <= rule.amount.bps * abs(max(a, b)))
+        assert got == sorted((x[0], y[0]) for x in full for y in full if x[1] < y[1] and abs(x[3] - y[3]) <= rule.window_ns and within(x[2], y[2]))
