@@ -77,7 +77,7 @@ def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """
     many = rule.one_to_many
     free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).select("record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
-    placed = islands(free, ["currency"], rule.window_ns)
+    placed = cut(islands(cut(free), ["currency"], rule.window_ns))
     worth = placed.groupBy("currency", "island").agg(F.count_if(F.col("role") == many.anchor_role).alias("a"), F.count_if(F.col("role") == many.many_role).alias("m")).where("a > 0 and m > 1").select("currency", "island")
     shards = 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     work = placed.join(worth, ["currency", "island"]).withColumn("shard", F.pmod(F.xxhash64("currency", "island"), F.lit(shards)))

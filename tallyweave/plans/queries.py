@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, money, timeparse
-from ..functions.lineage import shared_path
+from ..functions.lineage import cut, shared_path
 from ..operators import dedup, matching, report
 from ..operators.rangejoin import islands
 from ..sources import feeds, payments
@@ -100,8 +100,8 @@ for _kind in dedup.KEYS:
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = payments.payments(spark, sf_dir)
-    return dedup.without_excluded(p, dedup.detect(p, DEFAULT_RULE))
+    p = cut(payments.payments(spark, sf_dir))
+    return cut(dedup.without_excluded(p, dedup.detect(p, DEFAULT_RULE)))
 
 
 @query
@@ -129,7 +129,7 @@ def exact_match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _free(spark: SparkSession, sf_dir: str) -> DataFrame:
     active = _active(spark, sf_dir)
     used = matching.exact_id_groups(active).select(F.explode("record_ids").alias("record_id"))
-    return active.join(used, "record_id", "left_anti")
+    return cut(active.join(used, "record_id", "left_anti"))
 
 
 @query

@@ -53,7 +53,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind((k % 44 == 0) & (k % 23 != 0), "processor", name("PRC", "b"), none, F.col("m") + wobble, fee, late, 2),
         kind(k % 3 != 0, "bank", name("BNK"), bid, F.col("m"), zero, F.col("ns") + (k % 60) * SECOND, 1),
     )
-    return _records(o.select("currency", F.explode(F.array_compact(rows)).alias("r")).select("currency", "r.*"))
+    return _records(o.select("currency", F.explode(rows).alias("r")).where("r is not null").select("currency", "r.*"))
 
 
 def resent(spark: SparkSession, sf_dir: str) -> DataFrame:
