@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder
+    takes its place in local mode, where driver and executors are one process; else it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -137,9 +139,8 @@ def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Components of an undirected graph of long ids: (node, component), component the smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step is a
-    grouped minimum and an equi-join, so a hub needs no gathering of its neighbours in one
-    task beyond the partial aggregation, and the number of steps grows with the logarithm
-    of the longest path. ``edges`` has columns (a, b). Each round is written to the shared
+    grouped minimum, summed up before the shuffle, and an equi-join, in which adaptive
+    execution splits a hub's edges; the number of steps grows with the logarithm of the longest path. ``edges`` has columns (a, b). Each round is written to the shared
     folder. Raises if ``limit`` rounds don't suffice, rather than return a half result.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
