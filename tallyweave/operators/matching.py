@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +19,9 @@ from .rangejoin import floor_div, islands, range_join, time_bucket
 GROUP_COLUMNS = ["match_group_id", "type", "anchor_role", "record_ids", "score_tuple", "amount_minor", "currency"]
 DISC_COLUMNS = ["discrepancy_id", "type", "currency", "record_ids", "candidate_ids", "score_tuple", "note"]
 MAX_ROUNDS = 12
+FEW_EDGES = 200_000  # that one task may finish after the rounds
+SHARD_ROWS = 50_000  # of a piece of the subset search, about
+HOUR_NS = 3_600_000_000_000
 
 
 def _groups(rows: DataFrame, kind: str) -> DataFrame:
@@ -72,14 +76,15 @@ def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(groups, search-limit discrepancies) of anchors whose amount is a sum of records of the many role.
 
     Anchors take members in the order of their stable keys, so an island of the time line is
-    one sequential piece of work; islands are independent and dealt out by hash. Islands
-    without an anchor and two members never reach Python.
+    one sequential piece of work; islands are independent and dealt out by hash, in as many
+    shards as keep one at about ``SHARD_ROWS`` rows or its largest island. Islands without an
+    anchor and two members never reach Python.
     """
     many = rule.one_to_many
     free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).select("record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
     placed = cut(islands(cut(free), ["currency"], rule.window_ns))
     worth = placed.groupBy("currency", "island").agg(F.count_if(F.col("role") == many.anchor_role).alias("a"), F.count_if(F.col("role") == many.many_role).alias("m")).where("a > 0 and m > 1").select("currency", "island")
-    shards = 4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // SHARD_ROWS + 1)
     work = placed.join(worth, ["currency", "island"]).withColumn("shard", F.pmod(F.xxhash64("currency", "island"), F.lit(shards)))
 
     def solve(shard: pd.DataFrame) -> pd.DataFrame:
@@ -90,11 +95,15 @@ def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
             n = len(rows["role"])
             anchors = [i for i in range(n) if rows["role"][i] == many.anchor_role]
             pool = [i for i in range(n) if rows["role"][i] == many.many_role]
+            pool.sort(key=lambda i: rows["ts_ns"][i])
+            times = [rows["ts_ns"][i] for i in pool]
             taken: set[int] = set()
             for a in anchors:
                 if a in taken:
                     continue
-                near = [i for i in pool if i not in taken and i != a and abs(rows["ts_ns"][i] - rows["ts_ns"][a]) <= rule.window_ns]
+                at = rows["ts_ns"][a]
+                reach = pool[bisect_left(times, at - rule.window_ns) : bisect_right(times, at + rule.window_ns)]
+                near = sorted(i for i in reach if i not in taken and i != a)
                 if len(near) < 2:
                     continue
                 value = rows["amount_minor"][a]
@@ -180,24 +189,24 @@ def commit_tolerance(edges: DataFrame, tied: DataFrame, max_rounds: int = MAX_RO
     """Edges that a greedy pass in order of score and stable keys takes, edges at ambiguous records left out.
 
     The order is total, so the greedy pass equals repeatedly taking every edge that is the
-    best of both its ends. Few rounds suffice but for contrived chains; what is left after
-    ``max_rounds`` is finished per currency by the sequential pass itself.
+    best of both its ends; every round takes the first edge that is left at least. Few rounds
+    suffice but for contrived chains: once ``max_rounds`` have gone by and at most ``FEW_EDGES``
+    edges are left, the sequential pass itself finishes them per currency.
     """
     gone = tied.select("record_id")
     order = F.struct("score_tuple", "a_stable_key", "b_stable_key", "a_source_line", "b_source_line", "a_batch_ord", "b_batch_ord", "a_record_id", "b_record_id")
     rest = edges.join(gone.withColumnRenamed("record_id", "a_record_id"), "a_record_id", "left_anti").join(gone.withColumnRenamed("record_id", "b_record_id"), "b_record_id", "left_anti")
     rest = cut(rest.withColumn("o", order))
-    taken = None
-    for _ in range(max_rounds):
-        if rest.isEmpty():
-            break
+    taken, rounds = None, 0
+    while not rest.isEmpty() and (rounds < max_rounds or rest.count() > FEW_EDGES):
+        rounds += 1
         best = rest.select(F.col("a_record_id").alias("n"), "o").union(rest.select("b_record_id", "o")).groupBy("n").agg(F.min("o").alias("m"))
         won = rest.join(best.select(F.col("n").alias("a_record_id"), F.col("m").alias("ma")), "a_record_id").join(best.select(F.col("n").alias("b_record_id"), F.col("m").alias("mb")), "b_record_id")
         won = cut(won.where("o = ma and o = mb").select(*edges.columns))
         taken = won if taken is None else taken.unionByName(won)
         ends = won.select(F.col("a_record_id").alias("n")).union(won.select("b_record_id"))
         rest = cut(rest.join(ends.withColumnRenamed("n", "a_record_id"), "a_record_id", "left_anti").join(ends.withColumnRenamed("n", "b_record_id"), "b_record_id", "left_anti").select(*edges.columns, "o"))
-    else:
+    if not rest.isEmpty():
         flat = rest.select(*edges.columns, F.row_number().over(Window.partitionBy("currency").orderBy("o")).alias("place"))
         last = flat.groupBy("currency").applyInPandas(lambda e: _greedy(e.sort_values("place")).drop(columns="place"), rest.select(*edges.columns).schema)
         taken = last if taken is None else taken.unionByName(last)
@@ -337,14 +346,26 @@ def _amount_aligned_by_sign(alone: DataFrame, others: DataFrame, rule: Rule, ok:
 
 
 def _nearest_in_time(alone: DataFrame, others: DataFrame) -> DataFrame:
-    """Without any tolerance: for each record the nearest ones of each role before and after, in order of time."""
-    both = alone.select(*alone.columns, F.lit(1).alias("_q")).unionByName(others.select(*others.columns, F.lit(0).alias("_q")))
-    row = F.struct(*others.columns)
-    found = []
-    for r in ROLES:
-        mine = F.when((F.col("_q") == 0) & (F.col("role") == r), row)
-        before = Window.partitionBy("currency").orderBy("ts_ns").rangeBetween(Window.unboundedPreceding, 0)
-        after = Window.partitionBy("currency").orderBy("ts_ns").rangeBetween(0, Window.unboundedFollowing)
-        found += [F.max_by(mine, F.when(mine.isNotNull(), F.struct("ts_ns"))).over(before), F.min_by(mine, F.when(mine.isNotNull(), F.struct("ts_ns"))).over(after)]
-    x = both.withColumn("_near", F.array_compact(F.array(*found))).where("_q = 1").withColumn("_r", F.explode("_near"))
-    return x.select(*[F.col(c).alias(f"l_{c}") for c in alone.columns], *[F.col(f"_r.{c}").alias(f"r_{c}") for c in others.columns])
+    """Without any tolerance: for each record the nearest ones of each role before and after, in order of time.
+
+    Of others at one time the first in order of source, line and batch stands for all. Windows
+    run over an hour of a currency; from other hours come their first and last records, of
+    which only one an hour is sorted for a whole currency.
+    """
+    place = F.struct("source_id", "source_line", "batch_ord", "record_id")
+    single = others.groupBy("currency", "ts_ns", "role").agg(F.min_by(F.struct(*others.columns), place).alias("_r"))
+    asking = alone.select("currency", "ts_ns", F.struct(*alone.columns).alias("_l"))
+    both = asking.unionByName(single, allowMissingColumns=True).withColumn("_hour", floor_div(F.col("ts_ns"), HOUR_NS))
+    mine = [F.when(F.col("role") == r, F.col("_r")) for r in ROLES]
+    at = [F.when(F.col("role") == r, F.col("ts_ns")) for r in ROLES]
+    ends = [pick(v, t).alias(f"{name}{i}") for name, pick in (("_last", F.max_by), ("_first", F.min_by)) for i, (v, t) in enumerate(zip(mine, at))]
+    hours = both.groupBy("currency", "_hour").agg(*ends)
+    earlier = Window.partitionBy("currency").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("currency").orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"{end}{i}", True).over(over).alias(f"{name}{i}") for name, end, over in (("_before", "_last", earlier), ("_after", "_first", later)) for i in range(len(ROLES))]
+    x = both.join(hours.select("currency", "_hour", *carried), ["currency", "_hour"])
+    up = Window.partitionBy("currency", "_hour").orderBy("ts_ns").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("currency", "_hour").orderBy(F.desc("ts_ns")).rangeBetween(Window.unboundedPreceding, 0)
+    found = [F.coalesce(F.last(v, True).over(over), f"{name}{i}") for name, over in (("_before", up), ("_after", down)) for i, v in enumerate(mine)]
+    x = x.withColumn("_near", F.array_compact(F.array(*found))).where("_l is not null").withColumn("_n", F.explode("_near"))
+    return x.select(*[F.col(f"_l.{c}").alias(f"l_{c}") for c in alone.columns], *[F.col(f"_n.{c}").alias(f"r_{c}") for c in others.columns])

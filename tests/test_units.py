@@ -331,3 +331,50 @@ def test_candidates_of_one_minute_and_one_amount(spark):
         full = [(r.record_id, r.role_rank, r.amount_minor, r.ts_ns) for r in records(spark, rows).collect()]
         within = lambda a, b: (rule.amount.absolute is None or abs(a - b) <= rule.amount.absolute) and (rule.amount.bps is None or abs(a - b) * 10_000 <= rule.amount.bps * abs(max(a, b)))
         assert got == sorted((x[0], y[0]) for x in full for y in full if x[1] < y[1] and abs(x[3] - y[3]) <= rule.window_ns and within(x[2], y[2]))
+
+
+def test_rounds_go_on_while_many_edges_are_left(spark, monkeypatch):
+    # a chain whose edges get better along it: only its last edge is best at both ends, so each round takes one
+    rows = [(("internal", "processor")[i % 2], f"E{i:02}", "", i * 100 - i * i, S) for i in range(16)]
+    edges = matching.tolerance_candidates(records(spark, rows), Rule("c", ("internal", "processor"), Tolerance(99), Tolerance(), S))
+    none = matching.ambiguous(edges).where("false")
+    used, want = set(), set()
+    for e in sorted(edges.collect(), key=lambda e: (list(e.score_tuple), e.a_stable_key, e.b_stable_key)):
+        if not {e.a_record_id, e.b_record_id} & used:
+            used |= {e.a_record_id, e.b_record_id}
+            want.add((e.a_record_id, e.b_record_id))
+    monkeypatch.setattr(matching, "FEW_EDGES", 0)
+    assert len(want) > 3 and {(e.a_record_id, e.b_record_id) for e in matching.commit_tolerance(edges, none, 1).collect()} == want
+
+
+def test_nearest_in_time_over_hours_and_ties(spark):
+    rng = random.Random(23)
+    rows = [(rng.choice(["internal", "processor", "bank"]), f"E{i}", "", 100 * i, rng.choice([rng.randint(0, 40) * 900 * S, rng.randint(0, 9) * 10**14]), 0, None, rng.randint(1, 9) * 1000 + i) for i in range(120)]
+    all_of = records(spark, rows)
+    got = {}
+    pairs = matching._nearest_in_time(all_of, all_of).where("l_role <> r_role").collect()
+    for p in pairs:
+        key = (abs(p.l_ts_ns - p.r_ts_ns), p.r_source_id, p.r_source_line, p.r_batch_ord, p.r_record_id)
+        got[p.l_record_id] = min(got.get(p.l_record_id, key), key)
+    flat = all_of.collect()
+    want = {a.record_id: min((abs(a.ts_ns - b.ts_ns), b.source_id, b.source_line, b.batch_ord, b.record_id) for b in flat if b.role != a.role) for a in flat}
+    assert got == want
+
+
+def test_subset_search_on_a_dense_time_line(spark):
+    rng = random.Random(31)
+    rows = [(rng.choice(["bank", "processor", "processor", "processor"]), f"E{i}", "", rng.randint(1, 40), rng.randint(0, 900) * S) for i in range(160)]
+    rule = Rule("m", ("bank", "processor"), Tolerance(0), Tolerance(), 60 * S, {}, OneToMany("bank", "processor", 3), 10_000)
+    rec = records(spark, rows)
+    flat = sorted(rec.collect(), key=lambda r: (r.stable_key, r.source_line, r.batch_ord))
+    taken, want = set(), set()
+    for a in (r for r in flat if r.role == "bank"):
+        near = [r for r in flat if r.role == "processor" and r.record_id not in taken and abs(r.ts_ns - a.ts_ns) <= rule.window_ns]
+        for chosen in (c for n in (2, 3) for c in itertools.combinations(near, n)):
+            if sum(r.amount_minor for r in chosen) == a.amount_minor:
+                ids = {a.record_id, *(r.record_id for r in chosen)}
+                taken |= ids
+                want.add(tuple(sorted(ids)))
+                break
+    groups, _ = matching.one_to_many(rec, rule)
+    assert len(want) > 5 and {tuple(r.record_ids) for r in groups.collect()} == want
