@@ -27,6 +27,9 @@ LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 DAMPING = 0.85
 ROUNDS = 10
+# The share of all mass that may still be in flight when a verdict is taken, and rounds in which it gets that small on any graph.
+REST = 1e-3
+ENOUGH = 50
 
 
 def host_of(url: Column) -> Column:
@@ -77,51 +80,55 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.union(site).union(site.select("dst", "src", "n")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, rest: float = 0.0) -> DataFrame:
     """(host, score): PageRank that restarts at ``seeds`` (host, weight) in proportion to weight.
 
     ``edges`` are (src, dst, n). What a host without links would pass on is lost, as in
-    TrustRank. Only hosts that mass has reached have a row, so a round costs what it touches;
-    contributions are summed before they are shuffled.
+    TrustRank. A round passes on only what the round before brought, so it costs what it
+    touches; contributions are summed before they are shuffled. It ends after ``rounds``, or
+    once at most ``rest`` of all mass is in flight, which then stays where it is. A round
+    leaves at most ``damping`` of the mass in flight, on any graph, so as many rounds as
+    log(rest) / log(damping) always suffice.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("host", F.lit(0.0).alias("score")).where("false")
     degree = edges.groupBy("src").agg(F.sum("n").alias("degree"))
     moves = written(edges.join(degree, "src").select(F.col("src").alias("host"), "dst", (F.col("n") / F.col("degree")).alias("share")))
-    restart = written(seeds.groupBy("host").agg((F.sum("weight") / total).alias("restart")))
-    score = restart.select("host", F.col("restart").alias("score"))
-    if moves.isEmpty():  # every round gives the restart's share again
-        return restart.select("host", ((1 - damping) * F.col("restart")).alias("score"))
+    start = F.sum("weight") * ((1 - damping) / total)
+    score = written(seeds.groupBy("host").agg(start.alias("score"), start.alias("flow")))
     for k in range(rounds):
-        passed = score.join(moves, "host").groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        both = restart.select("host", ((1 - damping) * F.col("restart")).alias("v")).union(passed.select("dst", damping * F.col("got")))
-        score = both.groupBy("host").agg(F.sum("v").alias("score"))
+        passed = score.where("flow > 0").join(moves, "host").groupBy("dst").agg((damping * F.sum(F.col("flow") * F.col("share"))).alias("got"))
+        both = score.select("host", "score", F.lit(0.0).alias("flow")).union(passed.select("dst", "got", "got"))
+        score = both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("flow").alias("flow"))
         if k % 5 == 4 and k + 1 < rounds:
             score = written(score)
-    return score
+            if score.agg(F.sum("flow")).first()[0] <= rest * (1 - damping):
+                break
+    return score.select("host", (F.col("score") + F.col("flow") * (damping / (1 - damping))).alias("score"))
 
 
-def host_verdicts(ruled: DataFrame, rounds: int = ROUNDS, ratio: float = 1.0) -> DataFrame:
+def host_verdicts(ruled: DataFrame, rounds: int = ENOUGH, ratio: float = 1.0) -> DataFrame:
     """(host, trust, distrust, host_verdict): block where distrust is over ``ratio`` times trust, else allow.
 
     ``ruled`` are pages with host, html and rule_verdict. A seed's weight is its number of
     decided pages, so both flows are in the unit of pages; hosts that neither flow reaches
-    have no row and count as allowed.
+    have no row and count as allowed. Flows run until at most ``REST`` of their mass is in
+    flight, so a host is out of reach only behind more links than take the rest away.
     """
     counts = ruled.where("host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("rule_verdict") == "block").cast("double").alias("bad"))
     counts = written(counts)
     good, bad = counts.agg(F.sum("good"), F.sum("bad")).first()
     edges = written(host_edges(ruled))
-    trust = personalised_pagerank(edges, counts.where("good > 0").select("host", F.col("good").alias("weight")), rounds=rounds)
+    trust = personalised_pagerank(edges, counts.where("good > 0").select("host", F.col("good").alias("weight")), rounds=rounds, rest=REST)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_pagerank(back, counts.where("bad > 0").select("host", F.col("bad").alias("weight")), rounds=rounds)
+    distrust = personalised_pagerank(back, counts.where("bad > 0").select("host", F.col("bad").alias("weight")), rounds=rounds, rest=REST)
     both = trust.select("host", (F.col("score") * (good or 0)).alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), F.col("score") * (bad or 0)))
     both = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     return both.withColumn("host_verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
 
 
-def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, rounds: int = ENOUGH) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html; other columns are ignored): page_id, host, path, rule, verdict.
 
     A null url, or one without ://, has empty host and path; no rule fits it and no flow

@@ -645,3 +645,24 @@ def test_words_are_grouped_even_where_hashes_agree(texts, monkeypatch):
         for i, w in enumerate(listed):
             want[w].append(i)
         assert found == want
+
+
+def test_distrust_reaches_along_long_paths(spark):
+    # h0 links to h1, ... h24 links to a blocked page; no host has an allowed one
+    link = lambda i: f'<a href="http://h{i + 1}.org/">x</a>' if i < 24 else '<a href="http://bad.net/es/">x</a>'
+    pages = [(i, f"http://h{i}.org/", link(i)) for i in range(25)] + [(25, "http://bad.net/es/", None), (26, "http://apart.org/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(df).collect()}
+    assert got == {**dict.fromkeys(range(26), "block"), 26: "allow"}
+
+
+def test_pagerank_ends_with_little_mass_in_flight(spark):
+    rng = random.Random(11)
+    edges = {(a, b): float(rng.randint(1, 3)) for a in range(9) for b in range(9) if a != b and rng.random() < 0.4}
+    df = spark.createDataFrame([(str(a), str(b), n) for (a, b), n in edges.items()], "src string, dst string, n double")
+    got = {int(r.host): r.score for r in urls.personalised_pagerank(df, spark.createDataFrame([("0", 1.0)], "host string, weight double"), rounds=urls.ENOUGH, rest=urls.REST).collect()}
+    step = np.zeros((9, 9))
+    for (a, b), n in edges.items():
+        step[b, a] = n / sum(m for (x, _), m in edges.items() if x == a)
+    exact = np.linalg.solve(np.eye(9) - 0.85 * step, 0.15 * np.eye(9)[0])
+    assert sum(abs(got.get(i, 0) - exact[i]) for i in range(9)) <= 2 * urls.REST
