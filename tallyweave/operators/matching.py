@@ -14,14 +14,13 @@ from ..functions import ids, money, timeparse
 from ..functions.lineage import cut
 from ..plans.rules import Rule
 from ..schema import ROLES
-from .rangejoin import floor_div, islands, range_join, time_bucket
+from .rangejoin import HOUR_NS, floor_div, islands, last_mark, range_join, time_bucket
 
 GROUP_COLUMNS = ["match_group_id", "type", "anchor_role", "record_ids", "score_tuple", "amount_minor", "currency"]
 DISC_COLUMNS = ["discrepancy_id", "type", "currency", "record_ids", "candidate_ids", "score_tuple", "note"]
 MAX_ROUNDS = 12
 FEW_EDGES = 200_000  # that one task may finish after the rounds
 SHARD_ROWS = 50_000  # of a piece of the subset search, about
-HOUR_NS = 3_600_000_000_000
 
 
 def _groups(rows: DataFrame, kind: str) -> DataFrame:
@@ -75,14 +74,20 @@ def _within(tolerance, diff: int, base: int) -> bool:
 def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """(groups, search-limit discrepancies) of anchors whose amount is a sum of records of the many role.
 
-    Anchors take members in the order of their stable keys, so an island of the time line is
-    one sequential piece of work; islands are independent and dealt out by hash, in as many
-    shards as keep one at about ``SHARD_ROWS`` rows or its largest island. Islands without an
-    anchor and two members never reach Python.
+    Anchors take members in the order of their stable keys, so those that may want the same
+    members are one sequential piece of work: an island of anchors at most two windows apart,
+    with the members in reach of them, however many members fill the time between. Islands
+    are independent and dealt out by hash, in as many shards as keep one at about
+    ``SHARD_ROWS`` rows or its largest island. Those with under two members never reach Python.
     """
     many = rule.one_to_many
     free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).select("record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
-    placed = cut(islands(cut(free), ["currency"], rule.window_ns))
+    free = cut(free)
+    anchors = islands(free.where(F.col("role") == many.anchor_role).select("currency", "ts_ns").distinct(), ["currency"], 2 * rule.window_ns)
+    window = F.lit(rule.window_ns).cast("long")
+    spans = anchors.groupBy("currency", "island").agg((F.min("ts_ns") - window).alias("ts_ns"), (F.max("ts_ns") + window).alias("until"))
+    placed = last_mark(free, spans, ["currency"]).where("ts_ns <= mark.until").select("*", F.col("mark.island").alias("island")).drop("mark")
+    placed = cut(placed)
     worth = placed.groupBy("currency", "island").agg(F.count_if(F.col("role") == many.anchor_role).alias("a"), F.count_if(F.col("role") == many.many_role).alias("m")).where("a > 0 and m > 1").select("currency", "island")
     shards = max(4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // SHARD_ROWS + 1)
     work = placed.join(worth, ["currency", "island"]).withColumn("shard", F.pmod(F.xxhash64("currency", "island"), F.lit(shards)))

@@ -1,4 +1,4 @@
-"""Interval joins as bucketed equi-joins, and time islands."""
+"""Interval joins as bucketed equi-joins, as-of joins, and time islands."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 CELL_NS = 1_000_000_000  # of a time cell's width per sixty-fourth, at least
+HOUR_NS = 3_600_000_000_000
 
 
 def floor_div(value: Column, width: int) -> Column:
@@ -54,3 +55,19 @@ def islands(rows: DataFrame, keys: list[str], window_ns: int, ts: str = "ts_ns")
     numbers = times.join(edges.select(*keys, "_cell", "_base"), [*keys, "_cell"])
     numbers = numbers.select(*keys, ts, (F.col("_base") + F.col("_inner")).cast("long").alias("island"))
     return rows.join(numbers, [*keys, ts])
+
+
+def last_mark(rows: DataFrame, marks: DataFrame, keys: list[str], ts: str = "ts_ns") -> DataFrame:
+    """``rows`` with mark: the row of ``marks`` of the same ``keys`` with the greatest time up to their own, as a struct; null for none.
+
+    ``marks`` have one row a key and time. Windows run over an hour of a key; from earlier
+    hours comes their last mark, for which only one row an hour is sorted for a whole key.
+    """
+    own = rows.select(*keys, ts, F.struct(*rows.columns).alias("_row"))
+    both = own.unionByName(marks.select(*keys, ts, F.struct(*marks.columns).alias("_mark")), allowMissingColumns=True).withColumn("_hour", floor_div(F.col(ts), HOUR_NS))
+    hours = both.groupBy(*keys, "_hour").agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(ts))).alias("_end"))
+    earlier = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    carried = hours.select(*keys, "_hour", F.last("_end", True).over(earlier).alias("_before"))
+    upto = Window.partitionBy(*keys, "_hour").orderBy(ts).rangeBetween(Window.unboundedPreceding, 0)
+    x = both.join(carried, [*keys, "_hour"]).withColumn("mark", F.coalesce(F.last("_mark", True).over(upto), "_before"))
+    return x.where("_row is not null").select("_row.*", "mark")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import money, timeparse
 from tallyweave.operators import dedup, matching
-from tallyweave.operators.rangejoin import islands, range_join
+from tallyweave.operators.rangejoin import islands, last_mark, range_join
 from tallyweave.plans import engine
 from tallyweave.plans.rules import DEFAULT_RULE, OneToMany, Rule, Tolerance, ruleset_from_document
 from tallyweave.schema import RECORD_SCHEMA
@@ -378,3 +378,20 @@ def test_subset_search_on_a_dense_time_line(spark):
                 break
     groups, _ = matching.one_to_many(rec, rule)
     assert len(want) > 5 and {tuple(r.record_ids) for r in groups.collect()} == want
+
+
+def test_last_mark_over_hours(spark):
+    rng = random.Random(41)
+    at = lambda: rng.choice([rng.randint(0, 60), 10**6 + rng.randint(0, 60)]) * 600 * S
+    rows = [(i, rng.choice("xyz"), at()) for i in range(150)]
+    marks = list({(k, t): (k, t, n) for n, (k, t) in enumerate((rng.choice("xy"), at()) for _ in range(25))}.values())
+    got = {r.i: r.mark.n if r.mark else None for r in last_mark(spark.createDataFrame(rows, "i long, k string, ts_ns long"), spark.createDataFrame(marks, "k string, ts_ns long, n long"), ["k"]).collect()}
+    assert got == {i: max(((t, n) for key, t, n in marks if key == k and t <= ts), default=(0, None))[1] for i, k, ts in rows}
+
+
+def test_members_between_anchors_do_not_chain_them(spark):
+    # one member a second, an anchor every ten minutes: each anchor is on its own
+    rows = [("processor", f"P{i}", "", 1000 + i, i * S) for i in range(0, 3600, 5)] + [("bank", f"K{i}", "", 2005 + 2 * i, i * S) for i in range(300, 3600, 600)]
+    rule = Rule("m", ("bank", "processor"), Tolerance(0), Tolerance(), 20 * S, {}, OneToMany("bank", "processor", 2), 10_000)
+    groups, limits = matching.one_to_many(records(spark, rows), rule)
+    assert groups.count() == 6 and limits.count() == 0
