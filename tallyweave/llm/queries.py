@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, packing, passages, quality, secrets, simhash, tokens, toxicity, urls, warc
+from .sql import ORACLE_SQL  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,4 +80,3 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_token_files, op5_decontamination, op6_passages, op7_simhash, op8_packing, op9_secrets, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}

@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from oracle import compare
 from test_operators import VOCABULARY, brute_components, brute_fingerprint, brute_hits, secret_spans
 from test_pipeline import check_pieces, features
 from tokenizers import Tokenizer
 
 from tallyweave.llm import decontaminate, passages, urls
-from tallyweave.llm.queries import QUERIES
+from tallyweave.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 
@@ -145,3 +146,8 @@ def test_op10(spark):
         host, path, rule, verdict = plain_rule(url)
         r = got[i]
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_against_sql(spark, name):
+    assert compare(spark, QUERIES[name], ORACLE_SQL[name], DATA) > 0
