@@ -101,4 +101,73 @@ select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0):
 from docs left join joined using (r)
 """
 
-ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_decontamination": OP5_DECONTAMINATION, "op9_secrets": OP9_SECRETS}
+# The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (f"{p}::uhugeint" for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+_SEED = "42::uhugeint"
+
+
+def _low(x: str) -> str:
+    """``x`` modulo 2^64, in 128 bits without sign."""
+    return f"(({x}) & 18446744073709551615::uhugeint)"
+
+
+def _left(x: str, bits: int) -> str:
+    """The 64 bits of ``x`` rotated to the left."""
+    return f"({_low(f'{x} << {bits}')} | ({x} >> {64 - bits}))"
+
+
+def _round(x: str) -> str:
+    return _low(f"{_left(x, 31)} * {_P1}")
+
+
+def _little_endian(start: str, size: int) -> str:
+    """The number that ``size`` bytes from a byte (counted from 0) of the hexadecimal text ``hx`` are."""
+    return "('0x' || " + " || ".join(f"hx[2 * ({start} + {i}) + 1 : 2 * ({start} + {i}) + 2]" for i in reversed(range(size))) + ")::ubigint::uhugeint"
+
+
+_STARTS = (f"({_SEED} + {_P1} + {_P2})", f"({_SEED} + {_P2})", _SEED, f"({_SEED} + 18446744073709551616::uhugeint - {_P1})")
+_STRIPES = ", ".join(f"list_reduce(list_prepend({_low(start)}, [lanes[4 * k + {i + 1}] for k in range(n // 32)]), lambda a, x: {_round(_low('a + x'))}) as v{i}" for i, start in enumerate(_STARTS))
+_MERGED = _low(" + ".join(_left(f"v{i}", bits) for i, bits in enumerate((1, 7, 12, 18))))
+for _i in range(4):
+    _MERGED = f"[{_low(f'xor(x, {_round(_low(f"v{_i} * {_P2}"))}) * {_P1} + {_P4}')} for x in [{_MERGED}]][1]"
+
+OP7_SIMHASH = f"""
+with recursive docs as (
+  select row_number() over () as r, doc_id::bigint as doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) as words
+  from documents),
+shingles as (
+  select r, array_to_string(words[i:i + 2], ' ') as s
+  from (select r, words, unnest(range(1, greatest(len(words) - 2, 1) + 1)) as i from docs where len(words) > 0)),
+-- XXH64 of each shingle, on numbers of 128 bits cut to 64
+bytes as (select s, strlen(s)::bigint as n, hex(encode(s)) as hx from (select distinct s from shingles)),
+lanes as (select s, n, hx, [{_low(f"{_little_endian('8 * k', 8)} * {_P2}")} for k in range(n // 8)] as lanes from bytes),
+stripes as (select *, {_STRIPES} from lanes),
+merged as (
+  select s, n, hx, lanes, {_low(f"case when n >= 32 then {_MERGED} else {_SEED} + {_P5} end + n::uhugeint")} as h
+  from stripes),
+eights as (
+  select s, n, hx, list_reduce(list_prepend(h, [{_round("x")} for x in lanes[n // 32 * 4 + 1:]]), lambda h, x: {_low(f"{_left('xor(h, x)', 27)} * {_P1} + {_P4}")}) as h
+  from merged),
+fours as (
+  select s, n, hx, case when n % 8 >= 4 then {_low(f"{_left(f'xor(h, {_low(f"{_little_endian('n // 8 * 8', 4)} * {_P1}")})', 23)} * {_P2} + {_P3}")} else h end as h
+  from eights),
+ones as (
+  select s, list_reduce(list_prepend(h, [{_low(f"{_little_endian('k', 1)} * {_P5}")} for k in range(n // 4 * 4, n)]), lambda h, x: {_low(f"{_left('xor(h, x)', 11)} * {_P1}")}) as h
+  from fours),
+first_mix as (select s, {_low(f"xor(h, h >> 33) * {_P2}")} as h from ones),
+second_mix as (select s, {_low(f"xor(h, h >> 29) * {_P3}")} as h from first_mix),
+hashes as (select s, xor(h, h >> 32)::ubigint as h from second_mix),
+-- a bit is set if over half of a document's shingles set it
+fingerprints as (
+  select r, {" + ".join(f"case when 2 * sum((h >> {i}) & 1) > count(*) then {1 << i}::ubigint else 0::ubigint end" for i in range(64))} as fp
+  from shingles join hashes using (s) group by r),
+marked as (select doc_id, coalesce(fp, 0::ubigint) as fp from docs left join fingerprints using (r)),
+nodes as (select fp, min(doc_id) as low from marked group by fp),
+links as (select a.fp as a, b.fp as b from nodes a join nodes b on bit_count(xor(a.fp, b.fp)::uhugeint::bit) <= 3),
+reached as (select fp, fp as other from nodes union select reached.fp, b from reached join links on other = a),
+components as (select reached.fp, min(low) as component_id from reached join nodes on nodes.fp = other group by reached.fp)
+select doc_id, lpad(lower(to_hex(fp)), 16, '0') as fingerprint, component_id from marked join components using (fp)
+"""
+
+ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_decontamination": OP5_DECONTAMINATION, "op7_simhash": OP7_SIMHASH, "op9_secrets": OP9_SECRETS}
