@@ -72,7 +72,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     with it both ways, once, since both belong to one site.
     """
     links = pages.select("host", F.explode(F.regexp_extract_all(F.col("html").cast("string"), F.lit(LINK), F.lit(1))).alias("link"))
-    target = F.translate(F.regexp_extract("link", r"^(?:https?:)?//([^/?#]*)", 1), UPPER, LOWER)
+    target = F.translate(F.regexp_extract("link", r"^[^/]*//([^/?#]*)", 1), UPPER, LOWER)
     edges = links.select(F.col("host").alias("src"), target.alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
     hosts = pages.where("host <> ''").select("host").distinct()
     site = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+)$", 1).alias("dst")).where("dst <> ''")
