@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -151,3 +153,24 @@ def test_op10(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_against_sql(spark, name):
     assert compare(spark, QUERIES[name], ORACLE_SQL[name], DATA) > 0
+
+
+def test_url_sql_on_linked_pages(spark, tmp_path):
+    """The given pages have no links between hosts; here they have, in all spellings."""
+    rng = random.Random(4)
+    hosts = [f"{a}{b}" for a in ("x.example", "www.example", "m.site", "site", "a.org.site", "far") for b in (".com", ".net", ".org", ".com.au")]
+    links = ['<a href="https://{}/p?q">', "<img src='//{}#f'>", "<A HREF = HTTP://{}/x>", '<a href="/own/{}">', "<p>https://{}/</p>", '<script src="HTTPS://{}">']
+    pages = []
+    for i in range(300):
+        url = f"{rng.choice(['http', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(['/en/a', '/es/b?c', '/fr/', '', '#x'])}"
+        html = " ".join(rng.choice(links).format(rng.choice([*hosts, "uncrawled.org", h := rng.choice(hosts), h.upper()])) for _ in range(rng.randint(0, 4)))
+        pages.append((i, rng.choice([url, url, url, url.upper(), None, "no host"]), rng.choice([html, html, html, None])))
+    path = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(path)
+    got = sorted(map(tuple, urls.judge(spark.read.parquet(path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{path}/*.parquet'")
+    assert got == sorted(con.execute(ORACLE_SQL["op10_url_filter"]).fetchall())
+    undecided = [r for r in got if r[3] is None and r[1]]
+    assert {r[4] for r in undecided} == {"allow", "block"}
+    assert any(r[4] == "block" and all(x[4] == "block" or x[3] is None for x in got if x[1] == r[1]) for r in undecided)
