@@ -188,15 +188,17 @@ def describe(rules: list[list[Test]], target: int = 0) -> list[str]:
 def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> list[dict]:
     """Statistics and quality label of at most ``sample_rows`` labelled documents: those with the smallest hashes of their ids.
 
-    The ids are picked from ``labels`` first, so only their texts are measured. Documents
-    that fail the base test are left out: they never reach the list.
+    The ids are picked from ``labels`` first, so only their texts are measured. Of rows that
+    repeat a doc_id the text with the smallest hash is learnt from, of labels that repeat one
+    the smallest. Documents that fail the base test are left out: they never reach the list.
     """
     picked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     own = docs.select(F.col("doc_id").cast("long"), "text")
     # at most sample_rows pairs of numbers
     stats = statistics(own.join(F.broadcast(picked), "doc_id")).withColumn("failed", base_failed())
-    rows = [r.asDict() for r in stats.select("doc_id", "label", "failed", *FEATURES).collect()]
+    one = stats.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "label", "failed", *FEATURES)).alias("s"))
+    rows = [r.asDict() for r in one.select("doc_id", "s.label", "s.failed", *[f"s.{f}" for f in FEATURES]).collect()]
     return sorted((r for r in rows if not r["failed"]), key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"], tuple(r[f] for f in FEATURES)))
 
 

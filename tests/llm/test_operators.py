@@ -586,6 +586,14 @@ def test_toxicity_of_repeated_ids_does_not_change(spark):
     assert scored.count() == len(rows) and scored.select("doc_id", "score").distinct().count() > 9
 
 
+def test_quality_learns_from_one_row_of_an_id(spark):
+    rows = [(i % 7, " ".join(f"word{j} {'#' * (j % (i % 4 + 2))}" for j in range(12 + i))) for i in range(70)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(7)] + [(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    seen = [quality.labelled_statistics(df, labels) for df in (frame(spark, rows), frame(spark, rows[::-1]), frame(spark, rows).repartition(5))]
+    assert sorted(r["doc_id"] for r in seen[0]) == list(range(7)) and seen[0] == seen[1] == seen[2]
+    assert all(r["label"] == r["doc_id"] % 2 for r in seen[0])
+
+
 def test_open_bins_keep_their_pieces_alone():
     packer = packing.Packer()
     rng = np.random.default_rng(2)
