@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, passages, quality, secrets, simhash, tokens, toxicity, urls, warc
+from . import align, counts, decontaminate, packing, passages, quality, secrets, simhash, tokens, toxicity, trie, urls, warc
 from .sql import ORACLE_SQL  # noqa: F401
 
 
@@ -79,4 +79,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_token_files, op5_decontamination, op6_passages, op7_simhash, op8_packing, op9_secrets, op10_url_filter)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned in every document, and how common its linked pairs are in the corpus."""
+    return align.align_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document."""
+    return counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_token_files, op5_decontamination, op6_passages, op7_simhash, op8_packing, op9_secrets, op10_url_filter, op11_token_alignment, op12_prefix_trie, op13_token_counts)}
