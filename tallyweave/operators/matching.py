@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,13 +11,14 @@ from ..functions import ids, money, timeparse
 from ..functions.lineage import cut
 from ..plans.rules import Rule
 from ..schema import ROLES
-from .rangejoin import HOUR_NS, floor_div, islands, last_mark, range_join, time_bucket
+from .nearest import nearest_amount
+from .rangejoin import HOUR_NS, floor_div, time_bucket
+from .subset import first_subsets
 
 GROUP_COLUMNS = ["match_group_id", "type", "anchor_role", "record_ids", "score_tuple", "amount_minor", "currency"]
 DISC_COLUMNS = ["discrepancy_id", "type", "currency", "record_ids", "candidate_ids", "score_tuple", "note"]
 MAX_ROUNDS = 12
 FEW_EDGES = 200_000  # that one task may finish after the rounds
-SHARD_ROWS = 50_000  # of a piece of the subset search, about
 
 
 def _groups(rows: DataFrame, kind: str) -> DataFrame:
@@ -52,86 +50,11 @@ def exact_id_groups(records: DataFrame) -> DataFrame:
 # Phase 2
 
 
-def _search(anchor: tuple, members: list[tuple], rule: Rule) -> tuple[list[int] | None, bool]:
-    """(indexes of the first valid subset in order of size, then place; whether the limit ended the search)."""
-    amount, fee = anchor
-    amounts, fees, evaluated = [m[0] for m in members], [m[1] for m in members], 0
-    for size in range(2, min(rule.one_to_many.max_members, len(members)) + 1):
-        for chosen in combinations(range(len(members)), size):
-            if evaluated >= rule.search_limit:
-                return None, True
-            evaluated += 1
-            total, total_fee = sum(amounts[i] for i in chosen), sum(fees[i] for i in chosen)
-            if _within(rule.amount, abs(amount - total), max(amount, total)) and (not rule.fee.enabled or _within(rule.fee, abs(fee - total_fee), max(fee, total_fee))):
-                return list(chosen), False
-    return None, False
-
-
-def _within(tolerance, diff: int, base: int) -> bool:
-    return (tolerance.absolute is None or diff <= tolerance.absolute) and (tolerance.bps is None or diff * 10000 <= tolerance.bps * abs(base))
-
-
 def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(groups, search-limit discrepancies) of anchors whose amount is a sum of records of the many role.
-
-    Anchors take members in the order of their stable keys, so those that may want the same
-    members are one sequential piece of work: an island of anchors at most two windows apart,
-    with the members in reach of them, however many members fill the time between. Islands
-    are independent and dealt out by hash, in as many shards as keep one at about
-    ``SHARD_ROWS`` rows or its largest island. Those with under two members never reach Python.
-    """
-    many = rule.one_to_many
-    free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).select("record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
-    free = cut(free)
-    anchors = islands(free.where(F.col("role") == many.anchor_role).select("currency", "ts_ns").distinct(), ["currency"], 2 * rule.window_ns)
-    window = F.lit(rule.window_ns).cast("long")
-    spans = anchors.groupBy("currency", "island").agg((F.min("ts_ns") - window).alias("ts_ns"), (F.max("ts_ns") + window).alias("until"))
-    placed = last_mark(free, spans, ["currency"]).where("ts_ns <= mark.until").select("*", F.col("mark.island").alias("island")).drop("mark")
-    placed = cut(placed)
-    worth = placed.groupBy("currency", "island").agg(F.count_if(F.col("role") == many.anchor_role).alias("a"), F.count_if(F.col("role") == many.many_role).alias("m")).where("a > 0 and m > 1").select("currency", "island")
-    shards = max(4 * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), placed.count() // SHARD_ROWS + 1)
-    work = placed.join(worth, ["currency", "island"]).withColumn("shard", F.pmod(F.xxhash64("currency", "island"), F.lit(shards)))
-
-    def solve(shard: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ordered = shard.sort_values(["stable_key", "source_line", "batch_ord"], kind="stable")
-        for (currency, _), rows in ordered.groupby(["currency", "island"], sort=False):
-            rows = rows.to_dict("list")
-            n = len(rows["role"])
-            anchors = [i for i in range(n) if rows["role"][i] == many.anchor_role]
-            pool = [i for i in range(n) if rows["role"][i] == many.many_role]
-            pool.sort(key=lambda i: rows["ts_ns"][i])
-            times = [rows["ts_ns"][i] for i in pool]
-            taken: set[int] = set()
-            for a in anchors:
-                if a in taken:
-                    continue
-                at = rows["ts_ns"][a]
-                reach = pool[bisect_left(times, at - rule.window_ns) : bisect_right(times, at + rule.window_ns)]
-                near = sorted(i for i in reach if i not in taken and i != a)
-                if len(near) < 2:
-                    continue
-                value = rows["amount_minor"][a]
-                found, limit = _search((value, rows["fee_minor"][a]), [(rows["amount_minor"][i], rows["fee_minor"][i]) for i in near], rule)
-                if found:
-                    chosen = [near[i] for i in found]
-                    diff = abs(value - sum(rows["amount_minor"][i] for i in chosen))
-                    out.append(("group", currency, sorted(rows["record_id"][i] for i in [a, *chosen]), diff, value, ""))
-                    taken |= {a, *chosen}
-                    continue
-                note = "combination search limit exceeded" if limit else ""
-                if not limit and len(near) > many.max_members:
-                    total = sum(rows["amount_minor"][i] for i in near)
-                    if _within(rule.amount, abs(value - total), max(value, total)):
-                        note = "match requires more than max_members"
-                if note:
-                    out.append(("limit", currency, [rows["record_id"][a], *sorted(rows["record_id"][i] for i in near)], 0, value, note))
-                    taken.add(a)
-        return pd.DataFrame(out, columns=["kind", "currency", "record_ids", "diff", "amount_minor", "note"])
-
-    found = cut(work.groupBy("shard").applyInPandas(solve, "kind string, currency string, record_ids array<string>, diff long, amount_minor long, note string"))
+    """(groups, search-limit discrepancies) of anchors whose amount is a sum of records of the many role."""
+    found = first_subsets(records, rule)
     zero = F.lit(0).cast("long")
-    groups = _groups(found.where("kind = 'group'").withColumns({"anchor_role": F.lit(many.anchor_role), "score_tuple": F.array(F.lit(2).cast("long"), F.col("diff"), zero, zero)}), "one_to_many")
+    groups = _groups(found.where("kind = 'group'").withColumns({"anchor_role": F.lit(rule.one_to_many.anchor_role), "score_tuple": F.array(F.lit(2).cast("long"), F.col("diff"), zero, zero)}), "one_to_many")
     limits = _discrepancies(found.where("kind = 'limit'").withColumns({"type": F.lit("search_limit"), "candidate_ids": _none(), "score_tuple": F.array().cast("array<bigint>")}))
     return groups, limits
 
@@ -263,7 +186,7 @@ def classify(leftovers: DataFrame, everyone: DataFrame, rules: list[Rule]) -> Da
 
     ``everyone`` is what counterparts are looked for in, matched or not. Ties fall to the
     first in order of source, line and batch. The nearest amount among time-aligned records
-    comes from the interval join; only records without any go on to the join on amount buckets.
+    comes from a search without pairs; only records without any go on to the join on amount buckets.
     """
     out, done = None, set()
     anyone = Rule("none", ROLES)
@@ -287,9 +210,10 @@ def _classify(left: DataFrame, others: DataFrame, rule: Rule) -> DataFrame:
     fee_ok = money.within(fee, money.tolerance_base(F.col("l_fee_minor"), F.col("r_fee_minor")), rule.fee.absolute, rule.fee.bps) if rule.fee.enabled else F.lit(True)
     place = F.struct("r_source_id", "r_source_line", "r_batch_ord", "r_record_id")
     seen = F.struct(F.col("r_record_id").alias("record_id"), F.col("r_role").alias("role"), F.col("r_timestamp_raw").alias("timestamp_raw"), F.col("r_amount_minor").alias("amount_minor"), F.col("r_fee_minor").alias("fee_minor"), amount.alias("amount_diff"), fee.alias("fee_diff"), apart.alias("apart"), amount_ok.alias("amount_ok"), fee_ok.alias("fee_ok"))
-    pairs = range_join(left, others, ["currency"], rule.window_ns).where("l_role <> r_role and l_record_id <> r_record_id")
-    near = pairs.groupBy(F.col("l_record_id").alias("record_id")).agg(F.min_by(seen, F.struct(amount, place)).alias("t"))
-    known = cut(left.join(near, "record_id", "left"))
+    left = cut(left)
+    near = nearest_amount(left, others, rule.window_ns).select(F.col("asker").alias("l_record_id"), *[F.col(f"t.{c}").alias(f"r_{c}") for c in _SIDE])
+    pairs = left.select(*[F.col(c).alias(f"l_{c}") for c in _SIDE]).join(near, "l_record_id", "left")
+    known = cut(pairs.select(*[F.col(f"l_{c}").alias(c) for c in _SIDE], F.when(F.col("r_record_id").isNotNull(), seen).alias("t")))
     alone = known.where("t is null").drop("t")
     far = _amount_aligned(alone, others, rule, amount_ok & fee_ok)
     far = far.where("l_role <> r_role and l_record_id <> r_record_id").groupBy(F.col("l_record_id").alias("record_id")).agg(F.min_by(seen, F.struct(apart, place)).alias("a"))

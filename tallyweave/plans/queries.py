@@ -434,6 +434,7 @@ def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
 
 
 _CSV_SOURCE = feeds.Source("orders", "internal")
+_NAMED_SOURCE = feeds.Source("named", "bank", "EUR", "Asia/Shanghai", field_map={"external_id": "Ref, No", "amount": "Gross", "timestamp": "Booked at", "memo": "Text", "business_id": "Key"})
 _RECORD = ("external_id", "business_id", "amount_minor", "currency", "direction", "ts_ns", "memo")
 
 
@@ -450,6 +451,28 @@ def csv_feed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy(F.col("error.field").alias("field"), F.col("error.code").alias("code")).agg(F.count("*").alias("n"), F.sum(F.length("error.value")).alias("value_chars"))
 
 
+@query
+def csv_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of orders under other column names, with the line of every record: cells hold line breaks, so lines are counted over the splits of a file."""
+    k = F.col("o_orderkey")
+    amount = F.concat(F.expr("cast(round(o_totalprice * 100) as bigint) div 100").cast("string"), F.lit("."), F.lpad((F.round(F.col("o_totalprice") * 100).cast("long") % 100).cast("string"), 2, "0"))
+    rows = payments.table(spark, sf_dir, "orders").select(
+        (k % 8).alias("file"),
+        F.concat(F.lit("REF"), k.cast("string")).alias("Ref, No"),
+        F.when(k % 3 == 0, F.concat(F.lit('one "'), k.cast("string"), F.lit('",\r\ntwo\n\nthree'))).otherwise("plain").alias("Text"),
+        F.when(k % 11 == 0, "").otherwise(amount).alias("Gross"),
+        F.lit("unused").alias("amount"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Booked at"),
+        F.concat(F.lit(" BIZ"), k.cast("string")).alias("Key"),
+        k.alias("order"),
+    )
+    path = shared_path(spark)
+    options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    rows.repartition(8, "file").sortWithinPartitions("file", "order").drop("order").write.partitionBy("file").options(**options).csv(path)
+    read = feeds.read_feed(spark, path, _NAMED_SOURCE, "b")
+    return read.select("source_line", "external_id", "business_id", "amount_minor", "currency", "ts_ns", "memo", F.col("error.field").alias("field"))
+
+
 @query
 def ndjson_feed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of an NDJSON feed with blank lines, lines that are no objects and bytes that aren't UTF-8."""
@@ -472,6 +495,30 @@ def stream_ingest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target).where("not isolated").select(*_RECORD)
 
 
+@query
+def stream_arrivals_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feeds of one source that arrive by streams of their own in one target; the second stream delivers all of the first's files again."""
+    target, (first, second) = shared_path(spark), (shared_path(spark) for _ in range(2))
+    k = F.col("o_orderkey")
+    feed = payments.table(spark, sf_dir, "orders").select(F.concat(F.lit("EXT"), k.cast("string")).alias("external_id"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("amount"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("timestamp"), (k % 5 == 0).alias("late"))
+    feed.where("not late").drop("late").write.option("header", True).csv(first)
+    feed.where("late").drop("late").write.option("header", True).csv(second)
+    for folders in ((first,), (first, second)):
+        for folder in folders:
+            arrivals.ingest_stream(spark, folder, _CSV_SOURCE, target, shared_path(spark), "*.csv", available_now=True).awaitTermination()
+    return spark.read.parquet(target).groupBy("external_id").agg(F.count("*").alias("n"), F.min("amount_minor").alias("amount_minor"), F.min("ts_ns").alias("ts_ns"))
+
+
+@query
+def stream_without_retransmits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a stream in which every fiftieth order's are sent again, each kept once."""
+    path, target = shared_path(spark), shared_path(spark)
+    payments.resent(spark, sf_dir).write.parquet(path)
+    kept = arrivals.without_retransmits(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), "100000 days")
+    kept.select("record_id", "source_id", "amount_minor").writeStream.option("checkpointLocation", shared_path(spark)).trigger(availableNow=True).start(target, format="parquet").awaitTermination()
+    return spark.read.parquet(target)
+
+
 @query
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal and processor records as two streams, joined on business id within the window under watermarks."""
@@ -640,6 +687,12 @@ _SQL_PAIR_IDS = "least({0}, {1}) || ',' || greatest({0}, {1})"
 ORACLE_SQL |= {
     "csv_feed_normalize": _SQL_FEED_RECORDS,
     "stream_ingest_feed": _SQL_FEED_RECORDS,
+    "csv_feed_lines": """
+with x as (select *, cast(round(o_totalprice * 100) as bigint) as m, row_number() over (partition by o_orderkey % 8 order by o_orderkey) as source_line from orders)
+select source_line, case when o_orderkey % 11 = 0 then '' else 'REF' || o_orderkey end as external_id, case when o_orderkey % 11 = 0 then '' else 'BIZ' || o_orderkey end as business_id, case when o_orderkey % 11 = 0 then 0 else m end as amount_minor, 'EUR' as currency, epoch_us(o_orderdate) * 1000 as ts_ns,
+  case when o_orderkey % 11 = 0 then '' when o_orderkey % 3 = 0 then 'one "' || o_orderkey || '",' || chr(13) || chr(10) || 'two' || chr(10) || chr(10) || 'three' else 'plain' end as memo, case when o_orderkey % 11 = 0 then 'amount' end as field from x""",
+    "stream_arrivals_twice": "select 'EXT' || o_orderkey as external_id, 1::bigint as n, cast(round(o_totalprice * 100) as bigint) as amount_minor, epoch_us(o_orderdate) * 1000 as ts_ns from orders",
+    "stream_without_retransmits": _SQL_PAY + " select record_id, source_id, amount_minor from (select *, row_number() over (partition by source_id, external_id, content_hash order by source_line) as rn from pay) where rn = 1",
     "csv_feed_errors": _SQL_FEED + " select field, code, count(*) as n, sum(value_chars)::bigint as value_chars from cells where field is not null group by 1, 2",
     "ndjson_feed_errors": """
 with x as (select *, event_id % 17 = 0 or event_id % 19 = 0 as broken, event_id % 29 = 0 as nameless from events where event_id % 17 = 0 or event_id % 19 = 0 or event_id % 23 <> 0)

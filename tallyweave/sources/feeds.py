@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, money, timeparse
 from ..schema import RECORD_COLUMNS, currency_scale, role_rank
+from .csvscan import FeedError, read_csv, split_records
 
 LOGICAL = ("external_id", "amount", "currency", "fee", "direction", "timestamp", "business_id", "counterparty", "memo")
 BLANK = r"(?U)^\s+|\s+$"
@@ -29,54 +30,19 @@ class Source:
         return self.field_map.get(logical) or logical
 
 
-class FeedError(ValueError):
-    """A feed that can't be read at all."""
-
-
 def split_csv(text: str) -> list[list[str]]:
-    """The records of a CSV text.
-
-    Line feeds, carriage returns and their pairs end a record; an empty line is a record of
-    one empty cell; a quote inside a bare cell is a character; text after a closing quote
-    goes on with the cell. An unterminated quote raises FeedError.
-    """
-    out, row, cell = [], [], []
-    quoted, fresh, i, n = False, True, 0, len(text)
-    while i < n:
-        c = text[i]
-        i += 1
-        if quoted:
-            if c != '"':
-                cell.append(c)
-            elif text[i : i + 1] == '"':
-                cell.append(c)
-                i += 1
-            else:
-                quoted = False
-        elif c == '"' and fresh:
-            quoted, fresh = True, False
-        elif c == ",":
-            row.append("".join(cell))
-            cell, fresh = [], True
-        elif c in "\r\n":
-            i += c == "\r" and text[i : i + 1] == "\n"
-            out.append([*row, "".join(cell)])
-            row, cell, fresh = [], [], True
-        else:
-            cell.append(c)
-            fresh = False
-    if quoted:
+    """The records of a CSV text, as ``csvscan.split_records`` has them. An unterminated quote raises FeedError."""
+    rows, open_ = split_records(text)
+    if open_:
         raise FeedError("unterminated quote")
-    if row or cell or not fresh:
-        out.append([*row, "".join(cell)])
-    return out
+    return rows
 
 
 def scan_csv(files: DataFrame) -> DataFrame:
     """(path, line, fields) of CSV files given as (path, content): fields a map by header name, lines from 1 without the header.
 
-    A file is one task's work, as quotes allow no cut; feeds are files. Short rows lack
-    columns, surplus cells are left, of equal header names the last counts.
+    For files that are at hand as bytes; ``csvscan.read_csv`` reads large ones in parts. Short
+    rows lack columns, surplus cells are left, of equal header names the last counts.
     """
     kind = pa.map_(pa.string(), pa.string())
 
@@ -104,7 +70,7 @@ def scan_ndjson(files: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("line") + 1).cast("long").alias("line"), F.try_parse_json("text").alias("value"))
 
 
-def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, line, value) as ``scan_ndjson``, of files that Spark splits and reads line by line.
 
     Lines are counted within each split of a file; the counts of the splits before are added.
@@ -125,7 +91,11 @@ def _json_text(value: Column, name: str) -> Column:
 def logical_fields(rows: DataFrame, source: Source) -> DataFrame:
     """(path, line, decoded, one column for each logical field): absent fields are null."""
     if source.format == "csv":
-        got = {c: F.try_element_at("fields", F.lit(source.column(c))) for c in LOGICAL}
+        if "cells" in rows.columns:
+            last = lambda name: F.array_position(F.reverse("header"), F.lit(name)).cast("int")
+            got = {c: F.when(last(source.column(c)) > 0, F.get("cells", F.size("header") - last(source.column(c)))) for c in LOGICAL}
+        else:
+            got = {c: F.try_element_at("fields", F.lit(source.column(c))) for c in LOGICAL}
         ok = F.lit(True)
     elif source.format == "ndjson":
         got = {c: _json_text(F.col("value"), source.column(c)) for c in LOGICAL}
@@ -135,7 +105,7 @@ def logical_fields(rows: DataFrame, source: Source) -> DataFrame:
     return rows.select("path", "line", ok.alias("decoded"), *[v.alias(c) for c, v in got.items()])
 
 
-def normalise(rows: DataFrame, source: Source, batch_id: str, batch_ord: int = 0, currencies: dict[str, int] | None = None) -> DataFrame:
+def normalise(rows: DataFrame, source: Source, batch_id: str | Column, batch_ord: int = 0, currencies: dict[str, int] | None = None) -> DataFrame:
     """Records of ``schema.RECORD_COLUMNS`` with error: struct(line, field, code, reason, value), null for a valid one.
 
     Checks run in a fixed order and the first that fails names the error. A row with an
@@ -205,12 +175,18 @@ def normalise(rows: DataFrame, source: Source, batch_id: str, batch_ord: int = 0
     )
 
 
-def read_feed(spark: SparkSession, path: str, source: Source, batch_id: str, batch_ord: int = 0, currencies: dict[str, int] | None = None) -> DataFrame:
-    """Scan and normalise the files at ``path``: CSV a file a task, NDJSON line by line."""
-    if source.format == "ndjson":
-        return normalise(logical_fields(read_ndjson(spark, path), source), source, batch_id, batch_ord, currencies)
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return parse_files(files, source, batch_id, batch_ord, currencies)
+def read_feed(spark: SparkSession, path: str | list[str], source: Source, batch_id: str | DataFrame, batch_ord: int = 0, currencies: dict[str, int] | None = None) -> DataFrame:
+    """Scan and normalise the files at ``path``, or at several; both formats are read over splits of the files.
+
+    ``batch_id`` names one batch for all, or is a table (path, batch_id) of a batch for each file.
+    """
+    if source.format not in ("csv", "ndjson"):
+        raise FeedError(f"unknown format {source.format}")
+    rows = read_csv(spark, path) if source.format == "csv" else read_ndjson(spark, path)
+    fields = logical_fields(rows, source)
+    if isinstance(batch_id, DataFrame):
+        fields, batch_id = fields.join(batch_id, "path"), F.col("batch_id")
+    return normalise(fields, source, batch_id, batch_ord, currencies)
 
 
 def parse_files(files: DataFrame, source: Source, batch_id: str, batch_ord: int = 0, currencies: dict[str, int] | None = None) -> DataFrame:

@@ -114,7 +114,7 @@ class Ledger:
             self._publish("batch", id_, "receiving", **given)
         try:
             self._fault("parse")
-            records = feeds.parse_files(files, source, id_)
+            records = feeds.read_feed(self.spark, path, source, id_)
             target = f"{self.root}/records/batch_id={id_}"
             records.drop("batch_id", "error").write.mode("overwrite").parquet(target)
             records.where("error is not null").select("error.*").write.mode("overwrite").parquet(f"{self.root}/errors/batch_id={id_}")

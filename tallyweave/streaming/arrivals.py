@@ -11,22 +11,34 @@ from ..sources.feeds import Source
 
 
 def ingest_stream(spark: SparkSession, folder: str, source: Source, target: str, checkpoint: str, glob: str = "*", available_now: bool = False) -> StreamingQuery:
-    """Normalise every file that arrives in ``folder`` into ``target``, partitioned by batch.
+    """Normalise every file that arrives in ``folder`` into ``target``, a batch a file, partitioned by batch.
 
-    The micro-batch number names the batch and its partition is overwritten, so a batch that
-    is delivered again after a failure leaves the same rows.
+    A batch is named by its source and the digest of the file's content, and only partitions
+    that a micro-batch holds are replaced: a file that is delivered again, after a failure, under another name or to a
+    stream with a checkpoint of its own, leaves the same rows in the same place and nothing else changes.
     """
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
+    files = files.select("path", F.col("_metadata.file_path").alias("name"), feeds.file_digest(F.col("content")).alias("digest"))
 
     def commit(batch: DataFrame, number: int) -> None:
-        records = feeds.parse_files(batch.select("path", "content"), source, f"s-{source.source_id}-{number}", number)
-        records.drop("batch_id", "error").write.mode("overwrite").parquet(f"{target}/batch_id=s-{source.source_id}-{number}")
+        once = batch.groupBy("digest").agg(F.min(F.struct("path", "name")).alias("f")).select("digest", "f.*").collect()  # a row a file of the micro-batch
+        if not once:
+            return
+        names = spark.createDataFrame([(r.name, f"s-{source.source_id}-{r.digest}") for r in once], "path string, batch_id string")
+        records = feeds.read_feed(spark, [r.path for r in once], source, names)
+        records.drop("error").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target)
 
     writer = files.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def without_retransmits(records: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """A record stream without rows that repeat an earlier one's source, external id and content: what is remembered of a row lasts at least ``delay`` of event time."""
+    marked = records.withColumn("_seen", F.timestamp_micros((F.col("ts_ns").cast("decimal(20,0)") / 1000).cast("long"))).withWatermark("_seen", delay)
+    return marked.dropDuplicatesWithinWatermark(["source_id", "external_id", "content_hash"]).drop("_seen")
+
+
 def match_stream(left: DataFrame, right: DataFrame, window_ns: int, delay: str = "1 hour") -> DataFrame:
     """Extension: pairs of two record streams with one business id at most ``window_ns`` apart, under watermarks."""
     seconds = -(-window_ns // 1_000_000_000)
