@@ -84,7 +84,7 @@ def _candidate_pairs(side: DataFrame, rule: Rule) -> DataFrame:
 
 def tolerance_candidates(records: DataFrame, rule: Rule) -> DataFrame:
     """Edges between records of different roles within the window and the tolerances: a_*, b_* and score_tuple; a has the lower role."""
-    pairs = _candidate_pairs(records.select(*EDGE_SIDE), rule)
+    pairs = _candidate_pairs(cut(records.select(*EDGE_SIDE)), rule)
     amount, fee = F.abs(F.col("l_amount_minor") - F.col("r_amount_minor")), F.abs(F.col("l_fee_minor") - F.col("r_fee_minor"))
     ok = money.within(amount, money.tolerance_base(F.col("l_amount_minor"), F.col("r_amount_minor")), rule.amount.absolute, rule.amount.bps)
     if rule.fee.enabled:

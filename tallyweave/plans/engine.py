@@ -32,18 +32,18 @@ def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False)
     duplicates = cut(dedup.detect(records, rules[0] if rules else None))
     active = cut(dedup.without_excluded(records.where(~F.col("isolated")), duplicates))
     free, groups, discrepancies = active, [], []
+    claimed: list[DataFrame] = []
 
     def commit(g: DataFrame | None, d: DataFrame | None) -> None:
+        """Write the results of a phase; what they claim is read off them, and records themselves are never written again."""
         nonlocal free
-        g = cut(g) if g is not None else None
-        d = cut(d) if d is not None else None
         if g is not None:
-            groups.append(g)
-            free = free.join(g.select(F.explode("record_ids").alias("record_id")), "record_id", "left_anti")
+            groups.append(cut(g))
+            claimed.append(groups[-1].select(F.explode("record_ids").alias("record_id")))
         if d is not None:
-            discrepancies.append(d)
-            free = free.join(d.select(F.col("record_ids")[0].alias("record_id")), "record_id", "left_anti")
-        free = cut(free)
+            discrepancies.append(cut(d))
+            claimed.append(discrepancies[-1].select(F.col("record_ids")[0].alias("record_id")))
+        free = active.join(reduce(DataFrame.union, claimed), "record_id", "left_anti")
 
     for rule in rules:
         allowed = F.col("role").isin(*rule.allowed_roles)

@@ -418,7 +418,7 @@ def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
     """The orders as a CSV feed with quotes, breaks and bad cells at fixed strides."""
     k, m = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
     plain = F.concat(F.expr("cast(round(o_totalprice * 100) as bigint) div 100").cast("string"), F.lit("."), F.lpad((m % 100).cast("string"), 2, "0"))
-    rows = payments.table(spark, sf_dir, "orders").select(
+    rows = payments.spread(payments.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")).select(
         F.when(k % 37 == 0, "").otherwise(F.concat(F.lit("EXT"), k.cast("string"))).alias("external_id"),
         F.when(k % 41 == 0, "abc").when(k % 43 == 0, F.concat(plain, F.lit("5"))).otherwise(plain).alias("amount"),
         F.when(k % 47 == 0, "XXX").when(k % 3 == 0, "eur").otherwise("").alias("currency"),

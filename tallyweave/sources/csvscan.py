@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -148,15 +149,31 @@ def _pieces(lines: DataFrame, sep: str, most: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([dict(zip(names, (*key[:2], seq, size, key[2], *record_ends(here, False), *record_ends(body, True), text)))], schema=schema)
 
         for batch in batches:
-            paths, starts, sizes, values = (batch.column(c).to_pylist() for c in ("path", "start", "file_size", "value"))
-            for now, value in zip(zip(paths, starts, sizes), values):
-                if held and (now != key or size + len(value) > most):
+            if not batch.num_rows:
+                continue
+            starts, names_ = batch.column("start").to_numpy(), batch.column("path").dictionary_encode()
+            codes, values = names_.indices.to_numpy(), batch.column("value").to_pylist()
+            lens = pc.binary_length(batch.column("value")).to_numpy()
+            edges = np.flatnonzero((starts[1:] != starts[:-1]) | (codes[1:] != codes[:-1])) + 1
+            for at, stop in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                now = (names_.dictionary[int(codes[at])].as_py(), int(starts[at]), batch.column("file_size")[at].as_py())
+                if held and now != key:
                     yield piece()
-                    seq, held, size = seq + 1, [], 0
+                    held, size = [], 0
                 if now != key:
                     key, seq = now, 0
-                held.append(value)
-                size += len(value) + 1
+                ends = np.cumsum(lens[at:stop] + 1)
+                while at < stop:
+                    # lines that still fit, or one that is longer than a piece
+                    to = at + int(np.searchsorted(ends - (ends[0] - lens[at] - 1), most - size, "right"))
+                    if to == at and not held:
+                        to = at + 1
+                    held += values[at:to]
+                    size += int(lens[at:to].sum()) + to - at
+                    ends, at = ends[to - at :], to
+                    if at < stop:
+                        yield piece()
+                        seq, held, size = seq + 1, [], 0
         if held:
             yield piece()
 
@@ -212,21 +229,38 @@ def _over_splits(splits: DataFrame) -> DataFrame:
     return splits.groupBy("path").applyInArrow(run, "path string, start long, inside boolean, base long, closing boolean")
 
 
-def _placed(pieces: DataFrame) -> DataFrame:
-    """(path, start, seq, inside, leaves, base, closing, text): every piece with how it begins and ends, the number of the record there, and whether its last line end is not in the file."""
+def _places(pieces: DataFrame) -> DataFrame:
+    """(path, start, seq, inside, leaves, base, closing), written: how every piece begins and ends, the number of the record there, and whether its last line end is not in the file."""
     sums = cut(_within_splits(pieces))
     whole = sums.groupBy("path", "start").agg(F.max_by(F.struct("exit_out", "ends_out", "exit_in", "ends_in"), "seq").alias("s"), F.max("seq").alias("last"), F.sum("size").alias("size"), F.max("file_size").alias("file_size"))
-    begun = cut(_over_splits(whole.select("path", "start", "size", "file_size", "s.*"))).join(whole.select("path", "start", "last"), ["path", "start"])
+    begun = _over_splits(whole.select("path", "start", "size", "file_size", "s.*")).join(whole.select("path", "start", "last"), ["path", "start"])
     state = F.when(F.col("inside"), F.struct(F.col("exit_in").alias("exit"), F.col("ends_in").alias("ends"))).otherwise(F.struct(F.col("exit_out").alias("exit"), F.col("ends_out").alias("ends")))
-    own = sums.join(begun, ["path", "start"]).select("path", "start", "seq", state.alias("state"), "inside", "base", (F.col("closing") & (F.col("seq") == F.col("last"))).alias("closing"))
+    own = cut(sums.join(begun, ["path", "start"]).select("path", "start", "seq", state.alias("state"), "inside", "base", (F.col("closing") & (F.col("seq") == F.col("last"))).alias("closing")))
     earlier = own.select("path", "start", (F.col("seq") + 1).alias("seq"), F.col("state").alias("before"))
     at = own.join(earlier, ["path", "start", "seq"], "left")
-    at = at.select("path", "start", "seq", F.coalesce("before.exit", "inside").alias("inside"), F.col("state.exit").alias("leaves"), (F.col("base") + F.coalesce("before.ends", F.lit(0))).alias("base"), "closing")
-    return pieces.select("path", "start", "seq", "text").join(at, ["path", "start", "seq"])
+    return cut(at.select("path", "start", "seq", F.coalesce("before.exit", "inside").alias("inside"), F.col("state.exit").alias("leaves"), (F.col("base") + F.coalesce("before.ends", F.lit(0))).alias("base"), "closing"))
 
 
-def _parse(placed: DataFrame, sep: str, fragments: bool) -> DataFrame:
-    """Whole records as (path, line, cells), or fragments as (path, line, start, seq, text)."""
+def _aligned(cells: list[list[str]], header: list[str] | None, columns: list[str] | None) -> list[list[str | None]]:
+    """The cells of ``columns`` by the names of the header, the last of equal names; all cells without either."""
+    if header is None or columns is None:
+        return cells
+    index = {name: i for i, name in enumerate(header)}
+    places = [index.get(c, len(header)) for c in columns]
+    return [[row[i] if i < len(row) and i < len(header) else None for i in places] for row in cells]
+
+
+def _cell_rows(path: str, lines: np.ndarray, cells: list[list[str | None]]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, cells)]).astype(np.int32)
+    flat = pa.ListArray.from_arrays(pa.array(ends), pa.array([c for row in cells for c in row], pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(cells), pa.string()), pa.array(lines, pa.int64()), flat], ["path", "line", "cells"])
+
+
+PIECE = ["path", "start", "seq", "inside", "leaves", "base", "closing", "header", "text"]
+
+
+def _parse(placed: DataFrame, sep: str, fragments: bool, columns: list[str] | None = None) -> DataFrame:
+    """Whole records as (path, line, cells), or fragments as (path, header, line, start, seq, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,34 +274,35 @@ def _parse(placed: DataFrame, sep: str, fragments: bool) -> DataFrame:
                 if fragments:
                     found = [(r["base"], head)] * (head is not None) + [(line + len(rows), tail)] * (tail is not None)
                     if found:
-                        yield pa.RecordBatch.from_pylist([{"path": r["path"], "line": n, "start": r["start"], "seq": r["seq"], "text": t} for n, t in found], schema=pa.schema([("path", pa.string()), ("line", pa.int64()), ("start", pa.int64()), ("seq", pa.int64()), ("text", pa.string())]))
+                        yield pa.RecordBatch.from_pylist([{c: r[c] for c in ("path", "header", "start", "seq")} | {"line": n, "text": t} for n, t in found], schema=schema)
                     continue
-                for k in range(0, len(rows), ROWS_AT_ONCE):
+                skip = r["header"] is not None and r["base"] == 0 and not r["inside"]  # the header itself
+                for k in range(int(skip), len(rows), ROWS_AT_ONCE):
                     part = rows[k : k + ROWS_AT_ONCE]
-                    ends = np.cumsum([0, *map(len, part)]).astype(np.int32)
-                    cells = pa.ListArray.from_arrays(pa.array(ends), pa.array([c for row in part for c in row], pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(part), pa.string()), pa.array(np.arange(line + k, line + k + len(part))), cells], ["path", "line", "cells"])
+                    yield _cell_rows(r["path"], np.arange(line + k, line + k + len(part)), _aligned(part, r["header"], columns))
 
-    columns = placed.select("path", "start", "seq", "inside", "leaves", "base", "closing", "text")
-    return columns.mapInArrow(run, "path string, line long, start long, seq long, text string" if fragments else "path string, line long, cells array<string>")
+    schema = pa.schema([("path", pa.string()), ("header", pa.list_(pa.string())), ("line", pa.int64()), ("start", pa.int64()), ("seq", pa.int64()), ("text", pa.string())])
+    return placed.select(*PIECE).mapInArrow(run, "path string, header array<string>, line long, start long, seq long, text string" if fragments else "path string, line long, cells array<string>")
 
 
-def _joined(fragments: DataFrame) -> DataFrame:
+def _joined(fragments: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Records out of their fragments, in order of place."""
-    whole = fragments.groupBy("path", "line").agg(F.sort_array(F.collect_list(F.struct("start", "seq", "text"))).alias("f")).select("path", "line", F.array_join(F.transform("f", lambda x: x["text"]), "").alias("text"))
+    whole = fragments.groupBy("path", "line").agg(F.sort_array(F.collect_list(F.struct("start", "seq", "text"))).alias("f"), F.max("header").alias("header")).select("path", "line", "header", F.array_join(F.transform("f", lambda x: x["text"]), "").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [split_records(t)[0][0] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line"), pa.array(cells, pa.list_(pa.string()))], ["path", "line", "cells"])
+            for r in batch.to_pylist():
+                yield _cell_rows(r["path"], np.array([r["line"]]), _aligned(split_records(r["text"])[0], r["header"], columns))
 
     return whole.mapInArrow(run, "path string, line long, cells array<string>")
 
 
-def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """(path, line, cells, header) of the CSV files at ``path``: lines from 1 without the header, header the names in the file's first record.
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, sep: str | None = None, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(path, line, cells) of the CSV files at ``path``: lines from 1 without the header, the first record of a file.
 
-    Records are those of ``split_records`` over a whole file, invalid UTF-8 replaced. Spark
+    cells are those of ``columns`` in their order, by the names in the file's header (of equal
+    names the last, null for one that the header or a short row lacks), or all cells of a row
+    where no columns are named. Records are those of ``split_records`` over a whole file, invalid UTF-8 replaced. Spark
     splits the files; pieces of about a megabyte are written once to the shared folder with the text
     they hold, so that later steps don't depend on where splits fall. Empty files give no rows; a quote that
     nothing closes raises FeedError. ``sep`` is found by ``line_end`` unless given; a byte
@@ -276,8 +311,14 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str | None = None,
     sep = sep or line_end(spark, path)
     lines = spark.read.option("lineSep", sep).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("file_size"), "value")
-    placed = cut(_placed(cut(_pieces(lines, sep, piece_bytes))))
+    pieces = cut(_pieces(lines, sep, piece_bytes))
+    texts, key = pieces.select("path", "start", "seq", "text"), ["path", "start", "seq"]
+    places = _places(pieces)
     open_ = F.col("inside") | F.col("leaves")
-    records = lambda part, lines: _parse(part, sep, False).where(lines).unionByName(_joined(_parse(part.where(open_), sep, True).where(lines)))
-    header = records(placed.where("base = 0"), "line = 0").select("path", F.col("cells").alias("header"))
-    return records(placed, "line > 0").join(header, "path")
+    first = texts.join(places.where("base = 0").withColumn("header", F.lit(None).cast("array<string>")), key)
+    header = _parse(first, sep, False).where("line = 0").unionByName(_joined(_parse(first.where(open_), sep, True).where("line = 0")))
+    places = cut(places.join(header.select("path", F.col("cells").alias("header")), "path"))
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = _parse(texts.repartition(count, *key).join(places, key), sep, False, columns)
+    broken = _parse(texts.join(places.where(open_), key), sep, True)
+    return whole.unionByName(_joined(broken.where("line > 0"), columns))

@@ -92,8 +92,7 @@ def logical_fields(rows: DataFrame, source: Source) -> DataFrame:
     """(path, line, decoded, one column for each logical field): absent fields are null."""
     if source.format == "csv":
         if "cells" in rows.columns:
-            last = lambda name: F.array_position(F.reverse("header"), F.lit(name)).cast("int")
-            got = {c: F.when(last(source.column(c)) > 0, F.get("cells", F.size("header") - last(source.column(c)))) for c in LOGICAL}
+            got = {c: F.get("cells", F.lit(i)) for i, c in enumerate(LOGICAL)}  # read in this order
         else:
             got = {c: F.try_element_at("fields", F.lit(source.column(c))) for c in LOGICAL}
         ok = F.lit(True)
@@ -182,7 +181,7 @@ def read_feed(spark: SparkSession, path: str | list[str], source: Source, batch_
     """
     if source.format not in ("csv", "ndjson"):
         raise FeedError(f"unknown format {source.format}")
-    rows = read_csv(spark, path) if source.format == "csv" else read_ndjson(spark, path)
+    rows = read_csv(spark, path, [source.column(c) for c in LOGICAL]) if source.format == "csv" else read_ndjson(spark, path)
     fields = logical_fields(rows, source)
     if isinstance(batch_id, DataFrame):
         fields, batch_id = fields.join(batch_id, "path"), F.col("batch_id")

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where their files have fewer splits than there are cores; else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _records(rows: DataFrame) -> DataFrame:
     """Fill in what the derived records don't vary, and their identity."""
     fixed = {"batch_ord": F.lit(0), "direction": F.lit("credit"), "counterparty": F.lit(""), "memo": F.lit(""), "isolated": F.lit(False), "invalid_reason": F.lit(""), "timestamp_raw": F.col("ts_ns").cast("string")}
@@ -29,7 +35,7 @@ def _records(rows: DataFrame) -> DataFrame:
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal, processor and bank records of every order, with duplicates, twins, gaps and fees at fixed strides."""
     k = F.col("k")
-    o = table(spark, sf_dir, "orders").select(
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderdate")).select(
         F.col("o_orderkey").alias("k"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("m"),
         F.element_at(F.array(*map(F.lit, BY_CUSTOMER)), (F.col("o_custkey") % 5 + 1).cast("int")).alias("currency"),
