@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,12 +44,17 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-ROW = "tallyweave_row"
+ROW, OWN = "tallyweave_row", "tallyweave_own"
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns]
 
 
 def with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of each row (ROW), written, so that it stays the same."""
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """(ROW, OWN): a number of each row of ``docs`` and a struct of its columns, where no name can clash; written, so that the number stays the same."""
+    return written(docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*own_columns(docs)).alias(OWN)))
 
 
 def partitions(spark: SparkSession) -> int:

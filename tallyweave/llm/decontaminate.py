@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, with_row, written
+from .common import OWN, ROW, arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, with_row, written
 from .words import WORD_TABLE, grouped_words, span_bytes, word_spans
 
 WINDOW = 10
@@ -358,7 +358,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, reach
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without the rows whose own text holds a benchmark window."""
+    """``docs`` without the rows whose own text holds a benchmark window; all columns, whatever their names, as they are."""
     rows = with_row(docs)
-    bad = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), items, window).where("n_hit > 0").select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(docs.columns)
+    bad = contamination(rows.select(F.col(ROW).alias("doc_id"), F.col(OWN)["text"].alias("text")), items, window).where("n_hit > 0").select(F.col("doc_id").alias(ROW))
+    return rows.join(bad, ROW, "left_anti").select(f"{OWN}.*")

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import OWN, own_columns
+
 # What separates words, and which characters count as symbols.
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -203,7 +205,11 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, sample_rows: int = 6
 
 
 def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
-    """``docs`` with their statistics, base_failed and kept: not failed and not predicted to be of label 0."""
+    """``docs`` with their statistics, base_failed and kept: not failed and not predicted to be of label 0.
+
+    A null or empty text has no words and fails; rows are judged each by its own text, also
+    where they repeat an id; texts of any length are read whole, and an empty table gives none.
+    """
     stats = statistics(docs.drop("base_failed", "kept"))
     judged = stats.withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (as_expression(rules) == 1))
@@ -211,8 +217,8 @@ def judge(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[list[Test]]) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever the names: they travel in a struct of their own."""
-    own = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("tallyweave_row"))
-    return judge(own, rules).where("kept").select("tallyweave_row.*")
+    own = docs.select("text", F.struct(*own_columns(docs)).alias(OWN))
+    return judge(own, rules).where("kept").select(f"{OWN}.*")
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> list[list[Test]]:

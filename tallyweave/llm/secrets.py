@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, partitions, run_bounds, sorted_runs, text_bytes, text_slices, written
+from .common import arrow_map, own_columns, partitions, run_bounds, sorted_runs, text_bytes, text_slices, written
 
 SLICE_BYTES = 768 << 10  # of a scan; so that keys mostly fit 32 bits
 INDEX_BYTES = 4 << 20  # of a segment of a written index
@@ -289,9 +289,20 @@ def scan(docs: DataFrame, rules=RULES, into: str = "secrets") -> DataFrame:
     A worker indexes its texts slice by slice, answers the rules' trigram queries from the
     slice's postings and verifies the candidates at once, so no text moves. Positions are
     code points, ends exclusive. A null or empty text has none; rows of equal doc_id are
-    scanned each. An input column named as ``into`` is replaced.
+    scanned each; an empty table gives none. An input column named as ``into`` is replaced.
     """
-    docs = docs.drop(into)
+    names = [c for c in docs.columns if c != into]
+    plain, text = _plain(docs.select(*[c for c, n in zip(own_columns(docs), docs.columns) if n != into]))
+    return _scan(plain, text, rules).toDF(*names, into)
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with columns c0, c1 and so on, since workers are given columns by bare names, and the name of the text."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+
+
+def _scan(docs: DataFrame, text: str, rules) -> DataFrame:
+    """``docs`` with the secrets of column ``text`` as a last column, found."""
     queries = rule_queries(rules)
     always = sum(1 << i for i in range(len(rules)) if i not in queries)
     wanted = np.array(sorted(set().union(*map(query_trigrams, queries.values()))) if queries else [], np.int64)
@@ -300,8 +311,8 @@ def scan(docs: DataFrame, rules=RULES, into: str = "secrets") -> DataFrame:
     def verify(batches):
         for batch in batches:
             found = []
-            for a, b in text_slices(batch.column("text"), SLICE_BYTES):
-                texts = text_bytes(batch.column("text").slice(a, b - a))
+            for a, b in text_slices(batch.column(text), SLICE_BYTES):
+                texts = text_bytes(batch.column(text).slice(a, b - a))
                 trigram, doc = slice_trigrams(texts)
                 low, high = np.searchsorted(trigram, wanted), np.searchsorted(trigram, wanted, side="right")
                 postings = {t: doc[i:j] for t, i, j in zip(wanted.tolist(), low.tolist(), high.tolist()) if j > i}
@@ -309,9 +320,9 @@ def scan(docs: DataFrame, rules=RULES, into: str = "secrets") -> DataFrame:
                 for i, q in queries.items():
                     mask[evaluate(q, postings)] |= 1 << i
                 found += [[{"kind": rules[i].kind, "start": s, "end": e} for s, i, e in _found(t, m, rules)] for t, m in zip(texts, mask.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "found"])
 
-    return arrow_map(docs, verify, docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias(into)).schema)
+    return arrow_map(docs, verify, docs.select("*", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>").alias("found")).schema)
 
 
 def span_text(spans: Column, kinds=None) -> Column:
@@ -324,27 +335,29 @@ def span_text(spans: Column, kinds=None) -> Column:
 def redact(docs: DataFrame, rules=RULES) -> DataFrame:
     """``docs`` with every secret replaced by its kind in brackets; overlapping spans are replaced together, under the first one's kind.
 
-    n_chars, where there is such a column, is counted again; all other columns are returned as they are.
+    n_chars, where there is such a column, is counted again; all other columns, whatever their
+    names, are returned as they are. Null texts stay null; an empty table gives none.
     """
-    scanned = scan(docs, rules, "tallyweave_found")
-    schema = docs.schema
+    plain, text = _plain(docs.select(*own_columns(docs)))
+    count = f"c{docs.columns.index('n_chars')}" if "n_chars" in docs.columns else ""
+    schema = plain.schema
 
     def hide(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, spans in enumerate(batch.column("tallyweave_found").to_pylist()):
+            texts = batch.column(text).to_pylist()
+            for i, spans in enumerate(batch.column("found").to_pylist()):
                 if not spans:
                     continue
-                out, at, text = [], 0, texts[i]
+                out, at, whole = [], 0, texts[i]
                 for x in spans:
                     if x["start"] >= at:
-                        out += [text[at : x["start"]], f"[{x['kind']}]"]
+                        out += [whole[at : x["start"]], f"[{x['kind']}]"]
                     at = max(at, x["end"])
-                texts[i] = "".join([*out, text[at:]])
+                texts[i] = "".join([*out, whole[at:]])
             columns = {n: batch.column(n) for n in schema.names}
-            columns["text"] = pa.array(texts, batch.column("text").type)
-            if "n_chars" in columns:
-                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+            columns[text] = pa.array(texts, batch.column(text).type)
+            if count:
+                columns[count] = pa.array([None if t is None else len(t) for t in texts], columns[count].type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return arrow_map(scanned, hide, schema)
+    return arrow_map(_scan(plain, text, rules), hide, schema).toDF(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, arrow_map, connected_components, partitions, run_bounds, sorted_runs, with_row, written
+from .common import OWN, ROW, arrow_map, connected_components, partitions, run_bounds, sorted_runs, with_row, written
 
 MAX_BITS = 3
 BLOCK_ROWS = 4096
@@ -192,19 +192,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, max_bits:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", distinct_ids: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", distinct_ids: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, of equal ids the one with the smallest hash of its text.
 
     Every row is judged by its own text; a null id comes after all others and counts for
-    itself. Where one id names several components, ``distinct_ids`` keeps one row of it,
-    chosen by the hash, so that ids stay apart; without it every component keeps its row,
-    and no group of texts is lost. Other columns, whatever their names, are returned as they are.
+    itself. Every component keeps its row, so no group of texts is lost, but an id may stay in
+    several rows; with ``distinct_ids`` one row of it is left, chosen by the hash. Other
+    columns, whatever their names, are returned as they are; an empty table gives none.
     """
     rows = with_row(docs)
-    parts = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    named = rows.select(ROW, F.col(key).alias("id"), F.xxhash64("text").alias("hash")).join(parts, ROW)
+    parts = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), F.col(OWN)["text"].alias("text"))).select(F.col("doc_id").alias(ROW), "component_id")
+    named = rows.select(ROW, F.col(OWN)[key].alias("id"), F.xxhash64(F.col(OWN)["text"]).alias("hash")).join(parts, ROW)
     best = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash", ROW)).alias("b")).select("b.*")
-    if not distinct_ids:
-        return rows.join(best.select(ROW), ROW, "left_semi").select(docs.columns)
-    once = best.where("not none").groupBy("id").agg(F.min(F.struct("hash", ROW)).alias("b")).select(f"b.{ROW}")
-    return rows.join(once.union(best.where("none").select(ROW)), ROW, "left_semi").select(docs.columns)
+    kept = best.select(ROW)
+    if distinct_ids:
+        kept = best.where("not none").groupBy("id").agg(F.min(F.struct("hash", ROW)).alias("b")).select(f"b.{ROW}").union(best.where("none").select(ROW))
+    return rows.join(kept, ROW, "left_semi").select(f"{OWN}.*")

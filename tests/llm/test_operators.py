@@ -134,7 +134,7 @@ def test_simhash(spark, texts):
     pairs = [(i, brute_fingerprint(t)) for i, t in texts]
     assert got == collections.Counter((i, f, c) for (i, f), c in zip(pairs, brute_components(pairs)))
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
-    kept = [r.doc_id for r in simhash.deduplicate(frame(spark, texts)).collect()]
+    kept = [r.doc_id for r in simhash.deduplicate(frame(spark, texts), distinct_ids=True).collect()]
     assert len(kept) == len(set(kept)) and 195 not in kept
 
 
@@ -145,6 +145,8 @@ def test_rows_without_or_with_repeated_ids_are_judged_apart(spark):
     rows = frame(spark, [(2, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, d), (None, e)])
     got = [(r.doc_id, r.text) for r in simhash.deduplicate(rows).collect()]
     assert sorted(got, key=str) == sorted([(2, a), (5, b), (None, c), (None, d), (None, e)], key=str)
+    five = frame(spark, [(0, a), (0, b), (None, c), (None, d), (5, e)])
+    assert {r.text for r in simhash.deduplicate(five).collect()} == {a, b, c, d, e}
     left = decontaminate.clean_documents(rows, spark.createDataFrame([(1, " ".join(a.split()[5:20])), (2, d)], "item_id long, text string"))
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, b), (None, c), (None, c), (None, e)], key=str)
 
@@ -290,6 +292,41 @@ def test_edited_passages_are_found(spark):
         assert got <= possible and len(got) >= wanted * len(possible) and len(possible) >= 30
 
 
+def holds_window(same, least=50, share=0.8):
+    """Whether some window of at least ``least`` words keeps the share: all of them looked at."""
+    sums = np.concatenate([[0], np.cumsum(same)])
+    return any(sums[e] - sums[s] >= share * (e - s) for s in range(len(same)) for e in range(s + least, len(same) + 1))
+
+
+def test_stretches_hold_a_window_wherever_there_is_one():
+    rng = random.Random(21)
+    for _ in range(1500):
+        rate = rng.choice([0.05, 0.1, 0.15, 0.2, 0.3])
+        match = np.array([rng.random() > (0.9 if rng.random() < 0.3 else rate) for _ in range(rng.randint(1, 120))])
+        least = rng.choice([5, 20, 50])
+        found = sorted(passages.stretches(match, least))
+        assert all(e - s >= least and match[s:e].mean() >= 0.8 - 1e-9 for s, e in found) and all(a[1] <= b[0] for a, b in zip(found, found[1:]))
+        assert bool(found) == holds_window(match, least)
+        for s, e in zip([0, *(x[1] for x in found)], [*(x[0] for x in found), len(match)]):
+            assert not holds_window(match[s:e], least)
+
+
+@pytest.mark.parametrize("size,share", [(50, 0.1), (50, 0.15), (60, 0.1), (80, 0.15), (100, 0.15)])
+def test_recall_of_edited_passages(spark, size, share):
+    rng = random.Random(size)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    rows, want = [], set()
+    for i in range(0, 400, 2):
+        passage = [word() for _ in range(size)]
+        changed = set(rng.sample(range(size), int(size * share)))
+        edited = [word() if k in changed else w for k, w in enumerate(passage)]
+        rows += [(i, " ".join([word() for _ in range(20)] + passage)), (i + 1, " ".join(edited + [word() for _ in range(20)]))]
+        if holds_window([x == y for x, y in zip(passage, edited)]):
+            want.add((i + 1, i))
+    got = found_pairs(spark, rows)
+    assert len(want) >= 180 and len(got & want) >= 0.9 * len(want) and got <= want
+
+
 def test_passages_of_parts_seen_earlier(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from test_operators import VOCABULARY, brute_components, brute_fingerprint, brute_hits, secret_spans
 from tokenizers import Tokenizer
 
@@ -108,6 +109,25 @@ def test_stages_against_a_plain_version(spark, tmp_path):
     assert sum(x[3] for x in text(whole)) == sum(x[3] for x in text(pieces))
 
 
+def test_columns_of_any_name_pass_four_stages(spark, tmp_path):
+    rows, items, labels = texts()
+    folder = write(spark, tmp_path, rows, items, labels)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = ["a.b", "tallyweave_row", "tallyweave_own", "tallyweave_found", "c0", "found", "component_id", "hash", "b`c d"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{k}:"), F.coalesce(F.col("text"), F.lit(""))).alias(c) for k, c in enumerate(odd)])
+    want = None
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, folder)
+        assert out.dtypes == docs.dtypes
+        out.write.parquet(f"{tmp_path}/odd{k}")
+        docs = spark.read.parquet(f"{tmp_path}/odd{k}")
+        rows_ = docs.collect()
+        if k == 2:
+            want = sorted(r.text or "" for r in rows_)
+        assert rows_ and all(r[c].startswith(f"{i}:") and (k == 3 or r[c][2:] == (r.text or "")) for r in rows_ for i, c in enumerate(odd))
+    assert sorted(r["a.b"][2:] for r in rows_) == want
+
+
 def check_pieces(pieces, docs):
     """Every id of every document stands in exactly one piece; sequences are gapless."""
     library = Tokenizer.from_file(VOCABULARY)
