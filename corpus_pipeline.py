@@ -14,28 +14,48 @@ from tallyweave.llm.queries import table, vocabulary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the base test and the learnt decision list keep."""
+    """The documents that the base test and the learnt decision list keep.
+
+    Null and empty texts have no words and go; very long ones are measured whole; rows that repeat an id are judged
+    each by its own text; without labels the list is empty; an empty table stays empty. All columns are returned as they are.
+    """
     rules = quality.learn_rules(docs, table(spark, sf_dir, "labels"))
     return quality.keep_good(docs, rules)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id. Rows of one doc_id are judged each by its own text."""
-    return simhash.deduplicate(docs, distinct_ids=False)
+    """One document of each SimHash component: the one with the smallest doc_id, null ids last.
+
+    Rows of one doc_id are judged each by its own text; null and empty texts form one component; texts are read whole;
+    an empty table stays empty. All columns are returned as they are.
+    """
+    return simhash.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a benchmark window."""
+    """The documents without a benchmark window.
+
+    Null and empty texts have none and stay; rows that repeat an id are judged each by its own text; texts and items of any
+    length are read whole; an empty table, or an empty benchmark, changes nothing. All columns are returned as they are.
+    """
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind and n_chars counted again."""
+    """All documents, secrets replaced by their kind and n_chars counted again.
+
+    Null texts stay null; repeated rows are treated alike; texts of any length are scanned whole; an empty table stays
+    empty. All other columns are returned as they are.
+    """
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all documents in sequences of 2048 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed each; long texts are cut over sequences, and lose
+    nothing; an empty table gives no piece; other columns are left out.
+    """
     return packing.pack(docs, vocabulary())
 
 
