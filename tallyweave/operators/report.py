@@ -93,6 +93,85 @@ def csv_rows(result: Result) -> DataFrame:
     return discrepancy_rows(result).select("currency", "type", "sort_key", line.alias("line"))
 
 
+def _ordered_text(parts: list[DataFrame], path: str) -> None:
+    """Write lines of (part, o1, o2, o3, line) in order, range by range, as text files that make up one text in the order of their names. A path that exists raises."""
+    lines = parts[0]
+    for part in parts[1:]:
+        lines = lines.unionByName(part)
+    lines.orderBy("part", "o1", "o2", "o3").select("line").write.mode("errorifexists").text(path)
+
+
+def _line(spark, part: int, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(part).alias("part"), *[F.lit("").alias(c) for c in ("o1", "o2", "o3")], F.lit(text).alias("line"))
+
+
+def _in_part(rows: DataFrame, part: int, order: tuple[str, ...], line: Column) -> DataFrame:
+    names = [F.col(c).alias(n) for c, n in zip(order, ("o1", "o2", "o3"))] + [F.lit("").alias(n) for n in ("o1", "o2", "o3")[len(order) :]]
+    return rows.select(F.lit(part).alias("part"), *names, line.alias("line"))
+
+
+def _totals(result: Result) -> DataFrame:
+    """One row: n, v of groups and d, the number of discrepancies."""
+    g = result.groups.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("amount_minor").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("v"))
+    return g.crossJoin(result.discrepancies.agg(F.count("*").alias("d")))  # two frames of one row each
+
+
+def write_csv(result: Result, path: str, revision: int) -> None:
+    """The CSV report as text files: the first begins with the header, the last ends with the summary line. Nothing passes through the driver."""
+    spark = result.records.sparkSession
+    footer = F.concat(F.lit("# summary matched="), F.col("n").cast("string"), F.lit(" matched_amount_minor="), "v", F.lit(" discrepancies="), F.col("d").cast("string"), F.lit(f" rule_revision={revision}"))
+    last = _totals(result).select(F.lit(2).alias("part"), *[F.lit("").alias(c) for c in ("o1", "o2", "o3")], footer.alias("line"))
+    _ordered_text([_line(spark, 0, ",".join(CSV_HEADER)), _in_part(csv_rows(result), 1, ("currency", "type", "sort_key"), F.col("line")), last], path)
+
+
+def group_views(result: Result) -> DataFrame:
+    """(match_group_id, view): each group as the JSON text of the report."""
+    member = lambda m: F.struct(*[F.coalesce(m[c], F.lit("")).alias(c) for c in ("record_id", "role", "external_id", "amount", "currency", "timestamp_utc")])
+    view = F.struct("match_group_id", "type", "currency", "amount_minor", "amount", F.transform("members", member).alias("members"), "score_tuple")
+    return group_rows(result).select("match_group_id", F.to_json(view).alias("view"))
+
+
+def discrepancy_views(result: Result) -> DataFrame:
+    """(discrepancy_id, currency, type, sort_key, view): each discrepancy as the JSON text of the report; empty values and zeros of evidence are left out."""
+    seen = result.records.select("record_id", "external_id", "stable_key", money.render(F.col("amount_minor"), F.coalesce("scale", F.lit(2))).alias("amount_string")).dropDuplicates(["record_id"])
+    tied = result.discrepancies.where("type = 'ambiguous'").select("discrepancy_id", "score_tuple", F.posexplode("candidate_ids").alias("at", "record_id")).join(seen, "record_id")
+    candidate = F.struct("record_id", "external_id", "amount_string", "score_tuple", "stable_key")
+    tied = tied.groupBy("discrepancy_id").agg(F.array_sort(F.collect_list(F.struct("at", candidate.alias("c")))).alias("t")).select("discrepancy_id", F.transform("t", lambda x: x["c"]).alias("candidates"))
+    some = lambda c: F.when(c.cast("string") != "", c)
+    e = evidence_rows(result).join(tied, "discrepancy_id", "left")
+    amount = F.when(F.col("amount_minor") != 0, F.col("amount_minor"))
+    time = F.when(F.col("type") != "ambiguous", some(timeparse.render_ns(F.col("ts_ns"))))
+    piece = F.struct("record_id", some(F.col("role")).alias("role"), amount.alias("amount_minor"), some(money.render(F.col("amount_minor"), F.coalesce("scale", F.lit(2)))).alias("amount_string"), some(F.col("currency")).alias("currency"), time.alias("timestamp"), some(F.col("timestamp_raw")).alias("timestamp_raw"), some(F.col("external_id")).alias("external_id"), "candidates")
+    pieces = e.groupBy("discrepancy_id").agg(F.array_sort(F.collect_list(F.struct("place", piece.alias("e")))).alias("p"))
+    rows = discrepancy_rows(result).join(pieces, "discrepancy_id")
+    view = F.struct("discrepancy_id", "type", "currency", some(F.col("note")).alias("note"), F.transform("p", lambda x: x["e"]).alias("evidence"), "sort_key")
+    return rows.select("discrepancy_id", "currency", "type", "sort_key", F.to_json(view).alias("view"))
+
+
+def write_json(result: Result, path: str, run_id: str, generated_at: str, revision: int, batch_ids: list[str]) -> None:
+    """The JSON report as text files, a group or a discrepancy a line; put together they are one JSON text. Only the summary, a row a currency, is made on the driver."""
+    spark = result.records.sparkSession
+    text = lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+    batch_ids = sorted(batch_ids)
+    head = {"run_id": run_id, "generated_at": generated_at, "rule_revision": revision, "batch_ids": batch_ids}
+    summary = _summary(result, run_id, generated_at, revision, batch_ids)
+
+    def listed(rows: DataFrame, part: int, order: tuple[str, ...]) -> DataFrame:
+        first = rows.agg(F.min(F.struct(*order)).alias("first"))  # one row
+        return _in_part(rows.crossJoin(F.broadcast(first)), part, order, F.concat(F.when(F.struct(*order) == F.col("first"), F.lit("")).otherwise(F.lit(",")), F.col("view")))
+
+    _ordered_text(
+        [
+            _line(spark, 0, text(head)[:-1] + ',"match_groups":['),
+            listed(group_views(result), 1, ("match_group_id",)),
+            _line(spark, 2, '],"discrepancies":['),
+            listed(discrepancy_views(result), 3, ("currency", "type", "sort_key")),
+            _line(spark, 4, f'],"summary":{text(summary)}}}'),
+        ],
+        path,
+    )
+
+
 def freeze(result: Result, path: str) -> None:
     """Write a report once: its groups, summary and CSV lines in report order, range by range; a path that exists raises."""
     group_rows(result).orderBy("match_group_id").write.mode("errorifexists").parquet(f"{path}/groups")
@@ -100,6 +179,28 @@ def freeze(result: Result, path: str) -> None:
     csv_rows(result).orderBy("currency", "type", "sort_key").write.mode("errorifexists").parquet(f"{path}/discrepancies")
 
 
+def _summary(result: Result, run_id: str, generated_at: str, revision: int, batch_ids: list[str]) -> dict:
+    """The summary of a report, from a row a currency."""
+    ordered = lambda m: dict(sorted(m.items())) if m else None
+    rows = [r.asDict() for r in summary_rows(result).orderBy("currency").collect()]  # a row a currency
+    totals: dict[str, dict] = {"discrepancy_counts": {}, "discrepancy_amounts": {}}
+    for r in rows:
+        for name, total in totals.items():
+            for k, v in (r[name] or {}).items():
+                total[k] = total.get(k, 0) + v
+    return {
+        "run_id": run_id,
+        "matched_count": sum(r["matched_count"] for r in rows),
+        "matched_amount_minor": sum(r["matched_amount_minor"] for r in rows),
+        "discrepancy_counts": dict(sorted(totals["discrepancy_counts"].items())),
+        "discrepancy_amounts": dict(sorted(totals["discrepancy_amounts"].items())),
+        "by_currency": {r["currency"]: {"currency": r["currency"], "matched_count": r["matched_count"], "matched_amount_minor": r["matched_amount_minor"], "discrepancy_counts": ordered(r["discrepancy_counts"]), "discrepancy_amounts": ordered(r["discrepancy_amounts"])} for r in rows},
+        "generated_at": generated_at,
+        "rule_revision": revision,
+        "batch_ids": batch_ids,
+    }
+
+
 def build(result: Result, run_id: str, generated_at: str, revision: int, batch_ids: list[str]) -> dict:
     """The report as nested Python values in output order; for runs whose report a person reads."""
     ev = evidence_rows(result).withColumns({"amount_string": money.render(F.col("amount_minor"), F.coalesce("scale", F.lit(2))), "timestamp": timeparse.render_ns(F.col("ts_ns"))})
@@ -125,25 +226,8 @@ def build(result: Result, run_id: str, generated_at: str, revision: int, batch_i
     for r in group_rows(result).orderBy("match_group_id").toLocalIterator():
         members = [{k: m[k] or "" for k in ("record_id", "role", "external_id", "amount", "currency", "timestamp_utc")} for m in r.members]
         groups.append({"match_group_id": r.match_group_id, "type": r.type, "currency": r.currency, "amount_minor": r.amount_minor, "amount": r.amount, "members": members, "score_tuple": list(r.score_tuple)})
-    ordered = lambda m: dict(sorted(m.items())) if m else None
-    rows = [r.asDict() for r in summary_rows(result).orderBy("currency").collect()]  # a row a currency
-    totals: dict[str, dict] = {"discrepancy_counts": {}, "discrepancy_amounts": {}}
-    for r in rows:
-        for name, total in totals.items():
-            for k, v in (r[name] or {}).items():
-                total[k] = total.get(k, 0) + v
     batch_ids = sorted(batch_ids)
-    summary = {
-        "run_id": run_id,
-        "matched_count": sum(r["matched_count"] for r in rows),
-        "matched_amount_minor": sum(r["matched_amount_minor"] for r in rows),
-        "discrepancy_counts": dict(sorted(totals["discrepancy_counts"].items())),
-        "discrepancy_amounts": dict(sorted(totals["discrepancy_amounts"].items())),
-        "by_currency": {r["currency"]: {"currency": r["currency"], "matched_count": r["matched_count"], "matched_amount_minor": r["matched_amount_minor"], "discrepancy_counts": ordered(r["discrepancy_counts"]), "discrepancy_amounts": ordered(r["discrepancy_amounts"])} for r in rows},
-        "generated_at": generated_at,
-        "rule_revision": revision,
-        "batch_ids": batch_ids,
-    }
+    summary = _summary(result, run_id, generated_at, revision, batch_ids)
     return {"run_id": run_id, "generated_at": generated_at, "rule_revision": revision, "batch_ids": batch_ids, "match_groups": groups, "discrepancies": views, "summary": summary}
 
 

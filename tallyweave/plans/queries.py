@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, money, timeparse
 from ..functions.lineage import cut, shared_path
-from ..operators import dedup, matching, report
+from ..operators import dedup, matching, merkle, report
 from ..operators.rangejoin import islands
 from ..sources import feeds, payments
 from ..streaming import arrivals
@@ -616,6 +616,30 @@ def report_digest_mergeable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("kind", "n", F.col("hash_sum").cast("string").alias("hash_sum"))
 
 
+@query
+def report_csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The CSV report written as ordered text files and read back, header and summary line included."""
+    path = shared_path(spark)
+    report.write_csv(_run(spark, sf_dir), path, 1)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query
+def batch_merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest for each role's batch, from a tree of digests."""
+    ids_ = payments.payments(spark, sf_dir).select("batch_id", F.col("record_id").alias("id"))
+    return merkle.roots(ids_, ["batch_id"], 2)
+
+
+@query
+def changed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between a batch and the same batch with some amounts corrected and some records gone, found by digests."""
+    p = payments.payments(spark, sf_dir)
+    later = p.where("source_line % 997 <> 0").withColumn("amount_minor", F.when(F.col("source_line") % 499 == 0, F.col("amount_minor") + 1).otherwise(F.col("amount_minor")))
+    of = lambda x: x.select("batch_id", F.col("record_id").alias("id"))
+    return merkle.differences(of(p), of(ids.with_identity(later)), ["batch_id"], 2)
+
+
 _SQL_FEED = """
 with base as (
   select o_orderkey as k, cast(round(o_totalprice * 100) as bigint) as m, epoch_us(o_orderdate) * 1000 as day_ns from orders),
@@ -728,6 +752,21 @@ noted as (
     else 'no counterpart found for ' || p.role || ' record ' || p.external_id end as note
   from disc d join active p on p.record_id = split_part(d.record_ids, ',', 1) left join active c on c.record_id = split_part(d.record_ids, ',', 2))
 select discrepancy_id || ',' || type || ',' || currency || ',' || note || ',' || replace(record_ids, ',', ';') || ',' || currency || '|' || type || '|' || k as line from noted join keys using (discrepancy_id)""",
+    "batch_merkle_roots": _SQL_PAY
+    + """,
+leaves as (select batch_id, substr(sha256(record_id), 1, 2) as prefix, count(*) as n, sha256(string_agg(record_id, chr(10) order by record_id)) as digest from pay group by 1, 2),
+middle as (select batch_id, substr(prefix, 1, 1) as prefix, sum(n) as n, sha256(string_agg(prefix || ':' || digest, chr(10) order by prefix)) as digest from leaves group by 1, 2)
+select batch_id, sum(n)::bigint as n, sha256(string_agg(prefix || ':' || digest, chr(10) order by prefix)) as digest from middle group by 1""",
+    "changed_records": _SQL_PAY
+    + """,
+later as (select batch_id, source_id, source_line, case when source_line % 499 = 0 then 'rec_' || substr(sha256(source_id || '|' || source_line || '|' || substr(sha256(role || '|' || currency || '|' || (amount_minor + 1) || '|credit|' || ts_ns || '||' || business_id), 1, 16)), 1, 16) else record_id end as id from pay where source_line % 997 <> 0)
+select batch_id, record_id as id, 'a' as side from pay where record_id not in (select id from later) union all select batch_id, id, 'b' from later where id not in (select record_id from pay)""",
     "report_digest_mergeable": _SQL_DISC
     + ", ids as (select 'groups' as kind, match_group_id as id from matched union all select 'discrepancies', discrepancy_id from disc) select kind, count(*) as n, sum(('0x' || substr(sha256(id), 1, 15))::bigint::hugeint)::varchar as hash_sum from ids group by 1",
 }
+
+ORACLE_SQL["report_csv_file"] = (
+    ORACLE_SQL["report_csv_lines"]
+    + " union all select 'discrepancy_id,type,currency,note,evidence_record_ids,sort_key'"
+    + " union all select '# summary matched=' || (select count(*) from matched) || ' matched_amount_minor=' || (select sum(amount_minor) from matched) || ' discrepancies=' || (select count(*) from disc) || ' rule_revision=1'"
+)
