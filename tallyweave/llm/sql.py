@@ -221,4 +221,32 @@ select page_id, host, path, rule, coalesce(rule_verdict, case when distrust > tr
 from known left join scores using (host)
 """
 
-ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_decontamination": OP5_DECONTAMINATION, "op7_simhash": OP7_SIMHASH, "op9_secrets": OP9_SECRETS, "op10_url_filter": OP10_URL_FILTER}
+# CRC-32 of an id's decimal text, a bit at a time
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)))"
+
+OP12_PREFIX_TRIE = f"""
+with own as materialized (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as place
+  from conversations where conv_id is not null),
+heads as (select conv_id, {_CRC} % 6 as h from (select distinct conv_id from own)),
+taken as (select c.conv_id, o.place as depth, o.role, o.text from heads c join own o on o.conv_id = c.conv_id - c.conv_id % 100 and o.place <= c.h),
+sizes as (select c.conv_id, c.h, count(t.depth) as m from heads c left join taken t using (conv_id) group by 1, 2),
+turns as (
+  select * from taken
+  union all select o.conv_id, o.place - s.h + s.m, o.role, o.text from own o join sizes s using (conv_id) where o.place > s.h),
+-- a node is known by the hash of the hashes of its turns
+hashed as (select conv_id, depth, length(text) as chars, sha256(string_agg(sha256(length(role) || ':' || role || text), '') over (partition by conv_id order by depth rows unbounded preceding)) as node from turns),
+members as materialized (
+  select conv_id, 0 as depth, 'root' as node, null as parent, 0 as chars from heads
+  union all select conv_id, depth, node, coalesce(lag(node) over (partition by conv_id order by depth), 'root'), chars from hashed),
+nodes as materialized (select node, min(depth) as depth, min(parent) as parent, min(conv_id) as owner, count(*) as n_convs, min(chars) as chars from members group by node),
+kids as (select parent as node, count(*) as n_children from nodes where parent is not null group by 1),
+weighed as (select n.*, coalesce(n_children, 0) as n_children, case when n_children is null then 1 else 0 end as leaf, (n_convs - 1) * chars as saved from nodes n left join kids using (node)),
+-- a node's owner passes all nodes above it
+sums as (select p.node, sum(w.leaf) as n_leaves, sum(w.saved) as saved_tokens from weighed w join members p on p.conv_id = w.owner and p.depth <= w.depth group by p.node),
+ends as (select node, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as ends_sha256 from (select conv_id, arg_max(node, depth) as node from members group by 1) group by 1)
+select w.owner as conv_id, w.depth::bigint as depth, u.owner as parent_conv_id, w.n_convs, w.n_children, s.n_leaves::bigint as n_leaves, s.saved_tokens::bigint as saved_tokens, coalesce(e.ends_sha256, sha256('')) as ends_sha256
+from weighed w join sums s using (node) left join ends e using (node) left join nodes u on u.node = w.parent
+"""
+
+ORACLE_SQL = {"op2_warc": OP2_WARC, "op5_decontamination": OP5_DECONTAMINATION, "op7_simhash": OP7_SIMHASH, "op9_secrets": OP9_SECRETS, "op10_url_filter": OP10_URL_FILTER, "op12_prefix_trie": OP12_PREFIX_TRIE}

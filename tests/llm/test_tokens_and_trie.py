@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tallyweave.llm import align, counts, trie
-from tallyweave.llm.queries import QUERIES
+from tallyweave.llm.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -230,6 +231,20 @@ def test_op12(spark):
     assert nodes(QUERIES["op12_prefix_trie"](spark, DATA)) == brute_trie(conversations())
 
 
+def sql_trie(rows):
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    names = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(con.execute(f"select {', '.join(names)} from ({ORACLE_SQL['op12_prefix_trie']})").fetchall())
+
+
+def test_sql_of_op12():
+    rows = [x for x in odd_conversations() if x[0] != 200 or (x[1] or 0) < 20]
+    assert sql_trie(rows) == brute_trie(rows)
+    assert sql_trie(conversations()) == brute_trie(conversations())
+
+
 def odd_conversations():
     r = random.Random(3)
     rows = [(c, t if t != 3 else None, r.choice(["user", None, "bot"]), r.choice(["", None, "a", "b", "é😀"])) for c in [*range(0, 40), *range(100, 140), 505, 7_000_000_001] for t in range(r.randint(1, 6))]
