@@ -116,19 +116,36 @@ def list_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, n
 
 
 def probed_links(fps: np.ndarray, free_mask: int, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """All links (smaller place first) among the distinct ``fps`` that differ in bits of ``free_mask`` alone, by looking up every value in reach."""
+    """A forest that spans the links among the distinct ``fps`` that differ in bits of ``free_mask`` alone, by looking up every value in reach.
+
+    Each pattern of bits is looked up for all of them at once; links between fingerprints that are connected already are passed over.
+    """
     fps = np.sort(fps)
     bits = [np.uint64(1 << i) for i in range(64) if free_mask >> i & 1]
-    a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    top = np.arange(len(fps))
+    a, b = [], []
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = int(top[x])
+        return x
+
     for n in range(1, max_bits + 1):
         for some in combinations(bits, n):
             other = fps ^ np.bitwise_or.reduce(some)
-            other = other[other > fps] if len(other) else other
-            at = np.searchsorted(fps, other)
-            found = other[fps[np.minimum(at, len(fps) - 1)] == other]
-            a.append(found ^ np.bitwise_or.reduce(some))
-            b.append(found)
-    return np.concatenate(a), np.concatenate(b)
+            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+            here = np.flatnonzero((fps[at] == other) & (other > fps))
+            while (top[top] != top).any():
+                top[:] = top[top]
+            here = here[top[here] != top[at[here]]]
+            for x, y in zip(here.tolist(), at[here].tolist()):
+                p, q = find(x), find(y)
+                if p != q:
+                    top[max(p, q)] = min(p, q)
+                    a.append(x)
+                    b.append(y)
+    return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
 
 
 def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -138,6 +138,25 @@ def test_simhash(spark, texts):
     assert len(kept) == len(set(kept)) and 195 not in kept
 
 
+def test_dense_lists_give_forests():
+    rng = np.random.default_rng(1)
+    dense = np.unique(rng.integers(0, 1 << 16, 8192).astype(np.uint64))
+    a, b = simhash.probed_links(dense, (1 << 24) - 1)
+    assert 0 < len(a) < len(dense) and (np.bitwise_count(a ^ b) <= 3).all()
+    sparse = np.unique(rng.integers(0, 1 << 20, 300).astype(np.uint64))
+    links = [(x, y) for x in sparse.tolist() for y in sparse.tolist() if x < y and (x ^ y).bit_count() <= 3]
+
+    def parts(pairs):
+        top = {x: x for x in sparse.tolist()}
+        for _ in range(len(top)):
+            for x, y in pairs:
+                top[x] = top[y] = min(top[x], top[y])
+        return top
+
+    forest = list(zip(*(x.tolist() for x in simhash.probed_links(sparse, (1 << 24) - 1))))
+    assert parts(forest) == parts(links) and len(forest) == len(sparse) - len(set(parts(links).values()))
+
+
 def test_rows_without_or_with_repeated_ids_are_judged_apart(spark):
     rng = random.Random(15)
     make = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(40))
