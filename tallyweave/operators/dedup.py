@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import relation_id
 from ..plans.rules import DUPLICATE_LAYERS, Rule
+from .rangejoin import HOUR_NS, floor_div
 
 KEYS = {
     "exact_key": ("source_id", "external_id"),
@@ -60,10 +61,19 @@ def without_excluded(records: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def suspected(records: DataFrame, window_ns: int) -> DataFrame:
-    """Extension: neighbours of one source with equal amount and currency at most ``window_ns`` apart, as (record_id, previous_id)."""
-    w = Window.partitionBy("source_id", "currency", "amount_minor").orderBy("ts_ns", "stable_key", "source_line", "batch_ord", "record_id")
-    x = records.withColumns({"previous_id": F.lag("record_id").over(w), "_t": F.lag("ts_ns").over(w)})
-    return x.where(F.col("ts_ns") - F.col("_t") <= window_ns).select("record_id", "previous_id")
+    """Extension: neighbours of one source with equal amount and currency at most ``window_ns`` apart, as (record_id, previous_id).
+
+    Neighbours are found within cells of time, so that a very common amount is spread over tasks;
+    the first of a cell looks back at the last of the cell before, a row a cell.
+    """
+    keys, order = ["source_id", "currency", "amount_minor"], ["ts_ns", "stable_key", "source_line", "batch_ord", "record_id"]
+    x = records.select(*keys, *order, floor_div(F.col("ts_ns"), max(64 * window_ns, HOUR_NS)).alias("_cell"))
+    this = F.struct("record_id", "ts_ns")
+    ends = x.groupBy(*keys, "_cell").agg(F.max_by(this, F.struct(*order)).alias("_end"))
+    before = ends.select(*keys, "_cell", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_cell")).alias("_before"))
+    within = Window.partitionBy(*keys, "_cell").orderBy(*order)
+    found = x.withColumn("_last", F.lag(this).over(within)).join(before, [*keys, "_cell"]).withColumn("_last", F.coalesce("_last", "_before"))
+    return found.where(F.col("ts_ns") - F.col("_last.ts_ns") <= window_ns).select("record_id", F.col("_last.record_id").alias("previous_id"))
 
 
 def retransmits(own: DataFrame, earlier: DataFrame) -> DataFrame:
