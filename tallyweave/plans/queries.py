@@ -519,6 +519,19 @@ def stream_without_retransmits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(target)
 
 
+@query
+def stream_closing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-id groups out of a stream of shuffled records, closed by the watermark; one record far in the future closes all others."""
+    path, target = shared_path(spark), shared_path(spark)
+    p = payments.payments(spark, sf_dir)
+    last = p.where("business_id <> ''").orderBy("record_id").limit(1).withColumns({"ts_ns": F.lit(4_000_000_000_000_000_000).cast("long"), "business_id": F.lit("the end")})
+    p.orderBy(F.xxhash64("record_id")).write.parquet(path)
+    last.write.mode("append").parquet(path)
+    groups = arrivals.closing_groups(spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path), WINDOW, "20000 days")
+    groups.writeStream.option("checkpointLocation", shared_path(spark)).trigger(availableNow=True).start(target, format="parquet").awaitTermination()
+    return spark.read.parquet(target).select("currency", "business_id", "type", _joined("record_ids"), "amount_minor")
+
+
 @query
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal and processor records as two streams, joined on business id within the window under watermarks."""
@@ -715,6 +728,11 @@ ORACLE_SQL |= {
 with x as (select *, cast(round(o_totalprice * 100) as bigint) as m, row_number() over (partition by o_orderkey % 8 order by o_orderkey) as source_line from orders)
 select source_line, case when o_orderkey % 11 = 0 then '' else 'REF' || o_orderkey end as external_id, case when o_orderkey % 11 = 0 then '' else 'BIZ' || o_orderkey end as business_id, case when o_orderkey % 11 = 0 then 0 else m end as amount_minor, 'EUR' as currency, epoch_us(o_orderdate) * 1000 as ts_ns,
   case when o_orderkey % 11 = 0 then '' when o_orderkey % 3 = 0 then 'one "' || o_orderkey || '",' || chr(13) || chr(10) || 'two' || chr(10) || chr(10) || 'three' else 'plain' end as memo, case when o_orderkey % 11 = 0 then 'amount' end as field from x""",
+    "stream_closing_groups": _SQL_PAY
+    + """,
+firsts as (select *, row_number() over (partition by currency, business_id, role order by stable_key, source_line, batch_ord, record_id) as rn from pay where business_id <> '')
+select currency, business_id, case when count(*) > 1 then 'exact_id' when min(role) = 'processor' then 'missing_internal' else 'missing_processor' end as type, string_agg(record_id, ',' order by record_id) as record_ids, min_by(amount_minor, role_rank) as amount_minor
+from firsts where rn = 1 group by 1, 2""",
     "stream_arrivals_twice": "select 'EXT' || o_orderkey as external_id, 1::bigint as n, cast(round(o_totalprice * 100) as bigint) as amount_minor, epoch_us(o_orderdate) * 1000 as ts_ns from orders",
     "stream_without_retransmits": _SQL_PAY + " select record_id, source_id, amount_minor from (select *, row_number() over (partition by source_id, external_id, content_hash order by source_line) as rn from pay) where rn = 1",
     "csv_feed_errors": _SQL_FEED + " select field, code, count(*) as n, sum(value_chars)::bigint as value_chars from cells where field is not null group by 1, 2",

@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.operators.matching import exact_id_groups
 from tallyweave.sources import csvscan, feeds
-from tallyweave.streaming.arrivals import ingest_stream
+from tallyweave.streaming.arrivals import CLOSED, closing_groups, ingest_stream
+from test_units import S, records
 
 HEADER = "a,b,a\n"
 
@@ -135,6 +137,19 @@ def test_two_checkpoints_keep_both_and_redelivery_adds_nothing(spark, tmp_path):
     assert [e for e, _ in run("two", "c2")] == ["one", "three", "two"]
 
 
+def test_groups_close_when_their_time_is_over(spark, tmp_path):
+    rows = [("internal", "I1", "A", 10, 5), ("bank", "B1", "A", 12, 6), ("bank", "B0", "A", 13, 7), ("processor", "P1", "C", 1, 8), ("internal", "I2", "", 1, 8), ("bank", "B9", "end", 1, 10**6)]
+    frame = records(spark, rows).withColumn("isolated", F.lit(False))
+    for k in (3, 0, 2, 1, 4, 5):  # a file each, in this order
+        frame.where(F.col("external_id") == rows[k][1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    closing_groups(stream, 60 * S, "100 seconds").writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination(120)
+    got = {(r.business_id, r.type, len(r.record_ids), r.amount_minor) for r in spark.read.schema(CLOSED).parquet(str(tmp_path / "out")).collect()}
+    assert got == {("A", "exact_id", 2, 10), ("C", "missing_internal", 1, 1)}
+    want = exact_id_groups(frame).collect()
+    assert [sorted(r.record_ids) for r in want] == [r.record_ids for r in spark.read.parquet(str(tmp_path / "out")).where("type = 'exact_id'").collect()]
+
+
 def test_ndjson_arrives_too(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
