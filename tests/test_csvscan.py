@@ -139,7 +139,7 @@ def test_two_checkpoints_keep_both_and_redelivery_adds_nothing(spark, tmp_path):
 
 def test_groups_close_when_their_time_is_over(spark, tmp_path):
     rows = [("internal", "I1", "A", 10, 5), ("bank", "B1", "A", 12, 6), ("bank", "B0", "A", 13, 7), ("processor", "P1", "C", 1, 8), ("internal", "I2", "", 1, 8), ("bank", "B9", "end", 1, 10**6)]
-    frame = records(spark, rows).withColumn("isolated", F.lit(False))
+    frame = records(spark, [(*x[:4], x[4] * S) for x in rows]).withColumn("isolated", F.lit(False))
     for k in (3, 0, 2, 1, 4, 5):  # a file each, in this order
         frame.where(F.col("external_id") == rows[k][1]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
