@@ -155,8 +155,8 @@ def nearest_amount(asking: DataFrame, others: DataFrame, window_ns: int, slice_r
     window = F.lit(window_ns).cast("long")
     own = asking.groupBy("record_id").agg(*[F.min(c).alias(c) for c in ("currency", "role", "ts_ns", "amount_minor")])
     spread = own.select("*", time_bucket(F.col("ts_ns"), window_ns).alias("at"), F.explode(steps).alias("step")).withColumn("bucket", F.col("at") + F.col("step"))
-    roles = others.select(F.col("role").alias("found")).distinct()
-    spread = cut(spread.join(F.broadcast(roles), F.col("role") != F.col("found")))  # a row a role
+    roles = [F.lit(r.role) for r in others.select("role").where("role is not null").distinct().collect()]  # a row a role
+    spread = cut(spread.withColumn("found", F.explode(F.filter(F.array(*roles).cast("array<string>"), lambda r: r != F.col("role")))))
     sides = F.explode(F.array(F.lit(0), F.lit(1)))
     value = lambda c: F.when(F.col("side") == 0, F.col(c)).otherwise(F.bitwise_not(F.col(c)))
     questions = spread.select(F.col("record_id").alias("asker"), "currency", F.col("found").alias("role"), "bucket", (F.col("ts_ns") - window).alias("since"), (F.col("ts_ns") + window).alias("until"), "amount_minor", sides.alias("side"))
