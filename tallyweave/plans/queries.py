@@ -171,6 +171,13 @@ def search_limit_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("discrepancy_id", "type", _joined("record_ids"), "note")
 
 
+@query
+def shared_anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-to-many groups of a run of two rules, where each order's two anchors want members that the first may have taken."""
+    g = engine.reconcile(payments.settlements(spark, sf_dir, shared=True), [LINES_RULE, DEFAULT_RULE]).groups.where("type = 'one_to_many'")
+    return g.select("match_group_id", "amount_minor", _joined("record_ids"))
+
+
 @query
 def time_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time line of each currency cut at gaps of over two minutes."""
@@ -788,3 +795,22 @@ ORACLE_SQL["report_csv_file"] = (
     + " union all select 'discrepancy_id,type,currency,note,evidence_record_ids,sort_key'"
     + " union all select '# summary matched=' || (select count(*) from matched) || ' matched_amount_minor=' || (select sum(amount_minor) from matched) || ' discrepancies=' || (select count(*) from disc) || ' rule_revision=1'"
 )
+
+ORACLE_SQL["shared_anchor_groups"] = (
+    _SQL_LINES[: _SQL_LINES.index("raw as (")]
+    + """raw as (
+  select 'processor' as role, k, rn, 'LIN' || k || '-' || lpad(rn::varchar, 2, '0') as external_id, v as amount_minor, k * 3600000000000 + rn * 1000000000 as ts_ns, k * 100 + rn as source_line from lines
+  union all select 'bank', k, 0, 'SETA' || k, sum(v) filter (rn <= 2), k * 3600000000000, k * 100 from lines group by k
+  union all select 'bank', k, 99, 'SETB' || k, coalesce(sum(v) filter (rn between 3 - k % 2 and 4 - k % 2), 0), k * 3600000000000, k * 100 + 99 from lines group by k),
+"""
+    + _SQL_LINES[_SQL_LINES.index("recs as materialized") : _SQL_LINES.index("a as (select")]
+    + """sizes as (select k, count(*) as n from m group by k),
+"""
+    + _SQL_LINES[_SQL_LINES.index("subsets as materialized") : _SQL_LINES.index("valid as (")].rstrip().rstrip(",")
+    + """,
+anchors as (select k, rn, record_id, amount_minor as want from recs where role = 'bank'),
+one as (select s.k, s.members, a.record_id, a.want, row_number() over (partition by s.k order by place) as r from numbered s join anchors a on a.k = s.k and a.rn = 0 where abs(a.want - s.total) <= 1),
+two as (select s.k, s.members, a.record_id, a.want, row_number() over (partition by s.k order by place) as r from numbered s join anchors a on a.k = s.k and a.rn = 99 left join one o on o.k = s.k and o.r = 1 where abs(a.want - s.total) <= 1 and not list_has_any(s.members, coalesce(o.members, []))),
+won as (select list_sort(list_append(members, record_id)) as ids, want from one where r = 1 union all select list_sort(list_append(members, record_id)), want from two where r = 1)
+select 'mg_' || substr(sha256(array_to_string(ids, chr(10)) || chr(10)), 1, 16) as match_group_id, want::bigint as amount_minor, array_to_string(ids, ',') as record_ids from won"""
+)

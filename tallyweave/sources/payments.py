@@ -69,8 +69,11 @@ def resent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unionByName(again)
 
 
-def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bank record for each order over the sum of its first three lines, and a processor record for each line."""
+def settlements(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataFrame:
+    """A bank record for each order over the sum of its first three lines, and a processor record for each line.
+
+    With ``shared`` two bank records an order: over its first two lines, and over the next two or, for odd orders, the second and third.
+    """
     from pyspark.sql import Window
 
     li = table(spark, sf_dir, "lineitem")
@@ -79,6 +82,12 @@ def settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.lit(3600 * SECOND).cast("long")
     common = {"business_id": F.lit(""), "fee_minor": F.lit(0).cast("long"), "currency": F.lit("USD")}
     members = lines.select(F.lit("processor").alias("role"), F.concat(F.lit("LIN"), F.col("k").cast("string"), F.lit("-"), F.lpad(F.col("rn").cast("string"), 2, "0")).alias("external_id"), F.col("v").alias("amount_minor"), (F.col("k") * hour + F.col("rn") * SECOND).alias("ts_ns"), (F.col("k") * 100 + F.col("rn")).alias("source_line"))
+    if shared:
+        first = F.sum(F.when(F.col("rn") <= 2, F.col("v"))).alias("a")
+        second = F.sum(F.when(F.col("rn").between(3 - F.col("k") % 2, 4 - F.col("k") % 2), F.col("v"))).alias("b")
+        pairs = lines.groupBy("k").agg(first, F.coalesce(second, F.lit(0)).alias("b")).select("k", F.explode(F.array(F.struct(F.lit("SETA").alias("name"), F.col("a").alias("v"), F.lit(0).alias("at")), F.struct(F.lit("SETB").alias("name"), F.col("b").alias("v"), F.lit(99).alias("at")))).alias("s"))
+        anchors = pairs.select(F.lit("bank").alias("role"), F.concat("s.name", F.col("k").cast("string")).alias("external_id"), F.col("s.v").alias("amount_minor"), (F.col("k") * hour).alias("ts_ns"), (F.col("k") * 100 + F.col("s.at")).alias("source_line"))
+        return _records(members.unionByName(anchors).withColumns(common))
     anchors = lines.groupBy("k").agg(F.sum(F.when(F.col("rn") <= 3, F.col("v"))).alias("amount_minor")).select(F.lit("bank").alias("role"), F.concat(F.lit("SET"), F.col("k").cast("string")).alias("external_id"), "amount_minor", (F.col("k") * hour).alias("ts_ns"), (F.col("k") * 100).alias("source_line"))
     return _records(members.unionByName(anchors).withColumns(common))
 
