@@ -361,6 +361,36 @@ def test_passages_of_parts_seen_earlier(spark):
     assert wanted <= found_pairs(spark, rows)
 
 
+@pytest.mark.parametrize("size,share,parts", [(100, 0.05, 1), (100, 0.1, 1), (52, 0.0, 2)])
+def test_recall_where_parts_stand_first_elsewhere(spark, size, share, parts):
+    """Halves in a document each, or all but five words in two documents, before the two holders of the whole."""
+    rng = random.Random(size + parts)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    make = lambda n: [word() for _ in range(n)]
+    rows, want = [], set()
+    for i in range(0, 800, 4):
+        passage = make(size)
+        edited = [word() if rng.random() < share else w for w in passage]
+        first = (passage[: size // 2], passage[size // 2 :]) if parts == 1 else (passage[:47], passage[5:])
+        texts = [make(20) + first[0] + make(20), make(9) + first[1] + make(9), make(20) + passage + make(7), make(5) + edited + make(30)]
+        rows += [(i + k, " ".join(t)) for k, t in enumerate(texts)]
+        if holds_window([x == y for x, y in zip(passage, edited)]):
+            want.add((i + 3, i + 2))
+    assert len(want) >= 190 and len(found_pairs(spark, rows) & want) >= 0.95 * len(want)
+
+
+def test_holders_before_against_plain_python():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 7, 300):
+        key, doc = rng.integers(0, 20, n), rng.integers(0, 9, n)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        got = passages._holder_before(key, doc, np.full(n, -7))
+        for i in range(n):
+            earlier = [j for j in range(n) if key[j] == key[i] and doc[j] < doc[i]]
+            assert got[i] == (max(earlier) if earlier else -7)
+
+
 def test_passages_of_repeated_lines(spark):
     rng = random.Random(14)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
