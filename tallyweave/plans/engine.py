@@ -22,42 +22,66 @@ class Result:
     records: DataFrame
 
 
-def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False) -> Result:
-    """Run all rules over ``records`` (``schema.RECORD_COLUMNS``).
+@dataclass
+class Matched:
+    """What the phases of matching gave, and what they left free of the active records."""
+
+    groups: list[DataFrame]
+    discrepancies: list[DataFrame]
+    duplicates: DataFrame
+    active: DataFrame
+    free: DataFrame
+
+
+def union(parts: list[DataFrame]) -> DataFrame | None:
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def match(records: DataFrame, rules: list[Rule]) -> Matched:
+    """Duplicates and the phases of all rules over written ``records``.
 
     The loop over rules runs on the driver, since rules are few and each sees what the ones
-    before it left; all work on records is Spark's. ``emit_invalid`` also reports isolated rows.
+    before it left; all work on records is Spark's.
     """
-    records = cut(records)
     duplicates = cut(dedup.detect(records, rules[0] if rules else None))
     active = cut(dedup.without_excluded(records.where(~F.col("isolated")), duplicates))
-    free, groups, discrepancies = active, [], []
+    out = Matched([], [], duplicates, active, active)
     claimed: list[DataFrame] = []
 
     def commit(g: DataFrame | None, d: DataFrame | None) -> None:
         """Write the results of a phase; what they claim is read off them, and records themselves are never written again."""
-        nonlocal free
         if g is not None:
-            groups.append(cut(g))
-            claimed.append(groups[-1].select(F.explode("record_ids").alias("record_id")))
+            out.groups.append(cut(g))
+            claimed.append(out.groups[-1].select(F.explode("record_ids").alias("record_id")))
         if d is not None:
-            discrepancies.append(cut(d))
-            claimed.append(discrepancies[-1].select(F.col("record_ids")[0].alias("record_id")))
-        free = active.join(reduce(DataFrame.union, claimed), "record_id", "left_anti")
+            out.discrepancies.append(cut(d))
+            claimed.append(out.discrepancies[-1].select(F.col("record_ids")[0].alias("record_id")))
+        out.free = active.join(reduce(DataFrame.union, claimed), "record_id", "left_anti")
 
     for rule in rules:
         allowed = F.col("role").isin(*rule.allowed_roles)
-        commit(matching.exact_id_groups(free.where(allowed)), None)
+        commit(matching.exact_id_groups(out.free.where(allowed)), None)
         if rule.one_to_many:
-            commit(*matching.one_to_many(free.where(allowed), rule))
-        commit(*matching.tolerance_phase(free.where(allowed), rule))
-    discrepancies.append(cut(matching.classify(free, active, rules)))
+            commit(*matching.one_to_many(out.free.where(allowed), rule))
+        commit(*matching.tolerance_phase(out.free.where(allowed), rule))
+    return out
+
+
+def invalid_records(records: DataFrame) -> DataFrame:
+    """Isolated rows as discrepancies."""
+    bad = records.where("isolated").select(F.lit("invalid_record").alias("type"), "currency", F.array("record_id").alias("record_ids"), F.array().cast("array<string>").alias("candidate_ids"), F.array().cast("array<bigint>").alias("score_tuple"), F.col("invalid_reason").alias("note"))
+    return bad.withColumn("discrepancy_id", ids.discrepancy_id(F.col("type"), F.col("record_ids"))).select(*matching.DISC_COLUMNS)
+
+
+def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False) -> Result:
+    """Run all rules over ``records`` (``schema.RECORD_COLUMNS``); ``emit_invalid`` also reports isolated rows."""
+    records = cut(records)
+    m = match(records, rules)
+    discrepancies = [*m.discrepancies, cut(matching.classify(m.free, m.active, rules))]
     if emit_invalid:
-        bad = records.where("isolated").select(F.lit("invalid_record").alias("type"), "currency", F.array("record_id").alias("record_ids"), F.array().cast("array<string>").alias("candidate_ids"), F.array().cast("array<bigint>").alias("score_tuple"), F.col("invalid_reason").alias("note"))
-        discrepancies.append(bad.withColumn("discrepancy_id", ids.discrepancy_id(F.col("type"), F.col("record_ids"))).select(*matching.DISC_COLUMNS))
-    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
-    all_groups = union(groups)
-    if all_groups is None:
-        all_groups = matching.exact_id_groups(active.where("false"))
-    seen = active.unionByName(records.where("isolated")) if emit_invalid else active
-    return Result(all_groups, union(discrepancies), duplicates, seen)
+        discrepancies.append(invalid_records(records))
+    groups = union(m.groups)
+    if groups is None:
+        groups = matching.exact_id_groups(m.active.where("false"))
+    seen = m.active.unionByName(records.where("isolated")) if emit_invalid else m.active
+    return Result(groups, union(discrepancies), m.duplicates, seen)

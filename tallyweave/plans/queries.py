@@ -14,6 +14,7 @@ from ..operators.rangejoin import islands
 from ..sources import feeds, payments
 from ..streaming import arrivals
 from . import engine
+from . import late as late_run
 from .rules import DEFAULT_RULE, OneToMany, Rule, Tolerance
 
 WINDOW = DEFAULT_RULE.window_ns
@@ -613,6 +614,17 @@ def two_rule_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("match_group_id", "type", "currency", "amount_minor", _joined("record_ids"))
 
 
+@query
+def late_batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and discrepancies after a late batch, out of the run before it: every fortieth order's records and some processor records of others come late."""
+    p = payments.payments(spark, sf_dir).withColumn("late", F.expr("source_line div 4 % 40 = 7 or role = 'processor' and source_line div 4 % 37 = 3"))
+    p = cut(p)
+    early, late = (p.where(c).drop("late") for c in ("not late", "late"))
+    r = late_run.late_batch(engine.reconcile(early, [DEFAULT_RULE]), early, late, [DEFAULT_RULE])
+    groups = r.groups.select(F.col("match_group_id").alias("id"), "type", "currency", _joined("record_ids"))
+    return groups.unionByName(r.discrepancies.select(F.col("discrepancy_id").alias("id"), "type", "currency", _joined("record_ids")))
+
+
 @query
 def invalid_record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolated rows of an NDJSON feed as discrepancies with their evidence."""
@@ -796,6 +808,13 @@ ORACLE_SQL["report_csv_file"] = (
     + " union all select '# summary matched=' || (select count(*) from matched) || ' matched_amount_minor=' || (select sum(amount_minor) from matched) || ' discrepancies=' || (select count(*) from disc) || ' rule_revision=1'"
 )
 
+ORACLE_SQL["late_batch_results"] = (
+    _SQL_DISC
+    + " select match_group_id as id, 'exact_id' as type, currency, record_ids from exact"
+    + f" union all select {_sql_group(_SQL_PAIR_IDS.format('a_record_id', 'b_record_id'))}, 'tolerance', currency, {_SQL_PAIR_IDS.format('a_record_id', 'b_record_id')} from won"
+    + " union all select discrepancy_id, type, currency, record_ids from disc"
+)
+
 ORACLE_SQL["shared_anchor_groups"] = (
     _SQL_LINES[: _SQL_LINES.index("raw as (")]
     + """raw as (
