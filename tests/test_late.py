@@ -28,7 +28,7 @@ def frame(spark, n, seed):
     for i in range(n):
         role = rng.choice(ROLES)
         # ids and contents repeat, so that duplicates, ambiguous records and changed canonical ones occur
-        flat.append((role, role, f"E{rng.randint(0, 2 * n)}", rng.choice(["", "", f"B{rng.randint(0, n)}"]), rng.randint(1, 400), rng.choice([0, 0, 1]), rng.choice(["USD", "EUR"]), rng.randint(0, 40 * n) * S, i, f"b{rng.randint(0, 2)}", rng.random() < 0.03))
+        flat.append((role, role, f"E{rng.randint(0, n)}", rng.choice(["", "", f"B{rng.randint(0, n // 2)}"]), rng.randint(1, 400), rng.choice([0, 0, 1]), rng.choice(["USD", "EUR"]), rng.randint(0, 12 * n) * S, i, f"b{rng.randint(0, 2)}", rng.random() < 0.03))
     df = spark.createDataFrame(flat, "role string, source_id string, external_id string, business_id string, amount_minor long, fee_minor long, currency string, ts_ns long, source_line long, batch_id string, isolated boolean")
     fixed = {"batch_ord": F.lit(0), "direction": F.lit(""), "counterparty": F.lit(""), "memo": F.lit(""), "invalid_reason": F.when(F.col("isolated"), "amount: missing").otherwise(""), "timestamp_raw": F.col("ts_ns").cast("string"), "role_rank": role_rank(F.col("role")), "scale": F.lit(2)}
     return cut(with_identity(df.withColumns(fixed)).select([F.col(c).cast(t).alias(c) for c, t in RECORD_COLUMNS.items()]))
@@ -40,7 +40,7 @@ def rows(result):
 
 @pytest.mark.parametrize("kind,seed", [(k, i) for i, k in enumerate(RULES)])
 def test_late_batch_equals_a_full_run(spark, kind, seed):
-    rules, everything = RULES[kind], frame(spark, 160, seed)
+    rules, everything = RULES[kind], frame(spark, 260, seed)
     is_late = F.col("source_line") % 9 == 4
     early, after = everything.where(~is_late), everything.where(is_late)
     before = engine.reconcile(early, rules, emit_invalid=True)
