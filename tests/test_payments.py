@@ -34,3 +34,14 @@ def test_orders_keep_apart(spark, large_keys):
     places = sorted(at.values())
     assert all(a[0] != b[0] or b[1] - a[1] > 1_200_000_000_000 for a, b in zip(places, places[1:]))
     assert at[32_562_047][0] != "USD"
+
+
+def test_islands_that_begin_with_ties(spark, tmp_path):
+    """Orders of one time and currency at both ends of a gap. Which of them a row-wise sum meets first is left to chance, so the SQL must take peers together."""
+    duckdb.sql(f"copy (select k::bigint as o_orderkey, (k % 2)::bigint as o_custkey, 'O' as o_orderstatus, (1000 + k)::double as o_totalprice, timestamp '2000-01-01' as o_orderdate, '' as o_orderpriority from (select 86400 * r + 150 * s as k from range(200) a(r), range(3) b(s))) to '{tmp_path}/orders.parquet' (format parquet)")
+    sql = queries.ORACLE_SQL["time_islands"]
+    got = queries.QUERIES["time_islands"](spark, str(tmp_path)).select("currency", "first_ns", "last_ns", "n_records").collect()
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(sql).fetchall())
+    assert "range unbounded preceding" in sql and "rows unbounded preceding" not in sql
