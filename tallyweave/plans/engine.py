@@ -44,23 +44,20 @@ def match(records: DataFrame, rules: list[Rule]) -> Matched:
     before it left; all work on records is Spark's.
     """
     duplicates = cut(dedup.detect(records, rules[0] if rules else None))
-    active = cut(dedup.without_excluded(records.where(~F.col("isolated")), duplicates))
+    active = dedup.without_excluded(records.where(~F.col("isolated")), duplicates)
     out = Matched([], [], duplicates, active, active)
-    claimed: list[DataFrame] = []
 
-    def commit(g: DataFrame | None, d: DataFrame | None) -> None:
+    def commit(g: DataFrame, d: DataFrame) -> None:
         """Write the results of a phase; what they claim is read off them, and records themselves are never written again."""
-        if g is not None:
-            out.groups.append(cut(g))
-            claimed.append(out.groups[-1].select(F.explode("record_ids").alias("record_id")))
-        if d is not None:
-            out.discrepancies.append(cut(d))
-            claimed.append(out.discrepancies[-1].select(F.col("record_ids")[0].alias("record_id")))
-        out.free = active.join(reduce(DataFrame.union, claimed), "record_id", "left_anti")
+        out.groups.append(cut(g))
+        out.discrepancies.append(cut(d))
+        claimed = out.groups[-1].select(F.explode("record_ids").alias("record_id")).union(out.discrepancies[-1].select(F.col("record_ids")[0]))
+        out.free = out.free.join(claimed, "record_id", "left_anti")
 
     for rule in rules:
         allowed = F.col("role").isin(*rule.allowed_roles)
-        commit(matching.exact_id_groups(out.free.where(allowed)), None)
+        out.groups.append(cut(matching.exact_id_groups(out.free.where(allowed))))
+        out.free = matching.without_exact(out.free, out.groups[-1].select(F.explode("record_ids").alias("record_id")), allowed)
         if rule.one_to_many:
             commit(*matching.one_to_many(out.free.where(allowed), rule))
         commit(*matching.tolerance_phase(out.free.where(allowed), rule))
