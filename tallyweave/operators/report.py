@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money, timeparse
+from ..functions.lineage import among
 from ..plans.engine import Result
 
 
@@ -25,7 +26,8 @@ def evidence_ids() -> Column:
 def evidence_rows(result: Result) -> DataFrame:
     """One row for each piece of evidence: the discrepancy's columns, place and the record's attributes."""
     rows = result.discrepancies.select("*", F.posexplode(evidence_ids()).alias("place", "record_id"))
-    seen = result.records.select("record_id", "role", "amount_minor", "scale", "ts_ns", "timestamp_raw", "external_id", "stable_key").dropDuplicates(["record_id"])
+    seen = among(result.records, rows.select("record_id").distinct())
+    seen = seen.select("record_id", "role", "amount_minor", "scale", "ts_ns", "timestamp_raw", "external_id", "stable_key").dropDuplicates(["record_id"])
     return rows.join(seen, "record_id", "left")
 
 

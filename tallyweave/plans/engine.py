@@ -56,8 +56,9 @@ def match(records: DataFrame, rules: list[Rule]) -> Matched:
 
     for rule in rules:
         allowed = F.col("role").isin(*rule.allowed_roles)
-        out.groups.append(cut(matching.exact_id_groups(out.free.where(allowed))))
-        out.free = matching.without_exact(out.free, out.groups[-1].select(F.explode("record_ids").alias("record_id")), allowed)
+        groups, left = matching.exact_id_phase(out.free.where(allowed))
+        out.groups.append(groups)
+        out.free = matching.without_exact(out.free, groups.select(F.explode("record_ids").alias("record_id")), allowed, left)
         if rule.one_to_many:
             commit(*matching.one_to_many(out.free.where(allowed), rule))
         commit(*matching.tolerance_phase(out.free.where(allowed), rule))
