@@ -668,8 +668,9 @@ def changed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs between a batch and the same batch with some amounts corrected and some records gone, found by digests."""
     p = payments.payments(spark, sf_dir)
     later = p.where("source_line % 997 <> 0").withColumn("amount_minor", F.when(F.col("source_line") % 499 == 0, F.col("amount_minor") + 1).otherwise(F.col("amount_minor")))
-    of = lambda x: x.select("batch_id", F.col("record_id").alias("id"))
-    return merkle.differences(of(p), of(ids.with_identity(later)), ["batch_id"], 2)
+    of = lambda x: cut(x.select("batch_id", F.col("record_id").alias("id")))
+    before, after = of(p), of(ids.with_identity(later))
+    return merkle.differences(before, after, ["batch_id"], merkle.leaf_depth(before.count()))
 
 
 _SQL_FEED = """

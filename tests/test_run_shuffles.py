@@ -43,3 +43,17 @@ def test_exact_groups_of_crowded_ids(spark, monkeypatch):
     monkeypatch.setattr(lineage, "FEW_KEYS", 0)
     groups, left = matching.exact_id_phase(frame)
     assert [r.record_ids for r in groups.collect()] == [["r1", "r2"]] and left is None
+
+
+def test_changed_records_go_by_leaves_of_bounded_size(spark, monkeypatch):
+    """The trees are as deep as the number of ids asks for, and ids are derived once."""
+    from oracle import DATA
+
+    from tallyweave.operators import merkle
+    from tallyweave.plans import queries
+
+    seen = []
+    monkeypatch.setattr(queries.merkle, "differences", lambda a, b, keys, depth: seen.append((a, b, depth)) or a)
+    queries.changed_records(spark, DATA)
+    ((a, b, depth),) = seen
+    assert depth == merkle.leaf_depth(a.count()) and all(x.inputFiles() and "tallyweave-" in x.inputFiles()[0] for x in (a, b))
