@@ -103,7 +103,7 @@ def settlements(spark: SparkSession, sf_dir: str, shared: bool = False) -> DataF
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, line, value): a JSON object for each event, parsed as a feed's NDJSON would be."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     text = F.to_json(
         F.struct(
             F.concat(F.lit("EVT"), F.col("event_id").cast("string")).alias("external_id"),

@@ -395,3 +395,24 @@ def test_members_between_anchors_do_not_chain_them(spark):
     rule = Rule("m", ("bank", "processor"), Tolerance(0), Tolerance(), 20 * S, {}, OneToMany("bank", "processor", 2), 10_000)
     groups, limits = matching.one_to_many(records(spark, rows), rule)
     assert groups.count() == 6 and limits.count() == 0
+
+
+def test_time_mismatch_of_one_common_amount(spark):
+    rng = random.Random(41)
+    rule = Rule("c", ("internal", "processor", "bank"), Tolerance(2), Tolerance(1), S)
+    rows = [("internal", f"E{i}", "", rng.choice([1, 2, 3, 5]), rng.randint(0, 9999) * 7000 * S, rng.choice([0, 1, 2]), None, rng.randint(1, 9) * 1000 + i) for i in range(80)]
+    rows += [(rng.choice(["processor", "bank"]), f"F{i}", "", rng.choice([1, 4, 6, 9]), rng.randint(0, 9999) * 7000 * S, rng.choice([0, 1, 3]), None, rng.randint(1, 9) * 1000 + i) for i in range(60)]
+    both = records(spark, rows)
+    amount, fee = (F.abs(F.col(f"l_{c}") - F.col(f"r_{c}")) for c in ("amount_minor", "fee_minor"))
+    pairs = matching._amount_aligned(both, both, rule, (amount <= 2) & (fee <= 1)).collect()
+    key = lambda p: (abs(p.l_ts_ns - p.r_ts_ns), p.r_source_id, p.r_source_line, p.r_batch_ord, p.r_record_id)
+    got = {}
+    for p in pairs:
+        got[p.l_record_id] = min(got.get(p.l_record_id, key(p)), key(p))
+    flat = both.collect()
+    near = {a.record_id: [(abs(a.ts_ns - b.ts_ns), b.source_id, b.source_line, b.batch_ord, b.record_id) for b in flat if b.role != a.role and abs(a.amount_minor - b.amount_minor) <= 2 and abs(a.fee_minor - b.fee_minor) <= 1] for a in flat}
+    assert got == {a: min(n) for a, n in near.items() if n}
+    # two neighbours of each role, amount and fee at most, however many records have them
+    assert len(pairs) <= 2 * 2 * 4 * 3 * len(flat) and all(p.l_role != p.r_role for p in pairs)
+    many = records(spark, [(r, f"G{r}{i}", "", 7, i * 7000 * S, 0, None, i) for r in ("internal", "processor") for i in range(300)])
+    assert matching._amount_aligned(many, many, rule, (amount <= 2) & (fee <= 1)).count() <= 2 * 600
