@@ -379,6 +379,44 @@ def test_recall_where_parts_stand_first_elsewhere(spark, size, share, parts):
     assert len(want) >= 190 and len(found_pairs(spark, rows) & want) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("size,share", [(60, 0.0), (100, 0.05), (100, 0.1)])
+def test_recall_where_parts_stand_first_and_last_elsewhere(spark, size, share):
+    """Halves in a document each, the whole, the halves again three times in pieces of other places, then the whole once more."""
+    rng = random.Random(7 * size)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    make = lambda n: [word() for _ in range(n)]
+    rows, want = [], set()
+    for i in range(0, 1600, 8):
+        passage = make(size)
+        edited = [word() if rng.random() < share else w for w in passage]
+        half, third = size // 2, size // 3
+        pieces = [passage[:half], passage[half:], passage, passage[:third], passage[third : 2 * third], passage[2 * third :], passage[half - 20 : half + 20], edited]
+        rows += [(i + k, " ".join(make(15) + part + make(9))) for k, part in enumerate(pieces)]
+        if holds_window([x == y for x, y in zip(passage, edited)]):
+            want.add((i + 7, i + 2))
+    found = found_pairs(spark, rows)
+    assert len(want) >= 190 and len(found & want) >= 0.95 * len(want)
+
+
+def test_all_holders_against_plain_python(spark, monkeypatch):
+    monkeypatch.setattr(passages, "LINKS_AT_ONCE", 7)
+    rng = random.Random(9)
+    rows = [(chunk, rng.randint(1, 12), 10 * chunk + rng.randint(0, 3), rng.randint(0, 99), rng.randint(0, 1)) for chunk in range(5) for _ in range(60)]
+    rows += [(9, 77, d, 0, 1) for d in range(passages.HELD + 1)]
+    packed = [b for c in {r[0] for r in rows} for b in passages._packed(c, *(np.array(x, t) for x, t in zip(list(zip(*[r for r in rows if r[0] == c]))[1:], (np.uint64, np.int64, np.int64, np.uint32))), 3, kind=passages.HOLDING)]
+    frame_ = spark.createDataFrame([tuple(r.values()) for b in packed for r in b.to_pylist()], passages.PACKED_SQL)
+    got = []
+    for r in passages._holders(frame_).collect():
+        got += [(r.chunk, *x) for x in zip(*(np.frombuffer(r[c], t).tolist() for c, t in (("doc", np.int64), ("pos", np.uint32), ("other", np.int64), ("other_pos", np.uint32), ("fresh", np.uint8))))]
+    want = []
+    for c, key, d, p, asks in rows:
+        held = [r for r in rows if r[1] == key]
+        docs = sorted({r[2] for r in held if r[2] < d})
+        if asks and len(held) <= passages.HELD:
+            want += [(c, d, p, r[2], r[3], int(r[2] not in (docs[0], docs[-1]))) for r in held if r[2] < d]
+    assert sorted(got) == sorted(want) and got
+
+
 def test_holders_before_against_plain_python():
     rng = np.random.default_rng(5)
     for n in (0, 1, 7, 300):
