@@ -19,6 +19,7 @@ from .rules import DEFAULT_RULE, OneToMany, Rule, Tolerance
 
 WINDOW = DEFAULT_RULE.window_ns
 LINES_RULE = Rule("lines", ("bank", "processor"), Tolerance(1), Tolerance(), 600_000_000_000, {}, OneToMany("bank", "processor", 3))
+FILE_ROWS = 250_000  # of a feed's file, since its digest needs the content in one row
 QUERIES = {}
 
 
@@ -437,7 +438,7 @@ def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
     )
     path = shared_path(spark)
     options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
-    rows.write.options(**options).csv(path)
+    rows.write.options(**options).option("maxRecordsPerFile", FILE_ROWS).csv(path)
     return path
 
 
@@ -509,8 +510,8 @@ def stream_arrivals_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, (first, second) = shared_path(spark), (shared_path(spark) for _ in range(2))
     k = F.col("o_orderkey")
     feed = payments.table(spark, sf_dir, "orders").select(F.concat(F.lit("EXT"), k.cast("string")).alias("external_id"), F.round("o_totalprice", 2).cast("decimal(18,2)").cast("string").alias("amount"), F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("timestamp"), (k % 5 == 0).alias("late"))
-    feed.where("not late").drop("late").write.option("header", True).csv(first)
-    feed.where("late").drop("late").write.option("header", True).csv(second)
+    feed.where("not late").drop("late").write.option("header", True).option("maxRecordsPerFile", FILE_ROWS).csv(first)
+    feed.where("late").drop("late").write.option("header", True).option("maxRecordsPerFile", FILE_ROWS).csv(second)
     for folders in ((first,), (first, second)):
         for folder in folders:
             arrivals.ingest_stream(spark, folder, _CSV_SOURCE, target, shared_path(spark), "*.csv", available_now=True).awaitTermination()

@@ -24,6 +24,7 @@ from ..functions.lineage import cut
 PIECE_BYTES = 1 << 20
 PEEK_BYTES = 1 << 20
 ROWS_AT_ONCE = 4096
+PIECES_OF_TASK = 16  # about, that are parsed in one task, however many there are
 
 # A cell and what ends it; the last group is a quote that nothing closes.
 _CELL = re.compile(r'(?:"([^"]*+(?:""[^"]*+)*+)"([^,\r\n]*+)|([^",\r\n][^,\r\n]*+|))(,|\r\n|\r|\n|\Z)|(")[\s\S]*+')
@@ -318,7 +319,7 @@ def read_csv(spark: SparkSession, path: str | list[str], columns: list[str] | No
     first = texts.join(places.where("base = 0").withColumn("header", F.lit(None).cast("array<string>")), key)
     header = _parse(first, sep, False).where("line = 0").unionByName(_joined(_parse(first.where(open_), sep, True).where("line = 0")))
     places = cut(places.join(header.select("path", F.col("cells").alias("header")), "path"))
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces.count() // PIECES_OF_TASK))
     whole = _parse(texts.repartition(count, *key).join(places, key), sep, False, columns)
     broken = _parse(texts.join(places.where(open_), key), sep, True)
     return whole.unionByName(_joined(broken.where("line > 0"), columns))

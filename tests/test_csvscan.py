@@ -157,3 +157,11 @@ def test_ndjson_arrives_too(spark, tmp_path):
     ingest_stream(spark, str(folder), feeds.Source("s", "bank", format="ndjson"), str(tmp_path / "out"), str(tmp_path / "ck"), "*.json", available_now=True).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "out")).orderBy("source_line").collect()
     assert [(r.source_line, r.external_id, r.isolated) for r in rows] == [(1, "x", False), (2, "", True)]
+
+
+def test_parse_tasks_grow_with_the_pieces(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{i},v{i}\n" for i in range(6000)))
+    got = csvscan.read_csv(spark, str(tmp_path / "a.csv"), ["y"], piece_bytes=64)
+    pieces = (tmp_path / "a.csv").stat().st_size // 64
+    assert got.rdd.getNumPartitions() >= pieces // csvscan.PIECES_OF_TASK > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.line, r.cells[0]) for r in got.collect()) == [(i + 1, f"v{i}") for i in range(6000)]
