@@ -465,19 +465,20 @@ def csv_feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of orders under other column names, with the line of every record: cells hold line breaks, so lines are counted over the splits of a file."""
     k = F.col("o_orderkey")
     amount = F.concat(F.expr("cast(round(o_totalprice * 100) as bigint) div 100").cast("string"), F.lit("."), F.lpad((F.round(F.col("o_totalprice") * 100).cast("long") % 100).cast("string"), 2, "0"))
-    rows = payments.table(spark, sf_dir, "orders").select(
-        (k % 8).alias("file"),
+    # what is sorted are keys and numbers; texts are made of them afterwards
+    sorted_ = payments.table(spark, sf_dir, "orders").select((k % 8).alias("file"), "o_orderkey", "o_totalprice", "o_orderdate").repartition(8, "file").sortWithinPartitions("file", "o_orderkey")
+    rows = sorted_.select(
+        "file",
         F.concat(F.lit("REF"), k.cast("string")).alias("Ref, No"),
         F.when(k % 3 == 0, F.concat(F.lit('one "'), k.cast("string"), F.lit('",\r\ntwo\n\nthree'))).otherwise("plain").alias("Text"),
         F.when(k % 11 == 0, "").otherwise(amount).alias("Gross"),
         F.lit("unused").alias("amount"),
         F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("Booked at"),
         F.concat(F.lit(" BIZ"), k.cast("string")).alias("Key"),
-        k.alias("order"),
     )
     path = shared_path(spark)
     options = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
-    rows.repartition(8, "file").sortWithinPartitions("file", "order").drop("order").write.partitionBy("file").options(**options).csv(path)
+    rows.write.partitionBy("file").options(**options).csv(path)
     read = feeds.read_feed(spark, path, _NAMED_SOURCE, "b")
     return read.select("source_line", "external_id", "business_id", "amount_minor", "currency", "ts_ns", "memo", F.col("error.field").alias("field"))
 

@@ -165,3 +165,20 @@ def test_parse_tasks_grow_with_the_pieces(spark, tmp_path):
     pieces = (tmp_path / "a.csv").stat().st_size // 64
     assert got.rdd.getNumPartitions() >= pieces // csvscan.PIECES_OF_TASK > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r.line, r.cells[0]) for r in got.collect()) == [(i + 1, f"v{i}") for i in range(6000)]
+
+
+def test_feed_files_sort_keys_before_texts(spark):
+    """What csv_feed_lines sorts in one task a file are keys and numbers."""
+    from tallyweave.plans import queries
+
+    widths = []
+    real = type(spark.range(1)).sortWithinPartitions
+
+    def noted(self, *columns, **named):
+        widths.append({f.dataType.simpleString() for f in self.schema.fields})
+        return real(self, *columns, **named)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(spark.range(1)), "sortWithinPartitions", noted)
+        queries.csv_feed_lines(spark, "/root/testdata/sf0.001")
+    assert widths and all("string" not in w for w in widths)
