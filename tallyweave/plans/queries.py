@@ -546,10 +546,13 @@ def stream_closing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Internal and processor records as two streams, joined on business id within the window under watermarks."""
     path, target, checkpoint = (shared_path(spark) for _ in range(3))
-    payments.payments(spark, sf_dir).where("role in ('internal', 'processor')").write.partitionBy("role").parquet(path)
+    for role in ("internal", "processor"):  # a folder each; written by partitions, all records of a task would be sorted
+        payments.payments(spark, sf_dir).where(F.col("role") == role).select("record_id", "currency", "business_id", "amount_minor", "ts_ns").write.parquet(f"{path}/role={role}")
     side = lambda role: spark.readStream.schema(spark.read.parquet(f"{path}/role={role}").schema).parquet(f"{path}/role={role}")
     pairs = arrivals.match_stream(side("internal"), side("processor"), WINDOW)
-    pairs.select("a_record_id", "b_record_id", F.abs(F.col("a_ts_ns") - F.col("b_ts_ns")).alias("time_diff_ns")).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target, format="parquet").awaitTermination()
+    with arrivals.state_on_disk(spark):
+        stream = pairs.select("a_record_id", "b_record_id", F.abs(F.col("a_ts_ns") - F.col("b_ts_ns")).alias("time_diff_ns")).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target, format="parquet")
+    stream.awaitTermination()
     return spark.read.parquet(target)
 
 

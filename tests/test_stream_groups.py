@@ -20,3 +20,17 @@ def test_far_records_of_an_id_are_groups_of_their_own(spark, tmp_path, files):
     groups.writeStream.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"), format="parquet").awaitTermination(120)
     got = {(r.business_id, r.type, len(r.record_ids), r.amount_minor) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("A", "exact_id", 2, 10), ("A", "missing_internal", 1, 11)}
+
+
+def test_state_of_a_match_is_on_disk(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+    from tallyweave.plans import queries
+    from tallyweave.streaming import arrivals
+
+    before, started, real = {k: spark.conf.get(k, None) for k in arrivals.ON_DISK}, [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(real(self, *a, **k)) or started[-1])
+    assert queries.stream_match(spark, "/root/testdata/sf0.001").count() > 0
+    states = [s for p in started[0].recentProgress for s in p["stateOperators"]]
+    assert states and any("rocksdbCommitCount" in s["customMetrics"] or any(m.startswith("rocksdb") for m in s["customMetrics"]) for s in states)
+    assert {k: spark.conf.get(k, None) for k in arrivals.ON_DISK} == before
