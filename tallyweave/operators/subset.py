@@ -1,8 +1,10 @@
 """One anchor against sums of many: the first valid subset of each anchor, anchors in turn.
 
 Anchors take members in the order of their stable keys, so anchors that can reach one member
-depend on each other. Those more than two windows apart never do: the time line falls into
-islands, and islands of few rows are whole pieces of work. Long islands are cut into cells,
+depend on each other. Those more than two windows apart never do. The time line is laid out in
+coarse ticks; ticks whose anchors are further apart than that are homes of their own, known from
+the first and last anchor of each tick, and a home of few rows is a whole piece of work: its rows move once.
+Rows of larger homes fall into islands, and islands of few rows are pieces of work too. Long islands are cut into cells,
 and all cells are worked on at once in rounds: an anchor waits if an earlier anchor that
 is still open, in its own cell or a neighbouring one, is at most two windows away. From
 round to round cells are joined two by two, shifted by half a cell, so anchors that waited at an edge
@@ -11,19 +13,23 @@ are inside a cell next, and at the latest when one cell is left all are done.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from math import comb
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from ..plans.rules import Rule, Tolerance
+from .nearest import starts_within
 from .rangejoin import floor_div, islands, last_mark
 
-CELL_ROWS = 50_000  # of a cell, and of a shard of islands, about
+CELL_ROWS = 50_000  # of a cell, a home and a shard of them, about
+TICKS = 1 << 16  # of the time line that hold anchors, at most; with their neighbours they are sent to all executors
 
 
 class LimitReached(Exception):
@@ -122,38 +128,42 @@ class Search:
         return None, False
 
 
-def _solve(rows: dict[str, list], rule: Rule) -> Iterator[tuple]:
+def _solve(rows: pa.Table, rule: Rule) -> Iterator[tuple]:
     """(kind, anchor's id, ids of members, currency, record ids, diff, amount, note) of the open anchors of some cells.
 
     Rows come in order of stable keys. ``own`` rows are of the cell itself; others are near it. Kinds: group, limit, wait.
     """
-    many, n = rule.one_to_many, len(rows["role"])
-    ts, cell, amount, fee, record = (rows[c] for c in ("ts_ns", "cell", "amount_minor", "fee_minor", "record_id"))
-    pool = sorted((i for i in range(n) if rows["role"][i] == many.many_role), key=lambda i: (cell[i], ts[i]))
-    times = [(cell[i], ts[i]) for i in pool]
+    many, column = rule.one_to_many, lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+    ts, cell, open_, own = (column(c) for c in ("ts_ns", "cell", "open", "own"))
+    amount, fee, name = (column(c).tolist() for c in ("amount_minor", "fee_minor", "id"))
+    record, currency = column("record_id"), column("currency")
+    ids = lambda at: [record[i] for i in at]
+    pool = np.flatnonzero(pc.equal(rows.column("role"), many.many_role).to_numpy(zero_copy_only=False))
+    pool = pool[np.lexsort((ts[pool], cell[pool]))]
+    anchors = np.flatnonzero(open_)
+    since, until = (starts_within(cell[pool], ts[pool], cell[anchors], ts[anchors] + d) for d in (-rule.window_ns, rule.window_ns + 1))
     waiting: list[tuple] = []
     taken: set[int] = set()
-    for a in (i for i in range(n) if rows["open"][i]):
-        at = (cell[a], ts[a])
-        if not rows["own"][a]:
-            insort(waiting, at)
+    for a, lo, hi in zip(anchors.tolist(), since.tolist(), until.tolist()):
+        if own[a] and (hi - lo < 2 or a in taken):
             continue
-        if a in taken:
+        at = (int(cell[a]), int(ts[a]))
+        if not own[a]:
+            insort(waiting, at)
             continue
         k = bisect_left(waiting, (at[0], at[1] - 2 * rule.window_ns))
         if k < len(waiting) and waiting[k] <= (at[0], at[1] + 2 * rule.window_ns):
             insort(waiting, at)
-            yield "wait", rows["id"][a], [], "", [], 0, 0, ""
+            yield "wait", name[a], [], "", [], 0, 0, ""
             continue
-        reach = pool[bisect_left(times, (at[0], at[1] - rule.window_ns)) : bisect_right(times, (at[0], at[1] + rule.window_ns))]
-        near = sorted(i for i in reach if i not in taken and i != a)
+        near = sorted(i for i in pool[lo:hi].tolist() if i not in taken and i != a)
         if len(near) < 2:
             continue
         value = amount[a]
         found, limit = Search((value, fee[a]), [amount[i] for i in near], [fee[i] for i in near], rule).run()
         if found:
             chosen = [near[i] for i in found]
-            yield "group", rows["id"][a], [rows["id"][i] for i in chosen], rows["currency"][a], sorted(record[i] for i in [a, *chosen]), abs(value - sum(amount[i] for i in chosen)), value, ""
+            yield "group", name[a], [name[i] for i in chosen], currency[a], sorted(ids([a, *chosen])), abs(value - sum(amount[i] for i in chosen)), value, ""
             taken |= {a, *chosen}
             continue
         note = "combination search limit exceeded" if limit else ""
@@ -162,11 +172,27 @@ def _solve(rows: dict[str, list], rule: Rule) -> Iterator[tuple]:
             if within(rule.amount, abs(value - total), max(value, total)):
                 note = "match requires more than max_members"
         if note:
-            yield "limit", rows["id"][a], [], rows["currency"][a], [record[a], *sorted(record[i] for i in near)], 0, value, note
+            yield "limit", name[a], [], currency[a], [*ids([a]), *sorted(ids(near))], 0, value, note
             taken.add(a)
 
 
-FOUND = ["kind", "anchor", "members", "currency", "record_ids", "diff", "amount_minor", "note"]
+FOUND = pa.schema([("kind", pa.string()), ("anchor", pa.int64()), ("members", pa.list_(pa.int64())), ("currency", pa.string()), ("record_ids", pa.list_(pa.string())), ("diff", pa.int64()), ("amount_minor", pa.int64()), ("note", pa.string())])
+FOUND_SQL = "kind string, anchor long, members array<long>, currency string, record_ids array<string>, diff long, amount_minor long, note string"
+
+
+def _solved(dealt: DataFrame, place: list[str], rule: Rule) -> DataFrame:
+    """What is found for the rows of each shard (ROW, shard and, if some are open alone or near a cell, open and own); those that agree in ``place`` make up a cell."""
+
+    def solve(shard: pa.Table) -> pa.Table:
+        shard = shard.combine_chunks().sort_by([(c, "ascending") for c in ("stable_key", "source_line", "batch_ord", "id")])
+        if "own" not in shard.column_names:
+            all_ = pa.array(np.ones(shard.num_rows, bool))
+            shard = shard.append_column("own", all_).append_column("open", pc.equal(shard.column("role"), rule.one_to_many.anchor_role))
+        cells = shard.select(place).to_pandas().groupby(place, sort=False).ngroup().to_numpy()
+        found = list(_solve(shard.append_column("cell", pa.array(cells.astype(np.int64))), rule))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*found), FOUND)], schema=FOUND) if found else FOUND.empty_table()
+
+    return dealt.groupBy("shard").applyInArrow(solve, FOUND_SQL)
 
 
 def _cells(placed: DataFrame, window_ns: int, cell_rows: int) -> DataFrame:
@@ -188,16 +214,36 @@ def _round(rows: DataFrame, rule: Rule, number: int, cell_rows: int) -> DataFram
     near = near.withColumn("own", F.col("in") == F.col("seen"))
     shards = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // cell_rows + 1)
     dealt = near.select(*ROW, "island", "open", "own", "seen", F.pmod(F.xxhash64("currency", "island", "seen"), F.lit(shards)).alias("shard"))
+    return _solved(dealt, ["currency", "island", "seen"], rule)
 
-    def solve(shard: pd.DataFrame) -> pd.DataFrame:
-        ordered = shard.sort_values(["stable_key", "source_line", "batch_ord", "id"], kind="stable")
-        ordered["cell"] = ordered.groupby(["currency", "island", "seen"], sort=False).ngroup()
-        return pd.DataFrame(_solve(ordered.to_dict("list"), rule), columns=FOUND)
 
-    return dealt.groupBy("shard").applyInPandas(solve, "kind string, anchor long, members array<long>, currency string, record_ids array<string>, diff long, amount_minor long, note string")
+ROW = ("id", "record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
 
 
-ROW = ("id", "record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
+def _homes(anchors: DataFrame, window_ns: int) -> tuple[DataFrame, int]:
+    """((currency, tick, home and, of the tick itself, the one before and the one after, what ``_home`` reads), width of a tick): a row for every tick of time that holds anchors or is beside one.
+
+    Ticks are four windows wide, or as many times four of that as it takes for at most ``TICKS`` to hold
+    anchors. Ticks whose anchors come within two windows of each other share a home.
+    """
+    least, gap = max(4 * window_ns, 1), F.lit(2 * window_ns).cast("long")
+    widths = [least << j for j in range(0, 63, 2) if least << j < 1 << 63]
+    counts = anchors.agg(*[F.approx_count_distinct(F.xxhash64("currency", floor_div(F.col("ts_ns"), w))) for w in widths]).first()
+    width = next((w for w, n in zip(widths, counts) if n <= TICKS), widths[-1])
+    over = Window.partitionBy("currency").orderBy("tick")
+    ticks = anchors.groupBy("currency", floor_div(F.col("ts_ns"), width).alias("tick")).agg(F.min("ts_ns").alias("low"), F.max("ts_ns").alias("high"))
+    begins = F.coalesce(F.col("low") - F.lag("high").over(over) > gap, F.lit(True))
+    ticks = ticks.withColumn("begin", F.when(begins, F.col("tick"))).withColumn("home", F.max("begin").over(over.rowsBetween(Window.unboundedPreceding, 0)))
+    near = ticks.select("currency", "home", "low", "high", "tick", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("step"))
+    at = [F.max(F.when(F.col("step") == step, F.struct("home", "low", "high"))).alias(name) for name, step in (("here", 0), ("prior", 1), ("next", -1))]
+    return cut(near.groupBy("currency", (F.col("tick") + F.col("step")).alias("tick")).agg(*at)), width
+
+
+def _home(window_ns: int) -> Column:
+    """The home of a record, whose anchors within the window all have; null where there is none."""
+    ts, window = F.col("ts_ns"), F.lit(window_ns).cast("long")
+    reach = {"here": ts.between(F.col("here.low") - window, F.col("here.high") + window), "prior": ts <= F.col("prior.high") + window, "next": ts >= F.col("next.low") - window}
+    return F.coalesce(*[F.when(reached, F.col(f"{name}.home")) for name, reached in reach.items()])
 
 
 def first_subsets(records: DataFrame, rule: Rule, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -205,6 +251,22 @@ def first_subsets(records: DataFrame, rule: Rule, cell_rows: int = CELL_ROWS) ->
     many = rule.one_to_many
     free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).withColumn("id", F.monotonically_increasing_id()).select(*ROW)
     free = cut(free)
+    homes, width = _homes(free.where(F.col("role") == many.anchor_role).select("currency", "ts_ns"), rule.window_ns)
+    at_home = free.withColumn("tick", floor_div(F.col("ts_ns"), width)).join(F.broadcast(homes), ["currency", "tick"]).withColumn("home", _home(rule.window_ns)).where("home is not null").select(*ROW, "home")
+    sizes = cut(at_home.groupBy("currency", "home").agg(F.count_if(F.col("role") == many.many_role).alias("m"), F.count("*").alias("n")).where("m > 1").select("currency", "home", "n"))
+    few, large = (F.broadcast(sizes.where(f"n {cmp} {cell_rows}").select("currency", "home")) for cmp in ("<=", ">"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(4 * int(free.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // cell_rows + 1)
+    dealt = at_home.join(few, ["currency", "home"], "left_semi").withColumn("shard", F.pmod(F.xxhash64("currency", "home"), F.lit(shards)))
+    out = cut(_solved(dealt, ["currency", "home"], rule).drop("anchor", "members"))
+    if large.isEmpty():
+        return out
+    return out.unionByName(_rounds(at_home.join(large, ["currency", "home"], "left_semi").select(*ROW), rule, cell_rows))
+
+
+def _rounds(free: DataFrame, rule: Rule, cell_rows: int) -> DataFrame:
+    """What ``first_subsets`` gives for written records (ROW), by islands and cells."""
+    many = rule.one_to_many
     is_anchor: Column = F.col("role") == many.anchor_role
     marks = islands(free.where(is_anchor).select("currency", "ts_ns").distinct(), ["currency"], 2 * rule.window_ns)
     window = F.lit(rule.window_ns).cast("long")

@@ -93,3 +93,18 @@ def test_rounds_over_one_long_island_equal_anchors_in_turn(spark, seed, roles):
     for cell_rows in (10, 50_000):
         got = {(x.kind, tuple(x.record_ids), x.note) for x in subset.first_subsets(df, r, cell_rows).collect()}
         assert got == want and len({k for k, _, _ in want}) == 2 and len(want) > 12
+
+
+@pytest.mark.parametrize("ticks", [3, 1 << 16])
+def test_records_of_small_homes_are_written_once(spark, monkeypatch, ticks):
+    """Islands far apart, some over the edges of ticks: records go to their anchors' home and nowhere else."""
+    monkeypatch.setattr(subset, "TICKS", ticks, raising=False)
+    wide, real = [], subset.cut
+    monkeypatch.setattr(subset, "cut", lambda df: wide.append("stable_key" in df.columns) or real(df))
+    rng = random.Random(7)
+    rows = [(rng.choice(["bank", "processor", "processor"]), f"E{i}", rng.randint(1, 12), 3000 * (i // 14) + rng.randint(0, 90) - 45) for i in range(400)]
+    r = rule(Tolerance(0), window=20 * S, limit=12)
+    df = frame(spark, rows)
+    got = {(x.kind, tuple(x.record_ids), x.note) for x in subset.first_subsets(df, r).collect()}
+    assert got == in_turn(df.collect(), r) and len(got) > 12
+    assert sum(wide) == 1
