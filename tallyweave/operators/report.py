@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import json
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from ..plans.engine import Result
 
 # The columns of the CSV report.
 CSV_HEADER = ("discrepancy_id", "type", "currency", "note", "evidence_record_ids", "sort_key")
+BLOCK_IDS = 256  # of a digest's text that travel as one row
 
 
 def evidence_ids() -> Column:
@@ -70,7 +74,7 @@ def group_rows(result: Result) -> DataFrame:
 def content_digest(result: Result, revision: int) -> DataFrame:
     """One row, digest: sorted group and discrepancy ids with the totals.
 
-    The ids of a run are gathered into one text, as the format asks; it is meant for runs whose report is read whole.
+    The ids of a run are gathered into one text, as the format asks; it is meant for runs whose report is read whole; ``short_digest`` has its hash alone.
     """
     g = result.groups.agg(F.array_join(F.array_sort(F.collect_list("match_group_id")), ",").alias("g"), F.count("*").alias("n"), F.coalesce(F.sum("amount_minor"), F.lit(0)).alias("v"))
     d = result.discrepancies.agg(F.array_join(F.array_sort(F.collect_list("discrepancy_id")), ",").alias("d"))
@@ -78,6 +82,46 @@ def content_digest(result: Result, revision: int) -> DataFrame:
     return g.crossJoin(d).select(text.alias("digest"))  # two frames of one row each
 
 
+def _id_blocks(ids: DataFrame) -> DataFrame:
+    """(part, seq, text) of ``ids`` (part, id): the ids of each part in order, joined by commas, ``BLOCK_IDS`` at most a row; seq is the order of a part's blocks."""
+
+    def join(batches):
+        n = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            parts, names = batch.column("part").to_numpy(), batch.column("id").to_pylist()
+            cuts = sorted({*range(0, len(names), BLOCK_IDS), int(parts.searchsorted(parts[-1])) if len(names) else 0, len(names)})
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                yield pa.RecordBatch.from_pylist([{"part": int(parts[s]), "seq": n, "text": ",".join(names[s:e])}], schema=pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("text", pa.string())]))
+                n += 1
+
+    count = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ids.where("id is not null").repartitionByRange(count, "part", "id").sortWithinPartitions("part", "id").mapInArrow(join, "part int, seq long, text string")
+
+
+def short_digest(result: Result, revision: int) -> DataFrame:
+    """One row, digest: the first sixteen digits of the SHA-256 of what ``content_digest`` gives, whose text no row gathers.
+
+    Ids are sorted range by range and joined in blocks; one task, since the hash is a chain, takes the blocks in turn, some at a time.
+    """
+    spark = result.groups.sparkSession
+    blocks = _id_blocks(result.groups.select(F.lit(1).alias("part"), F.col("match_group_id").alias("id")).union(result.discrepancies.select(F.lit(3), "discrepancy_id")))
+    fixed = lambda part, text: spark.range(1).select(F.lit(part).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit(text).alias("text"))
+    total = result.groups.agg(F.count("*").cast("string").alias("n"), F.coalesce(F.sum("amount_minor"), F.lit(0)).cast("string").alias("v"))
+    tail = total.select(F.lit(4), F.lit(0).cast("long"), F.concat(F.lit("|matched="), "n", F.lit("|amt="), "v", F.lit(f"|rule={revision}")))
+    ordered = blocks.union(fixed(0, "groups:")).union(fixed(2, "|discs:")).union(tail).repartition(1).sortWithinPartitions("part", "seq")
+
+    def digest(batches):
+        h, last = hashlib.sha256(), None
+        for batch in batches:
+            for part, text in zip(batch.column("part").to_pylist(), batch.column("text").to_pylist()):
+                h.update(("," + text if part == last else text).encode())
+                last = part
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()[:16]])], ["digest"])
+
+    return ordered.mapInArrow(digest, "digest string")
+
+
 def mergeable_digest(result: Result) -> DataFrame:
     """(kind, n, hash_sum): of groups and of discrepancies, their number and the sum of sixty bits of their ids' SHA-256.
 

@@ -225,7 +225,7 @@ def report_discrepancy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def report_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.content_digest(_run(spark, sf_dir), 1).select(ids.short_hash(F.col("digest")).alias("digest"))
+    return report.short_digest(_run(spark, sf_dir), 1)
 
 
 # SQL. Each constant is a chain of common table expressions that the next one goes on from.

@@ -1,6 +1,7 @@
 """Reports written as files against those built on the driver; trees of digests against sets."""
 
 import glob
+import hashlib
 import json
 import random
 
@@ -52,3 +53,25 @@ def test_differences_of_trees(spark, depth):
     roots = lambda s: {r.k: (r.n, r.digest) for r in merkle.roots(frame(s), ["k"], depth).collect()}
     assert roots(a) == roots(set(a)) and roots(a)["x"] != roots(b)["x"] and roots(a)["x"][0] == sum(k == "x" for k, _ in a)
     assert merkle.leaf_depth(256) == 0 and merkle.leaf_depth(257) == 1 and merkle.leaf_depth(10**9) == 6
+
+
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_digest_in_blocks_is_that_of_the_text(spark, monkeypatch, n):
+    """No row gathers the ids of a run, and blocks end wherever they like."""
+    monkeypatch.setattr(report, "BLOCK_IDS", 7)
+    ids_ = lambda p, k: [(f"{p}_{random.Random(i).random()}", i) for i in range(k)]
+    groups = spark.createDataFrame(ids_("mg", n), "match_group_id string, amount_minor long").repartition(3)
+    found = spark.createDataFrame(ids_("disc", n // 2), "discrepancy_id string, n long")
+    r = engine.Result(groups, found, None, None)
+    got = report.short_digest(r, 3)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    (want,) = [hashlib.sha256(x.digest.encode()).hexdigest()[:16] for x in report.content_digest(r, 3).collect()]
+    assert [x.digest for x in got.collect()] == [want]
+
+
+def test_the_query_gathers_no_ids(spark):
+    from oracle import DATA
+
+    from tallyweave.plans import queries
+
+    assert "collect_list" not in queries.report_digest(spark, DATA)._jdf.queryExecution().toString()
