@@ -97,9 +97,9 @@ def without_exact(records: DataFrame, claimed: DataFrame, allowed: Column | None
 # Phase 2
 
 
-def one_to_many(records: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def one_to_many(records: DataFrame, rule: Rule, written: bool = False) -> tuple[DataFrame, DataFrame]:
     """(groups, search-limit discrepancies) of anchors whose amount is a sum of records of the many role."""
-    found = first_subsets(records, rule)
+    found = first_subsets(records, rule, written=written)
     zero = F.lit(0).cast("long")
     groups = _groups(found.where("kind = 'group'").withColumns({"anchor_role": F.lit(rule.one_to_many.anchor_role), "score_tuple": F.array(F.lit(2).cast("long"), F.col("diff"), zero, zero)}), "one_to_many")
     limits = _discrepancies(found.where("kind = 'limit'").withColumns({"type": F.lit("search_limit"), "candidate_ids": _none(), "score_tuple": F.array().cast("array<bigint>")}))

@@ -135,7 +135,8 @@ def _solve(rows: pa.Table, rule: Rule) -> Iterator[tuple]:
     """
     many, column = rule.one_to_many, lambda c: rows.column(c).to_numpy(zero_copy_only=False)
     ts, cell, open_, own = (column(c) for c in ("ts_ns", "cell", "open", "own"))
-    amount, fee, name = (column(c).tolist() for c in ("amount_minor", "fee_minor", "id"))
+    amount, fee = (column(c).tolist() for c in ("amount_minor", "fee_minor"))
+    name = column("id").tolist() if "id" in rows.column_names else range(rows.num_rows)
     record, currency = column("record_id"), column("currency")
     ids = lambda at: [record[i] for i in at]
     pool = np.flatnonzero(pc.equal(rows.column("role"), many.many_role).to_numpy(zero_copy_only=False))
@@ -184,7 +185,7 @@ def _solved(dealt: DataFrame, place: list[str], rule: Rule) -> DataFrame:
     """What is found for the rows of each shard (ROW, shard and, if some are open alone or near a cell, open and own); those that agree in ``place`` make up a cell."""
 
     def solve(shard: pa.Table) -> pa.Table:
-        shard = shard.combine_chunks().sort_by([(c, "ascending") for c in ("stable_key", "source_line", "batch_ord", "id")])
+        shard = shard.combine_chunks().sort_by([(c, "ascending") for c in ("stable_key", "source_line", "batch_ord", "record_id")])
         if "own" not in shard.column_names:
             all_ = pa.array(np.ones(shard.num_rows, bool))
             shard = shard.append_column("own", all_).append_column("open", pc.equal(shard.column("role"), rule.one_to_many.anchor_role))
@@ -213,11 +214,11 @@ def _round(rows: DataFrame, rule: Rule, number: int, cell_rows: int) -> DataFram
     near = rows.withColumn("in", joined("cell")).withColumn("seen", F.explode(F.array_distinct(F.array("in", joined("before"), joined("after")))))
     near = near.withColumn("own", F.col("in") == F.col("seen"))
     shards = max(4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // cell_rows + 1)
-    dealt = near.select(*ROW, "island", "open", "own", "seen", F.pmod(F.xxhash64("currency", "island", "seen"), F.lit(shards)).alias("shard"))
+    dealt = near.select("id", *ROW, "island", "open", "own", "seen", F.pmod(F.xxhash64("currency", "island", "seen"), F.lit(shards)).alias("shard"))
     return _solved(dealt, ["currency", "island", "seen"], rule)
 
 
-ROW = ("id", "record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
+ROW = ("record_id", "role", "currency", "ts_ns", "stable_key", "source_line", "batch_ord", "amount_minor", "fee_minor")
 
 
 def _homes(anchors: DataFrame, window_ns: int) -> tuple[DataFrame, int]:
@@ -246,11 +247,11 @@ def _home(window_ns: int) -> Column:
     return F.coalesce(*[F.when(reached, F.col(f"{name}.home")) for name, reached in reach.items()])
 
 
-def first_subsets(records: DataFrame, rule: Rule, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(kind, currency, record_ids, diff, amount_minor, note): groups, and anchors whose search ended at a limit."""
+def first_subsets(records: DataFrame, rule: Rule, cell_rows: int = CELL_ROWS, written: bool = False) -> DataFrame:
+    """(kind, currency, record_ids, diff, amount_minor, note): groups, and anchors whose search ended at a limit. ``written`` records are read off a table as they are."""
     many = rule.one_to_many
-    free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).withColumn("id", F.monotonically_increasing_id()).select(*ROW)
-    free = cut(free)
+    free = records.where(F.col("role").isin(many.anchor_role, many.many_role)).select(*ROW)
+    free = free if written else cut(free)
     homes, width = _homes(free.where(F.col("role") == many.anchor_role).select("currency", "ts_ns"), rule.window_ns)
     at_home = free.withColumn("tick", floor_div(F.col("ts_ns"), width)).join(F.broadcast(homes), ["currency", "tick"]).withColumn("home", _home(rule.window_ns)).where("home is not null").select(*ROW, "home")
     sizes = cut(at_home.groupBy("currency", "home").agg(F.count_if(F.col("role") == many.many_role).alias("m"), F.count("*").alias("n")).where("m > 1").select("currency", "home", "n"))
@@ -265,13 +266,14 @@ def first_subsets(records: DataFrame, rule: Rule, cell_rows: int = CELL_ROWS) ->
 
 
 def _rounds(free: DataFrame, rule: Rule, cell_rows: int) -> DataFrame:
-    """What ``first_subsets`` gives for written records (ROW), by islands and cells."""
+    """What ``first_subsets`` gives for records (ROW), by islands and cells."""
     many = rule.one_to_many
+    free = cut(free.withColumn("id", F.monotonically_increasing_id()))
     is_anchor: Column = F.col("role") == many.anchor_role
     marks = islands(free.where(is_anchor).select("currency", "ts_ns").distinct(), ["currency"], 2 * rule.window_ns)
     window = F.lit(rule.window_ns).cast("long")
     spans = marks.groupBy("currency", "island").agg((F.min("ts_ns") - window).alias("ts_ns"), (F.max("ts_ns") + window).alias("until"))
-    placed = cut(last_mark(free, spans, ["currency"]).where("ts_ns <= mark.until").select(*ROW, F.col("mark.island").alias("island")))
+    placed = cut(last_mark(free, spans, ["currency"]).where("ts_ns <= mark.until").select("id", *ROW, F.col("mark.island").alias("island")))
     sizes = placed.groupBy("currency", "island").agg(F.count_if(F.col("role") == many.many_role).alias("m"), F.count("*").alias("n")).where("m > 1").select("currency", "island", "n")
     rows = cut(_cells(placed.join(sizes, ["currency", "island"]), rule.window_ns, cell_rows).withColumn("open", is_anchor))
     parts, number = [], 0

@@ -60,7 +60,7 @@ def match(records: DataFrame, rules: list[Rule]) -> Matched:
         out.groups.append(groups)
         out.free = matching.without_exact(out.free, groups.select(F.explode("record_ids").alias("record_id")), allowed, left)
         if rule.one_to_many:
-            commit(*matching.one_to_many(out.free.where(allowed), rule))
+            commit(*matching.one_to_many(out.free.where(allowed), rule, written=rule is rules[0] and left is not None))
         commit(*matching.tolerance_phase(out.free.where(allowed), rule))
     return out
 
@@ -71,6 +71,13 @@ def invalid_records(records: DataFrame) -> DataFrame:
     return bad.withColumn("discrepancy_id", ids.discrepancy_id(F.col("type"), F.col("record_ids"))).select(*matching.DISC_COLUMNS)
 
 
+def matched_groups(records: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The groups of ``reconcile``. Judging leftovers gives none, so they are not."""
+    m = match(cut(records), rules)
+    groups = union(m.groups)
+    return matching.exact_id_groups(m.active.where("false")) if groups is None else groups
+
+
 def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False) -> Result:
     """Run all rules over ``records`` (``schema.RECORD_COLUMNS``); ``emit_invalid`` also reports isolated rows."""
     records = cut(records)

@@ -176,7 +176,7 @@ def search_limit_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shared_anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-many groups of a run of two rules, where each order's two anchors want members that the first may have taken."""
-    g = engine.reconcile(payments.settlements(spark, sf_dir, shared=True), [LINES_RULE, DEFAULT_RULE]).groups.where("type = 'one_to_many'")
+    g = engine.matched_groups(payments.settlements(spark, sf_dir, shared=True), [LINES_RULE, DEFAULT_RULE]).where("type = 'one_to_many'")
     return g.select("match_group_id", "amount_minor", _joined("record_ids"))
 
 
@@ -615,7 +615,7 @@ STRICT_RULE = replace(DEFAULT_RULE, rule_id="strict", allowed_roles=("internal",
 @query
 def two_rule_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of a run of two rules: equal amounts at equal times of two roles first, then the default rule on what is left."""
-    g = engine.reconcile(payments.payments(spark, sf_dir), [STRICT_RULE, DEFAULT_RULE]).groups
+    g = engine.matched_groups(payments.payments(spark, sf_dir), [STRICT_RULE, DEFAULT_RULE])
     return g.select("match_group_id", "type", "currency", "amount_minor", _joined("record_ids"))
 
 
