@@ -41,18 +41,29 @@ def few(keys: DataFrame, most: int | None = None) -> DataFrame | None:
     return F.broadcast(keys) if keys.count() <= (FEW_KEYS if most is None else most) else None
 
 
-def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose value isn't one of ``keys`` (one column of ``rows``), and with all whose value is, to shuffle less in a join that follows.
+def marked(rows: DataFrame, keys: DataFrame, flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: true where their value is one of ``keys`` (one column of ``rows``) and, of more than ``FEW_KEYS`` keys, for some others too.
 
-    Few keys are sent as they are; more are a map of 32 MB with a bit for each key's hash.
+    ``rows`` are not shuffled: few keys are sent as they are; more are a map of 32 MB with a bit for each key's hash.
     """
     (name,) = keys.columns
     keys = cut(keys)
     if keys.count() <= FEW_KEYS:
-        return rows.join(F.broadcast(keys), name, "left_semi")
+        return rows.join(F.broadcast(keys.where(F.col(name).isNotNull()).distinct().withColumn(flag, F.lit(True))), name, "left").select(*rows.columns, F.coalesce(flag, F.lit(False)).alias(flag))
     bit = F.pmod(F.xxhash64(name), F.lit(BITS).cast("long"))
     maps = cut(keys.groupBy(F.bitmap_bucket_number(bit).alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits")))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("_bits", (F.call_function("div", at, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     held = F.call_function("getbit", byte, (at % 8).cast("int")) == 1
-    return rows.withColumn("_map", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_map").where(held).select(*rows.columns)
+    return rows.withColumn("_map", F.bitmap_bucket_number(bit)).join(F.broadcast(maps), "_map", "left").select(*rows.columns, F.coalesce(held, F.lit(False)).alias(flag))
+
+
+def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose value isn't one of ``keys`` (one column of ``rows``), and with all whose value is, to shuffle less in a join that follows."""
+    return marked(rows, keys, "_held").where("_held").drop("_held")
+
+
+def outside(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` whose value isn't one of ``keys`` (one column of ``rows``); of the others only those that a map can't tell are shuffled."""
+    x = marked(rows, keys, "_held")
+    return x.where("not _held").drop("_held").unionByName(x.where("_held").drop("_held").join(keys, keys.columns, "left_anti").select(*rows.columns))

@@ -78,9 +78,9 @@ def matched_groups(records: DataFrame, rules: list[Rule]) -> DataFrame:
     return matching.exact_id_groups(m.active.where("false")) if groups is None else groups
 
 
-def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False) -> Result:
-    """Run all rules over ``records`` (``schema.RECORD_COLUMNS``); ``emit_invalid`` also reports isolated rows."""
-    records = cut(records)
+def reconcile(records: DataFrame, rules: list[Rule], emit_invalid: bool = False, written: bool = False) -> Result:
+    """Run all rules over ``records`` (``schema.RECORD_COLUMNS``); ``emit_invalid`` also reports isolated rows. ``written`` records are read off a table as they are."""
+    records = records if written else cut(records)
     m = match(records, rules)
     discrepancies = [*m.discrepancies, cut(matching.classify(m.free, m.active, rules))]
     if emit_invalid:

@@ -625,7 +625,7 @@ def late_batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = payments.payments(spark, sf_dir).withColumn("late", F.expr("source_line div 4 % 40 = 7 or role = 'processor' and source_line div 4 % 37 = 3"))
     p = cut(p)
     early, late = (p.where(c).drop("late") for c in ("not late", "late"))
-    r = late_run.late_batch(engine.reconcile(early, [DEFAULT_RULE]), early, late, [DEFAULT_RULE])
+    r = late_run.late_batch(engine.reconcile(early, [DEFAULT_RULE], written=True), early, late, [DEFAULT_RULE])
     groups = r.groups.select(F.col("match_group_id").alias("id"), "type", "currency", _joined("record_ids"))
     return groups.unionByName(r.discrepancies.select(F.col("discrepancy_id").alias("id"), "type", "currency", _joined("record_ids")))
 

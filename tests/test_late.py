@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave.functions import lineage
 from tallyweave.functions.ids import with_identity
 from tallyweave.functions.lineage import cut
 from tallyweave.plans import engine, late
@@ -60,3 +61,28 @@ def test_only_what_a_late_record_is_tied_to_is_matched_again(spark):
     one = everything.orderBy("record_id").limit(1)
     inside = late.touched(everything, cut(one), RULES["absolute"]).count()
     assert 1 <= inside < 60
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_rows_stay_where_keys_come_to_them(spark, monkeypatch, most):
+    """Records that see others, or are outside a set, are told without a shuffle of records."""
+    monkeypatch.setattr(lineage, "FEW_KEYS", most)
+    monkeypatch.setattr(lineage, "BITS", 1 << 18)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        everything = frame(spark, 300, 3)
+        some = everything.where("source_line % 60 = 0")
+        seen = late._that_see(everything, some, RULES["absolute"])
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        at = lambda r: (r.currency, r.ts_ns // (20 * S), r.amount_minor // 4)
+        others = [at(r) for r in some.collect()]
+        want = {r.record_id for r in everything.collect() if any(c == at(r)[0] and (abs(b - at(r)[1]) < 2 or abs(v - at(r)[2]) < 2) for c, b, v in others)}
+        got = [r.record_id for r in seen.collect()]
+        assert want <= set(got) and len(got) <= everything.count() and (most == 0 or set(got) == want)
+        ids = some.select("record_id")
+        gone = {r.record_id for r in ids.collect()}
+        assert sorted(r.record_id for r in lineage.outside(everything, ids).collect()) == sorted(r.record_id for r in everything.collect() if r.record_id not in gone)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
