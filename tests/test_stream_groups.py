@@ -34,3 +34,15 @@ def test_state_of_a_match_is_on_disk(spark, tmp_path, monkeypatch):
     states = [s for p in started[0].recentProgress for s in p["stateOperators"]]
     assert states and any("rocksdbCommitCount" in s["customMetrics"] or any(m.startswith("rocksdb") for m in s["customMetrics"]) for s in states)
     assert {k: spark.conf.get(k, None) for k in arrivals.ON_DISK} == before
+
+
+def test_state_of_closing_groups_is_on_disk(spark, monkeypatch):
+    from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+    from tallyweave.plans import queries
+
+    started, real = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(real(self, *a, **k)) or started[-1])
+    assert queries.stream_closing_groups(spark, "/root/testdata/sf0.001").count() > 0
+    states = [s for p in started[0].recentProgress for s in p["stateOperators"]]
+    assert states and any(m.startswith("rocksdb") for s in states for m in s["customMetrics"])
